@@ -73,8 +73,10 @@ def tfidf_columns(text_col: str, vocab: list[tuple[str, float]]) -> list[Column]
     terms = [t for t, _ in vocab]
     arr = F.array(*[F.lit(t) for t in terms])
     inv = F.filter(tokens_expr(c(text_col)), lambda x: F.array_contains(arr, x))
-    weights = [F.size(F.filter(inv, lambda x, t=t: x == F.lit(t))).cast("double") * F.lit(idf)
-               for t, idf in vocab]
+    def count_of(term):
+        return F.size(F.filter(inv, lambda x: x == F.lit(term))).cast("double")
+
+    weights = [count_of(t) * F.lit(idf) for t, idf in vocab]
     norm = F.sqrt(sum((w * w for w in weights), F.lit(0.0)))
     return [F.when(norm > 0, w / norm).otherwise(F.lit(0.0)).alias(f"{text_col}_tfidf_{t}")
             for w, (t, _) in zip(weights, vocab)]
@@ -147,7 +149,7 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
     exprs: dict[str, Column] = {}
     types = {f.name: f.dataType for f in df.schema.fields}
     for name in df.columns:
-        if name in spec.dropped:
+        if name in spec.dropped or name in key:
             continue
         col = c(name)
         if isinstance(types[name], DATETIME_TYPES):

@@ -197,17 +197,20 @@ def regularity_stats(df: DataFrame, column: str, is_datetime: bool) -> DataFrame
         "column", "cnt", (F.col("v_next") - F.col("v")).alias("g"))
     n = F.sum("cnt")
     n_dist = F.count(F.lit(1))
-    dup = n - n_dist  # number of zero gaps
-    sum_g = F.coalesce(F.sum("g"), F.lit(0.0))
-    sum_g2 = F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0.0))
     agg = gaps.groupBy("column").agg(n.alias("n"), n_dist.alias("n_distinct"),
                                      F.min("g").alias("min_pos_gap"), F.max("g").alias("max_gap"),
-                                     sum_g.alias("sum_g"), sum_g2.alias("sum_g2"), dup.alias("n_zero"))
+                                     F.coalesce(F.sum("g"), F.lit(0.0)).alias("sum_g"))
     m = F.col("n") - 1
-    mean = F.try_divide(F.col("sum_g"), m)
-    var = F.try_divide(F.col("sum_g2") - m * mean * mean, m - 1)
-    return agg.select("column", "n", "n_distinct", "n_zero", "min_pos_gap", "max_gap",
-                      mean.alias("mean_gap"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd_gap"))
+    agg = agg.withColumn("n_zero", F.col("n") - F.col("n_distinct")).withColumn(
+        "mean_gap", F.try_divide(F.col("sum_g"), m))
+    # second pass for the spread: sum of squared deviations over the distinct gaps, the
+    # zero gaps contribute n_zero * mean^2
+    dev = (gaps.join(F.broadcast(agg.select("column", "mean_gap")), "column")
+           .groupBy("column").agg(F.sum(F.pow(F.col("g") - F.col("mean_gap"), 2)).alias("ss")))
+    out = agg.join(dev, "column", "left")
+    ss = F.coalesce(F.col("ss"), F.lit(0.0)) + F.col("n_zero") * F.col("mean_gap") * F.col("mean_gap")
+    return out.select("column", "n", "n_distinct", "n_zero", "min_pos_gap", "max_gap", "mean_gap",
+                      F.sqrt(F.try_divide(ss, m - 1)).alias("sd_gap"))
 
 
 def regularity_label(row) -> str | None:

@@ -74,6 +74,10 @@ def group_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_lpos", F.monotonically_increasing_id()
                           - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    # Range bounds are sampled with a seed tied to the RDD id, so two evaluations of
+    # ``ranged`` may cut differently.  A reliable checkpoint fixes one layout for both
+    # the offsets table and the rows, and survives executor loss.
+    ranged = ranged.checkpoint(eager=True)
     meta = ranged.groupBy("_pid", *[c(g) for g in group_cols]).agg(
         F.min("_lpos").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*[c(g) for g in group_cols]).orderBy("_pid")
@@ -122,7 +126,8 @@ def group_prefix_sum(df: DataFrame, order_cols: Sequence[str], weight_col: str,
     keys = [*groups, *order_cols]
     ranged = (df.repartitionByRange(parts, *[c(k) for k in keys])
               .sortWithinPartitions(*[c(k) for k in keys])
-              .withColumn("_pid", F.spark_partition_id()))
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
     schema = T.StructType(ranged.schema.fields + [T.StructField("_lcum", T.LongType())])
     local = ranged.mapInPandas(_local_cumsum(group_col, weight_col, "_lcum"), schema)
     meta = ranged.groupBy("_pid", *[c(g) for g in groups]).agg(
