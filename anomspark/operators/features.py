@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from anomspark.functions import rules as R
 from anomspark.operators.histogram import exact_quantiles, frequencies, modes, value_histogram
 from anomspark.plans.ordering import DEFAULT_BLOCK_ROWS, c, group_index
+from anomspark.sources.io import spread
 
 DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -50,38 +51,56 @@ def tokens_expr(col: Column) -> Column:
 def fit_vocabulary(df: DataFrame, text_col: str, max_terms: int = R.TFIDF_TERMS) -> list[tuple[str, float]]:
     """Top ``max_terms`` terms by corpus count (ties alphabetical) with smooth idf.
 
-    Returns ``[(term, idf)]`` sorted alphabetically (the feature order)."""
-    toks = df.select(tokens_expr(c(text_col)).alias("t"))
-    top = (toks.select(F.explode("t").alias("term")).groupBy("term")
-           .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("term"))
-           .limit(max_terms).collect())
-    terms = sorted(r["term"] for r in top)
-    if not terms:
+    One pass: tokens are counted per (document, term) with map-side combine, then per
+    term (total count and document frequency).  Returns ``[(term, idf)]`` sorted
+    alphabetically (the feature order)."""
+    docs = spread(df.select(c(text_col))).select(F.monotonically_increasing_id().alias("_doc"),
+                                                  tokens_expr(c(text_col)).alias("t"))
+    per_doc = docs.select("_doc", F.explode("t").alias("term")).groupBy("_doc", "term").count()
+    per_term = per_doc.groupBy("term").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("df"))
+    top = per_term.orderBy(F.desc("n"), F.asc("term")).limit(max_terms).collect()
+    if not top:
         return []
-    vocab = F.array(*[F.lit(t) for t in terms])
-    inv = toks.select(F.filter("t", lambda x: F.array_contains(vocab, x)).alias("v"))
-    row = inv.agg(F.count(F.lit(1)).alias("n"),
-                  *[F.sum(F.array_contains("v", t).cast("long")).alias(f"d{i}")
-                    for i, t in enumerate(terms)]).first()
     import math
-    n = row["n"]
-    return [(t, math.log((1 + n) / (1 + row[f"d{i}"])) + 1.0) for i, t in enumerate(terms)]
+    n_docs = df.count()
+    return sorted((r["term"], math.log((1 + n_docs) / (1 + r["df"])) + 1.0) for r in top)
 
 
-def tfidf_columns(text_col: str, vocab: list[tuple[str, float]]) -> list[Column]:
-    """Per-row L2-normalised tf-idf for a fitted vocabulary, as column expressions."""
-    terms = [t for t, _ in vocab]
-    arr = F.array(*[F.lit(t) for t in terms])
-    inv = F.filter(tokens_expr(c(text_col)), lambda x: F.array_contains(arr, x))
-    def count_of(term):
-        return F.size(F.filter(inv, lambda x: x == F.lit(term))).cast("double")
+def term_counts(df: DataFrame, text_col: str, vocab: list[tuple[str, float]], key: Sequence[str],
+                prefix: str) -> DataFrame:
+    """key + ``<prefix><i>`` = count of vocabulary term i in the row's text.
 
-    weights = [count_of(t) * F.lit(idf) for t, idf in vocab]
+    Tokens outside the vocabulary are dropped right after the explode; the pivot is one
+    aggregation on the key whose partial step combines every document's tokens in its
+    own partition, so only one row per document is shuffled.  Rows without any
+    vocabulary token are absent (count 0 after the caller's left join)."""
+    terms = [t for t, _ in vocab]
+    ids = list(range(1, len(terms) + 1))
+    toks = (spread(df.select(*[c(k) for k in key], c(text_col)))
+            .select(*[c(k) for k in key], F.explode(tokens_expr(c(text_col))).alias("_term"))
+            .where(F.col("_term").isin(terms))
+            .select(*[c(k) for k in key], F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("_term"))
+                    .cast("int").alias("_ti")))
+    piv = toks.groupBy(*[c(k) for k in key]).pivot("_ti", ids).agg(F.count(F.lit(1)))
+    return piv.select(*[c(k) for k in key], *[F.col(f"`{i}`").alias(f"{prefix}{i}") for i in ids])
+
+
+def tfidf_from_counts(prefix: str, text_col: str, vocab: list[tuple[str, float]]) -> list[Column]:
+    """L2-normalised tf-idf columns from per-term count columns ``<prefix><i>``."""
+    weights = [F.coalesce(F.col(f"{prefix}{i + 1}"), F.lit(0)).cast("double") * F.lit(idf)
+               for i, (_, idf) in enumerate(vocab)]
     norm = F.sqrt(sum((w * w for w in weights), F.lit(0.0)))
     return [F.when(norm > 0, w / norm).otherwise(F.lit(0.0)).alias(f"{text_col}_tfidf_{t}")
             for w, (t, _) in zip(weights, vocab)]
 
 
+def tfidf_frame(df: DataFrame, text_col: str, vocab: list[tuple[str, float]], key: Sequence[str]) -> DataFrame:
+    """key... + ``<text_col>_tfidf_<term>`` columns for every row of ``df``."""
+    counts = term_counts(df, text_col, vocab, key, "_c")
+    joined = df.select(*[c(k) for k in key]).join(counts, list(key), "left")
+    return joined.select(*[c(k) for k in key], *tfidf_from_counts("_c", text_col, vocab))
+
+
 def _median_map(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     if not cols:
         return {}
@@ -159,6 +178,7 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
         exprs[name] = col.alias(name)
 
     # F3 tf-idf
+    count_frames: list[DataFrame] = []
     for tcol in text_cols:
         if tcol not in order:
             continue
@@ -169,14 +189,19 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
             spec.notes.append(f"{tcol}: empty vocabulary, column dropped")
             continue
         spec.text_vocab[tcol] = vocab
-        for (t, _), colx in zip(vocab, tfidf_columns(tcol, vocab)):
+        prefix = f"__tf{len(spec.text_vocab)}_"
+        count_frames.append(term_counts(df, tcol, vocab, key, prefix))
+        for (t, _), colx in zip(vocab, tfidf_from_counts(prefix, tcol, vocab)):
             nm = f"{tcol}_tfidf_{t}"
             order.append(nm)
             exprs[nm] = colx
             types[nm] = T.DoubleType()
 
     base_cols = [c(k) for k in key]
-    work = df.select(*base_cols, *[exprs[n] for n in order]) if order else df.select(*base_cols)
+    src = df
+    for frame in count_frames:
+        src = src.join(frame, key, "left")
+    work = src.select(*base_cols, *[exprs[n] for n in order]) if order else src.select(*base_cols)
     key_names = set(key)
 
     def stage(frame: DataFrame, names: list[str], ex: dict[str, Column]) -> DataFrame:

@@ -13,6 +13,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,22 +113,37 @@ def split_variance(long: DataFrame) -> DataFrame:
     return agg.select("column", "n", "var1", "var2", F.coalesce(stat, F.lit(False)).alias("stationary"))
 
 
+def _per_window(long: DataFrame, window_of, build):
+    """Run ``build(frame_of_columns, win)`` once per distinct window length.
+
+    Window frames need literal bounds; the length depends on each column's count, so
+    columns are grouped by it (one small count job; usually a single group)."""
+    counts = long.groupBy("column").agg(F.count("x").alias("n")).collect()
+    by_win: dict[int, list[str]] = {}
+    for r in counts:
+        by_win.setdefault(int(window_of(r["n"])), []).append(r["column"])
+    parts = [build(long.where(F.col("column").isin(cols)), win) for win, cols in sorted(by_win.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def rolling_trend(long: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS, max_window: int = 20) -> DataFrame:
     """Trend if var(rolling mean, window min(20, n // 5), full windows) > 0.5 var(x)."""
-    n = long.groupBy("column").agg(F.count("x").alias("n"), F.var_samp("x").alias("var_x"))
-    framed, w = _blocked(long, max_window - 1, block_rows)
-    framed = framed.join(F.broadcast(n), "column")
-    win = F.least(F.lit(max_window), F.floor(F.col("n") / 5)).cast("int")
-    rows = w.rowsBetween(-(max_window - 1), 0)
-    # rolling mean over the last `win` values: collect the last 20 and slice
-    last = F.collect_list("x").over(rows)
-    tail = F.slice(last, F.greatest(F.size(last) - win + 1, F.lit(1)), win)
-    mean = F.aggregate(tail, F.lit(0.0), lambda acc, v: acc + v) / F.size(tail)
-    rolled = framed.select("column", "_own", "idx", "n", "var_x", win.alias("win"),
-                           F.when((F.col("idx") >= win - 1) & (win >= 1), mean).alias("rm")).where("_own")
-    agg = rolled.groupBy("column", "n", "var_x", "win").agg(F.var_samp("rm").alias("var_rm"))
-    return agg.select("column", "n", "win", "var_rm", "var_x",
-                      F.coalesce(F.col("var_rm") > F.col("var_x") * 0.5, F.lit(False)).alias("trend"))
+    def build(part: DataFrame, win: int) -> DataFrame:
+        st = part.groupBy("column").agg(F.count("x").alias("n"), F.var_samp("x").alias("var_x"))
+        if win < 1:
+            return st.select("column", "n", F.lit(win).alias("win"), F.lit(None).cast("double").alias("var_rm"),
+                             "var_x", F.lit(False).alias("trend"))
+        framed, w = _blocked(part, win - 1, block_rows)
+        rm = F.avg("x").over(w.rowsBetween(-(win - 1), 0))
+        rolled = framed.select("column", "_own", "idx", rm.alias("rm")).where("_own")
+        rolled = rolled.where(F.col("idx") >= win - 1)
+        agg = rolled.groupBy("column").agg(F.var_samp("rm").alias("var_rm")).join(st, "column")
+        return agg.select("column", "n", F.lit(win).alias("win"), "var_rm", "var_x",
+                          F.coalesce(F.col("var_rm") > F.col("var_x") * 0.5, F.lit(False)).alias("trend"))
+    return _per_window(long, lambda n: min(max_window, n // 5), build)
 
 
 def lag_seasonality(long: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
@@ -143,24 +159,21 @@ def global_local_z(long: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS, max_wi
     Window = max(5, min(50, n // 20)), min one value; rolling sample sd, NULL -> 1e-8;
     a zero rolling sd gives no local z (0/0 in the reference).
     """
-    st = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mu"),
-                                    F.stddev_pop("x").alias("sd"))
-    framed, w = _blocked(long, max_window - 1, block_rows)
-    framed = framed.join(F.broadcast(st), "column")
-    win = F.greatest(F.lit(5), F.least(F.lit(max_window), F.floor(F.col("n") / 20))).cast("int")
-    last = F.collect_list("x").over(w.rowsBetween(-(max_window - 1), 0))
-    tail = F.slice(last, F.greatest(F.size(last) - win + 1, F.lit(1)), win)
-    k = F.size(tail)
-    s1 = F.aggregate(tail, F.lit(0.0), lambda a, v: a + v)
-    mean = s1 / k
-    ss = F.aggregate(tail, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    rsd = F.when(k > 1, F.sqrt(ss / (k - 1)))
-    rsd = F.coalesce(rsd, F.lit(1e-8))
-    dev = F.abs(F.col("x") - mean)
-    local = F.when(rsd == 0, F.when(dev != 0, F.lit(float("inf")))).otherwise(dev / rsd)
-    glob = F.abs((F.col("x") - F.col("mu")) / (F.col("sd") + F.lit(1e-8)))
-    return framed.where("_own").select("column", "idx", "x", "n", glob.alias("global_z"),
-                                       local.alias("local_z"), win.alias("window"))
+    def build(part: DataFrame, win: int) -> DataFrame:
+        st = part.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mu"),
+                                        F.stddev_pop("x").alias("sd"))
+        framed, w = _blocked(part, win - 1, block_rows)
+        frame = w.rowsBetween(-(win - 1), 0)
+        framed = framed.select("column", "idx", "x", "_own", F.avg("x").over(frame).alias("rm"),
+                               F.stddev_samp("x").over(frame).alias("rs")).where("_own")
+        framed = framed.join(F.broadcast(st), "column")
+        rsd = F.coalesce(F.nanvl("rs", F.lit(None).cast("double")), F.lit(1e-8))
+        dev = F.abs(F.col("x") - F.col("rm"))
+        local = F.when(rsd == 0, F.when(dev != 0, F.lit(float("inf")))).otherwise(dev / rsd)
+        glob = F.abs((F.col("x") - F.col("mu")) / (F.col("sd") + F.lit(1e-8)))
+        return framed.select("column", "idx", "x", "n", glob.alias("global_z"), local.alias("local_z"),
+                             F.lit(win).alias("window"))
+    return _per_window(long, lambda n: max(5, min(max_window, n // 20)), build)
 
 
 def collective_test(long: DataFrame, dataset_is_time_series: bool = False,
@@ -235,45 +248,65 @@ def adf_maxlag(n: int) -> int:
     return int(min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25)))
 
 
-def adf_test(long: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS):
+ADF_BLOCK_ROWS = 1 << 17
+
+
+def _gram_partials(big_p: int):
+    """applyInPandas body: partial Gram matrices of one (column, block) group, one per
+    start bucket min(idx, P + 1).  Columns: 1, y_{t-1}, dy_{t-1..t-P}, dy_t."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        y = pdf["y"].to_numpy(dtype=float)
+        idx = pdf["idx"].to_numpy()
+        own = pdf["_own"].to_numpy(dtype=bool)
+        n = len(y)
+        ylag = np.full(n, np.nan)
+        ylag[1:] = y[:-1]
+        d = y - ylag
+        cols = [np.ones(n), ylag]
+        for k in range(1, big_p + 1):
+            lagged = np.full(n, np.nan)
+            if k < n:
+                lagged[k:] = d[:-k]
+            cols.append(lagged)
+        cols.append(d)
+        z = np.nan_to_num(np.column_stack(cols), nan=0.0)
+        valid = own & (idx >= 1)
+        bucket = np.minimum(idx, big_p + 1)
+        rows = []
+        for b in np.unique(bucket[valid]):
+            zb = z[valid & (bucket == b)]
+            rows.append((pdf["column"].iloc[0], int(b), (zb.T @ zb).ravel().tolist()))
+        return pd.DataFrame(rows, columns=["column", "b", "g"])
+    return fn
+
+
+def adf_test(long: DataFrame, block_rows: int = ADF_BLOCK_ROWS):
     """D4 per column: tau statistic with the lag picked by AIC; stationary if tau is
-    below the 5 % critical value.  Returns a list of dicts (one per column)."""
+    below the 5 % critical value.  Returns a list of dicts (one per column).
+
+    Lagged regressors are built per (column, block) group with a halo of P + 1 rows in
+    ``applyInPandas``; each group returns its partial Gram matrices (at most
+    (P + 3)^2 numbers per start bucket), which are summed on the driver, where the
+    small least-squares problems are solved.
+    """
     counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count("x").alias("n")).collect()}
     if not counts:
         return []
     big_p = max(max(adf_maxlag(n), 0) for n in counts.values())
     stats = long.groupBy("column").agg(F.avg("x").alias("m"))
-    framed, w = _blocked(long, big_p + 1, block_rows)
-    framed = framed.join(F.broadcast(stats), "column")
-    y = F.col("x") - F.col("m")
-    d = y - F.lag(y, 1).over(w)
-    base = framed.select("column", "idx", "_own", y.alias("y"),
-                         F.lag(y, 1).over(w).alias("ylag"), d.alias("d"),
-                         *[F.lag(d, k).over(w).alias(f"dl{k}") for k in range(1, big_p + 1)])
-    base = base.where("_own AND idx >= 1")
-    # regressors: const, y_{t-1}, d_{t-1..t-P}; target d_t
-    names = ["one", "ylag"] + [f"dl{k}" for k in range(1, big_p + 1)] + ["d"]
-    exprs = {"one": F.lit(1.0)}
-    for nm in names[1:]:
-        exprs[nm] = F.coalesce(F.col(nm), F.lit(0.0))
-    bucket = F.least(F.col("idx"), F.lit(big_p + 1))
-    prods = []
-    for i, a in enumerate(names):
-        for j in range(i, len(names)):
-            prods.append(F.sum(exprs[a] * exprs[names[j]]).alias(f"g_{i}_{j}"))
-    grams = base.groupBy("column", bucket.alias("b")).agg(*prods).collect()
-    k = len(names)
+    centred = long.join(F.broadcast(stats), "column").select("column", "idx", (F.col("x") - F.col("m")).alias("y"))
+    framed = with_halo(centred, "idx", big_p + 1, max(block_rows, big_p + 1))
+    parts = (framed.groupBy("column", "_blk")
+             .applyInPandas(_gram_partials(big_p), "column string, b long, g array<double>")
+             .collect())
+    k = big_p + 3
     per_col: dict[str, dict[int, np.ndarray]] = {}
-    for r in grams:
-        g = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                g[i, j] = g[j, i] = r[f"g_{i}_{j}"] or 0.0
-        per_col.setdefault(r["column"], {})[int(r["b"])] = g
-    out = []
-    for col, n in counts.items():
-        out.append(_adf_from_grams(col, n, per_col.get(col, {}), big_p))
-    return out
+    for r in parts:
+        g = np.asarray(r["g"], dtype=float).reshape(k, k)
+        slot = per_col.setdefault(r["column"], {})
+        slot[int(r["b"])] = slot.get(int(r["b"]), 0) + g
+    return [_adf_from_grams(col, n, per_col.get(col, {}), big_p) for col, n in counts.items()]
 
 
 def _ols_from_gram(g: np.ndarray, cols: list[int], target: int, nobs: int):

@@ -52,17 +52,25 @@ def _union(frames):
 # ---------------------------------------------------------------------------
 
 def _roles_of(df: DataFrame, label: str, key: list[str], sample: int | None = SAMPLE) -> DataFrame:
+    """Role table of one table.  The profiled rows (at most ``sample``) are cached for
+    the few jobs that read them; the result has one row per column."""
     n = df.count()
     prof = tail_rows(df, key, sample) if sample and n > sample else df
+    if sample and n > sample:
+        prof = prof.persist()
     st = column_stats(prof, key)
     roles = role_table(st, df.columns)
-    return roles.select(F.lit(label).alias("table_name"), F.col("column").alias("column_name"),
+    out = roles.select(F.lit(label).alias("table_name"), F.col("column").alias("column_name"),
                         F.col("pos").cast("int").alias("pos"), "family",
                         F.col("n_rows").cast("long").alias("n_rows"),
                         F.col("n_distinct").cast("long").alias("n_distinct"),
                         F.col("n_nonnull").cast("long").alias("n_nonnull"), "role",
                         "temporal_candidate", "high_cardinality",
                         F.col("label_rank").cast("int").alias("label_rank"))
+    rows = out.collect()  # one row per column
+    if prof is not df:
+        prof.unpersist()
+    return df.sparkSession.createDataFrame(rows, out.schema)
 
 
 def _roles(spark, sf, table, key):
@@ -70,7 +78,12 @@ def _roles(spark, sf, table, key):
 
 
 def q_column_roles(spark, sf):
-    return _union(_roles(spark, sf, t, k) for t, k in ROLE_TABLES)
+    """Role tables of twelve driver tables.  Each table is a handful of small jobs, so
+    the tables are submitted concurrently (Spark schedules jobs from several threads)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        frames = list(pool.map(lambda tk: _roles(spark, sf, tk[0], tk[1]), ROLE_TABLES))
+    return _union(frames)
 
 
 def _role_union_sql():
@@ -449,8 +462,7 @@ def q_robust_scale(spark, sf):
 def q_tfidf(spark, sf):
     d = _t(spark, sf, "documents")
     vocab = FE.fit_vocabulary(d, "text")
-    cols = FE.tfidf_columns("text", vocab)
-    wide = d.select("doc_id", *cols)
+    wide = FE.tfidf_frame(d, "text", vocab, ["doc_id"])
     names = [f"text_tfidf_{t}" for t, _ in vocab]
     lv = long_values(wide, names, "double", keep=["doc_id"])
     return lv.select("doc_id", F.regexp_replace("column", "^text_tfidf_", "").alias("term"),

@@ -31,7 +31,7 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               **options) -> DataFrame:
+               min_partitions: int | None = None, **options) -> DataFrame:
     """Read a table the way the reference reads its input.
 
     Parquet is read as is.  CSV (A1) is read with a header and inferred types, but
@@ -51,9 +51,23 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         df = reader.schema(T.StructType(fields)).csv(path)
     else:
         df = spark.read.options(**options).format(fmt).load(path)
+    if min_partitions:
+        df = spread(df, min_partitions)
     return normalize_missing(df)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that arrived in fewer partitions than the cluster has cores.
+
+    A single large row group is one task whatever the file size; on a real cluster the
+    input already has thousands of splits and this is a no-op (no extra shuffle).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
     return {n: read_table(spark, f"{sf_dir}/{n}.parquet") for n in names}
 
