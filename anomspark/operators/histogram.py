@@ -19,10 +19,14 @@ def long_values(df: DataFrame, columns: Sequence[str], value_type: str = "string
                 keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., column, value) for every non-null cell of ``columns``."""
     keep = list(keep)
-    proj = df.select(*[c(k) for k in keep],
+    alias = [f"__key{i}" for i in range(len(keep))]  # a kept column may also be a value column
+    proj = df.select(*[c(k).alias(a) for k, a in zip(keep, alias)],
                      *[c(x).cast(value_type).alias(x) for x in columns])
-    long = proj.unpivot(keep, list(columns), "column", "value")
-    return long.where(F.col("value").isNotNull())
+    long = proj.unpivot([F.col(a) for a in alias], [c(x) for x in columns], "column", "value")
+    long = long.where(F.col("value").isNotNull())
+    for k, a in zip(keep, alias):
+        long = long.withColumnRenamed(a, k)
+    return long
 
 
 def value_histogram(df: DataFrame, columns: Sequence[str], value_type: str = "string") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,22 +78,37 @@ def detector_summary(scores: dict[str, DataFrame], embedding_dims: dict[str, int
 # the projection is a plain select.
 # ---------------------------------------------------------------------------
 
+def moments(features: DataFrame, names: Sequence[str]):
+    """(n, column sums, X'X) of the feature columns.  Every partition returns its own
+    partial sums from numpy (``mapInPandas``); only d + d^2 numbers per partition reach
+    the driver."""
+    names = list(names)
+    d = len(names)
+    vec = features.select(F.array(*[F.coalesce(c(n).cast("double"), F.lit(0.0)) for n in names]).alias("x"))
+
+    def partial(batches):
+        n, s1, s2 = 0, np.zeros(d), np.zeros((d, d))
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy()).astype(float)
+                n += len(x)
+                s1 += x.sum(axis=0)
+                s2 += x.T @ x
+        yield pd.DataFrame({"n": [n], "s1": [s1.tolist()], "s2": [s2.ravel().tolist()]})
+
+    rows = vec.mapInPandas(partial, "n long, s1 array<double>, s2 array<double>").collect()
+    n = sum(r["n"] for r in rows)
+    s1 = sum((np.asarray(r["s1"]) for r in rows), np.zeros(d))
+    s2 = sum((np.asarray(r["s2"]).reshape(d, d) for r in rows), np.zeros((d, d)))
+    return n, s1, s2
+
+
 def pca_fit(features: DataFrame, names: Sequence[str], k: int):
     names = list(names)
     d = len(names)
-    cols = [c(n).cast("double") for n in names]
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x).alias(f"s{i}") for i, x in enumerate(cols)]
-    for i in range(d):
-        for j in range(i, d):
-            aggs.append(F.sum(cols[i] * cols[j]).alias(f"p{i}_{j}"))
-    row = features.agg(*aggs).first()
-    n = row["n"]
-    mean = np.array([(row[f"s{i}"] or 0.0) / n for i in range(d)])
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            v = ((row[f"p{i}_{j}"] or 0.0) - n * mean[i] * mean[j]) / max(n - 1, 1)
-            cov[i, j] = cov[j, i] = v
+    n, s1, s2 = moments(features, names)
+    mean = s1 / max(n, 1)
+    cov = (s2 - n * np.outer(mean, mean)) / max(n - 1, 1)
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1]
     comps = vecs[:, order].T

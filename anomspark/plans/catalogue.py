@@ -586,3 +586,112 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_summary": q_score_summary,
     "detector_summary": q_detector_summary,
 }
+
+
+# ---------------------------------------------------------------------------
+# G: detectors on real feature matrices; H2/H3/H5; full runs and profile records
+# ---------------------------------------------------------------------------
+
+def _embedding_matrix(spark, sf):
+    e = _t(spark, sf, "embeddings")
+    dim = len(e.select("embedding").first()["embedding"])
+    names = [f"e{i}" for i in range(dim)]
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
+
+
+def q_knn(spark, sf):
+    from anomspark.operators.detectors.lof import knn_with_keys
+    m, names = _embedding_matrix(spark, sf)
+    return knn_with_keys(m, "vec_id", names).select("vec_id", "nbr_vec_id", r6(F.col("dist")).alias("dist"))
+
+
+def q_lof(spark, sf):
+    from anomspark.operators.detectors.lof import lof
+    m, names = _embedding_matrix(spark, sf)
+    return lof(m, ["vec_id"], names).select("vec_id", r6(F.col("score")).alias("lof"))
+
+
+def _doc_detector(name):
+    def q(spark, sf):
+        from anomspark.engine import DETECTORS
+        feats, spec = _documents_feats(spark, sf)
+        feats = feats.checkpoint(eager=True)
+        return DETECTORS[name](feats, ["doc_id"], spec.feature_names).select("doc_id", "score")
+    q.__name__ = f"q_{name}"
+    return q
+
+
+def q_pca_embedding(spark, sf):
+    feats, spec = _documents_feats(spark, sf)
+    return SC.pca_embedding(feats.checkpoint(eager=True), ["doc_id"], spec.feature_names, R.EMBEDDING_DIM)
+
+
+def q_neural_embedding(spark, sf):
+    from anomspark.operators.detectors.neural import neural_embedding
+    feats, spec = _documents_feats(spark, sf)
+    return neural_embedding("autoencoder", feats.checkpoint(eager=True), ["doc_id"], spec.feature_names)
+
+
+def _documents_run(spark, sf):
+    from anomspark.engine import run
+    return run(_t(spark, sf, "documents"), key=["doc_id"])
+
+
+def q_score_table(spark, sf):
+    return _documents_run(spark, sf).result
+
+
+def q_detector_status(spark, sf):
+    res = _documents_run(spark, sf)
+    rows = [(s["detector"], s["status"], s["message"], res.embedding_source) for s in res.status]
+    return spark.createDataFrame(rows, "detector string, status string, message string, embedding_source string")
+
+
+PROFILED = [("events", ["event_id"]), ("documents", ["doc_id"]), ("orders", ["o_orderkey"]),
+            ("labels", ["doc_id"]), ("pages", ["page_id"]), ("customer", ["c_custkey"])]
+
+
+def _profiles(spark, sf):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from anomspark.operators.profile import profile
+
+    def one(tk):
+        t, k = tk
+        return profile(_t(spark, sf, t), order_by=k).to_df(spark).select(F.lit(t).alias("table_name"), "*")
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        return _union(list(pool.map(one, PROFILED)))
+
+
+def q_profile_record(spark, sf):
+    return _profiles(spark, sf)
+
+
+def q_route(spark, sf):
+    from anomspark.plans.route import route_df
+    return route_df(_profiles(spark, sf)).select("table_name", "dataset_type", "supervision_level", "strategy",
+                                                 "recommended_models", "detectors")
+
+
+def q_preprocess_plan(spark, sf):
+    from anomspark.plans.route import route_df
+    return route_df(_profiles(spark, sf)).select("table_name", "preprocessing_steps.*", "metadata.*")
+
+
+QUERIES.update({
+    "knn": q_knn,
+    "lof": q_lof,
+    "isolation_forest": _doc_detector("isolation_forest"),
+    "one_class_svm": _doc_detector("one_class_svm"),
+    "autoencoder": _doc_detector("autoencoder"),
+    "vae": _doc_detector("vae"),
+    "deep_svdd": _doc_detector("deep_svdd"),
+    "deep_svdd_sequential": _doc_detector("deep_svdd_sequential"),
+    "pca_embedding": q_pca_embedding,
+    "neural_embedding": q_neural_embedding,
+    "score_table": q_score_table,
+    "detector_status": q_detector_status,
+    "profile_record": q_profile_record,
+    "route": q_route,
+    "preprocess_plan": q_preprocess_plan,
+})

@@ -532,3 +532,24 @@ FROM s"""
     q["detector_summary"] = (f"SELECT 'ecod' AS detector, round(avg(score), 6) AS mean_score FROM {ECOD_NORM} "
                              f"UNION ALL SELECT 'zscore', round(avg(score), 6) FROM {ZSCORE_NORM}")
     return q
+
+
+KNN_PAIRS = """(WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings),
+ d AS (SELECT a.vec_id AS q, b.vec_id AS nb, array_distance(a.v, b.v) AS dist
+       FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, nb) AS rk FROM d)
+ SELECT q, nb, dist FROM r WHERE rk <= 20)"""
+
+
+def detector_sql() -> dict[str, str]:
+    return {
+        "knn": f"SELECT q AS vec_id, nb AS nbr_vec_id, round(dist, 6) AS dist FROM {KNN_PAIRS}",
+        "lof": f"""
+WITH k AS {KNN_PAIRS},
+ kd AS (SELECT q, max(dist) AS kdist FROM k GROUP BY q),
+ rd AS (SELECT k.q, greatest(k.dist, kd.kdist) AS reach FROM k JOIN kd ON kd.q = k.nb),
+ lrd AS (SELECT q, 1.0 / (avg(reach) + 1e-10) AS lrd FROM rd GROUP BY q),
+ lf AS (SELECT k.q, avg(l2.lrd) / max(l1.lrd) AS lof FROM k JOIN lrd l2 ON l2.q = k.nb
+        JOIN lrd l1 ON l1.q = k.q GROUP BY k.q)
+SELECT q AS vec_id, round(lof, 6) AS lof FROM lf""",
+    }
