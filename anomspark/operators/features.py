@@ -177,8 +177,10 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
         order.append(name)
         exprs[name] = col.alias(name)
 
-    # F3 tf-idf
+    # F3 tf-idf.  The per-document term counts are joined only in the final projection:
+    # tf-idf columns are never imputed, encoded or scaled, so no fitting job needs them.
     count_frames: list[DataFrame] = []
+    deferred: dict[str, Column] = {}
     for tcol in text_cols:
         if tcol not in order:
             continue
@@ -194,30 +196,30 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
         for (t, _), colx in zip(vocab, tfidf_from_counts(prefix, tcol, vocab)):
             nm = f"{tcol}_tfidf_{t}"
             order.append(nm)
-            exprs[nm] = colx
+            deferred[nm] = colx
             types[nm] = T.DoubleType()
 
+    def live() -> list[str]:
+        return [n for n in order if n not in deferred]
+
     base_cols = [c(k) for k in key]
-    src = df
-    for frame in count_frames:
-        src = src.join(frame, key, "left")
-    work = src.select(*base_cols, *[exprs[n] for n in order]) if order else src.select(*base_cols)
+    work = df.select(*base_cols, *[exprs[n] for n in live()])
     key_names = set(key)
 
     def stage(frame: DataFrame, names: list[str], ex: dict[str, Column]) -> DataFrame:
-        return frame.select(*[c(k) for k in key], *[ex[n].alias(n) for n in names])
+        return frame.select(*[c(k) for k in key], *[ex[n].alias(n) for n in names if n not in deferred])
 
     # F4 dtype split
-    categorical = [n for n in order if isinstance(types[n], T.StringType)]
-    continuous = [n for n in order if n not in categorical and isinstance(types[n], NUMERIC_TYPES + (T.LongType,))]
+    categorical = [n for n in live() if isinstance(types[n], T.StringType)]
+    continuous = [n for n in live() if n not in categorical and isinstance(types[n], NUMERIC_TYPES + (T.LongType,))]
     spec.categorical, spec.continuous = categorical, continuous
-    cur = {n: c(n) for n in order}
+    cur = {n: c(n) for n in live()}
 
     # F5 / F6 / F7 imputation
     if steps.get("impute_missing"):
         is_ts = bool(meta.get("is_time_series")) if meta else False
         if is_ts:
-            work = ffill_bfill(work, order, order_by or key)
+            work = ffill_bfill(work, live(), order_by or key)
         else:
             meds = _median_map(work, continuous)
             for n in continuous:
@@ -239,7 +241,7 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
                         spec.modes[r["column"]] = r["mode"]
                         cur[r["column"]] = F.coalesce(c(r["column"]), F.lit(r["mode"]))
             work = stage(work, order, cur)
-            cur = {n: c(n) for n in order}
+            cur = {n: c(n) for n in live()}
 
     # F8 / F9 / F10 encoding
     joins: list[tuple[str, DataFrame]] = []
@@ -271,18 +273,18 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
         frame = work
         for i, (n, tbl) in enumerate(joins):
             frame = frame.join(tbl, c(n) == F.col(f"_v_{i}"), "left")
-        work = frame.select(*[c(k) for k in key], *[cur[n].alias(n) for n in order])
+        work = frame.select(*[c(k) for k in key], *[cur[n].alias(n) for n in live()])
         _ = keep_raw
     else:
         for n in categorical:
             order.remove(n)
             cur.pop(n)
         work = stage(work, order, cur)
-    cur = {n: c(n) for n in order}
+    cur = {n: c(n) for n in live()}
 
     # F11 / F12 robust scaling
     prefixes = tuple(f"{x}_" for x in categorical)
-    to_scale = [n for n in order if "_tfidf_" not in n and not (prefixes and n.startswith(prefixes))]
+    to_scale = [n for n in live() if "_tfidf_" not in n and not (prefixes and n.startswith(prefixes))]
     if steps.get("scale_continuous") and to_scale:
         quart = _quartiles(work.select(*[c(k) for k in key], *[c(n).cast("float").cast("double").alias(n)
                                                                   if n in spec.freq_encoded else c(n).cast("double").alias(n)
@@ -296,8 +298,11 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
             spec.scaled[n] = (med, scale)
             cur[n] = (c(n).cast("double") - F.lit(med)) / F.lit(scale)
 
-    # F13 float32 feature matrix
+    # F13 float32 feature matrix (tf-idf counts joined here, on the key)
     spec.feature_names = list(order)
+    for frame in count_frames:
+        work = work.join(frame, key, "left")
+    cur.update(deferred)
     out = work.select(*[c(k) for k in key], *[cur[n].cast("float").alias(n) for n in order])
     _ = key_names
     return out, spec
