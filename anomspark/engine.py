@@ -15,6 +15,7 @@ from anomspark.operators import scoring as SC
 from anomspark.operators.profile import Profile, profile
 from anomspark.plans import route as RT
 from anomspark.plans.ordering import c
+from anomspark.session import reliable_checkpoint
 
 
 def _ecod(feats, key, names, **kw):
@@ -76,13 +77,13 @@ def run_detectors(feats: DataFrame, key: Sequence[str], names: Sequence[str],
     """G1 + G11: run each resolved detector as its own job; failures are recorded."""
     key = list(key)
     if checkpoint:
-        feats = feats.checkpoint(eager=True)
+        feats = reliable_checkpoint(feats)
     scores: dict[str, DataFrame] = {}
     status = []
     for name in RT.resolve_detectors(detectors):
         try:
             raw = DETECTORS[name](feats, key, list(names))
-            norm = SC.minmax(raw.checkpoint(eager=True) if checkpoint else raw, "score")
+            norm = SC.minmax(reliable_checkpoint(raw) if checkpoint else raw, "score")
             scores[name] = norm
             status.append({"detector": name, "status": "ok", "message": ""})
         except Exception as e:  # one failing detector never stops the others

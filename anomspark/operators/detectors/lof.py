@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from anomspark.operators.scoring import pca_fit
 from anomspark.plans.ordering import c, group_index
+from anomspark.session import reliable_checkpoint
 
 # Neighbourhood size and the LOF density offset.
 N_NEIGHBORS = 20
@@ -79,7 +80,7 @@ def knn(features: DataFrame, key: Sequence[str], names: Sequence[str], k: int =
     proj = sum((x * F.lit(float(u[i])) for i, x in enumerate(xs)), F.lit(0.0))
     vec = features.select(*[c(x) for x in key], F.array(*xs).alias("x"), proj.alias("proj"),
                           c(key[0]).alias("tie"))
-    indexed = group_index(vec, ["proj", *key], (), "idx").checkpoint(eager=True)
+    indexed = reliable_checkpoint(group_index(vec, ["proj", *key], (), "idx"))
     n = indexed.count()
     pending = indexed.select("idx").withColumn("_query", F.lit(True))
     done = None
@@ -96,12 +97,11 @@ def knn(features: DataFrame, key: Sequence[str], names: Sequence[str], k: int =
         flagged = (cands.join(pending.withColumnRenamed("idx", "_qi"),
                               (F.col("idx") == F.col("_qi")) & (F.floor(F.col("idx") / b) == F.col("_blk")), "left")
                    .withColumn("_query", F.coalesce(F.col("_query"), F.lit(False))).drop("_qi"))
-        res = (flagged.groupBy("_blk").applyInPandas(_knn_block(k, n), KNN_SCHEMA)
-               .checkpoint(eager=True))
+        res = reliable_checkpoint(flagged.groupBy("_blk").applyInPandas(_knn_block(k, n), KNN_SCHEMA))
         good = res.where("certified").select("qidx", "nidx", "dist")
         done = good if done is None else done.unionByName(good)
-        pending = res.where(~F.col("certified")).select(F.col("qidx").alias("idx")).distinct() \
-            .withColumn("_query", F.lit(True)).checkpoint(eager=True)
+        pending = reliable_checkpoint(res.where(~F.col("certified")).select(F.col("qidx").alias("idx"))
+                                      .distinct().withColumn("_query", F.lit(True)))
         if pending.limit(1).count() == 0 or halo >= n:
             if pending.limit(1).count() > 0:  # final window covered everything: certified
                 done = done.unionByName(res.where(~F.col("certified")).select("qidx", "nidx", "dist"))

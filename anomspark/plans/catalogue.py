@@ -21,6 +21,7 @@ from anomspark.operators.profile import (column_stats, observations_per_entity,
 from anomspark.plans import oracle as O
 from anomspark.plans.ordering import c, group_index, tail_rows
 from anomspark.sources.io import read_table
+from anomspark.session import prepare_session, reliable_checkpoint
 
 ROLE_TABLES = [("events", ["event_id"]), ("documents", ["doc_id"]), ("orders", ["o_orderkey"]),
                ("customer", ["c_custkey"]), ("part", ["p_partkey"]), ("labels", ["doc_id"]),
@@ -33,6 +34,7 @@ SAMPLE = R.MAX_SAMPLE_SIZE
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    prepare_session(spark)
     return read_table(spark, f"{sf}/{name}.parquet")
 
 
@@ -615,7 +617,7 @@ def _doc_detector(name):
     def q(spark, sf):
         from anomspark.engine import DETECTORS
         feats, spec = _documents_feats(spark, sf)
-        feats = feats.checkpoint(eager=True)
+        feats = reliable_checkpoint(feats)
         return DETECTORS[name](feats, ["doc_id"], spec.feature_names).select("doc_id", "score")
     q.__name__ = f"q_{name}"
     return q
@@ -623,13 +625,13 @@ def _doc_detector(name):
 
 def q_pca_embedding(spark, sf):
     feats, spec = _documents_feats(spark, sf)
-    return SC.pca_embedding(feats.checkpoint(eager=True), ["doc_id"], spec.feature_names, R.EMBEDDING_DIM)
+    return SC.pca_embedding(reliable_checkpoint(feats), ["doc_id"], spec.feature_names, R.EMBEDDING_DIM)
 
 
 def q_neural_embedding(spark, sf):
     from anomspark.operators.detectors.neural import neural_embedding
     feats, spec = _documents_feats(spark, sf)
-    return neural_embedding("autoencoder", feats.checkpoint(eager=True), ["doc_id"], spec.feature_names)
+    return neural_embedding("autoencoder", reliable_checkpoint(feats), ["doc_id"], spec.feature_names)
 
 
 def _documents_run(spark, sf):

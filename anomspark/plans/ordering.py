@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anomspark.session import default_parallelism
+from anomspark.session import default_parallelism, reliable_checkpoint
 
 DEFAULT_BLOCK_ROWS = 1 << 20
 
@@ -77,7 +77,7 @@ def group_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
     # Range bounds are sampled with a seed tied to the RDD id, so two evaluations of
     # ``ranged`` may cut differently.  A reliable checkpoint fixes one layout for both
     # the offsets table and the rows, and survives executor loss.
-    ranged = ranged.checkpoint(eager=True)
+    ranged = reliable_checkpoint(ranged)
     meta = ranged.groupBy("_pid", *[c(g) for g in group_cols]).agg(
         F.min("_lpos").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*[c(g) for g in group_cols]).orderBy("_pid")
@@ -124,10 +124,9 @@ def group_prefix_sum(df: DataFrame, order_cols: Sequence[str], weight_col: str,
     parts = num_partitions or default_parallelism(spark)
     groups = [group_col] if group_col else []
     keys = [*groups, *order_cols]
-    ranged = (df.repartitionByRange(parts, *[c(k) for k in keys])
-              .sortWithinPartitions(*[c(k) for k in keys])
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = reliable_checkpoint(df.repartitionByRange(parts, *[c(k) for k in keys])
+                                 .sortWithinPartitions(*[c(k) for k in keys])
+                                 .withColumn("_pid", F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [T.StructField("_lcum", T.LongType())])
     local = ranged.mapInPandas(_local_cumsum(group_col, weight_col, "_lcum"), schema)
     meta = ranged.groupBy("_pid", *[c(g) for g in groups]).agg(

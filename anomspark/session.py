@@ -70,3 +70,20 @@ def is_local(spark: SparkSession) -> bool:
 
 
 os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the session's checkpoint directory (cuts the
+    lineage; survives executor loss).  Never a local checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Settings the results depend on, applied to a session someone else created:
+    naive timestamps are read as UTC (as the reference's epoch conversion does), and a
+    reliable checkpoint directory must exist."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    return spark
