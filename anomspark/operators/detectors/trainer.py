@@ -47,7 +47,8 @@ class Model:
         return theta
 
 
-def _epoch_fn(model: Model, theta_bc, d: int, epoch: int, seed: int, batch: int, lr: float):
+def _epoch_fn(model: Model, theta_bc, d: int, epoch: int, seed: int, batch: int, lr: float,
+              local_epochs: int = 1):
     def run(batches):
         from pyspark import TaskContext
         parts = [_stack(pdf, d) for pdf in batches]
@@ -63,23 +64,29 @@ def _epoch_fn(model: Model, theta_bc, d: int, epoch: int, seed: int, batch: int,
         v = np.zeros_like(theta)
         b1, b2, eps = 0.9, 0.999, 1e-8
         step = 0
-        order = rng.permutation(n)
-        for start in range(0, n, batch):
-            xb = x[order[start:start + batch]]
-            g = model.grad(theta, xb, rng)
-            step += 1
-            m = b1 * m + (1 - b1) * g
-            v = b2 * v + (1 - b2) * g * g
-            mh = m / (1 - b1 ** step)
-            vh = v / (1 - b2 ** step)
-            theta = theta - lr * mh / (np.sqrt(vh) + eps)
+        for _ in range(local_epochs):
+            order = rng.permutation(n)
+            for start in range(0, n, batch):
+                xb = x[order[start:start + batch]]
+                g = model.grad(theta, xb, rng)
+                step += 1
+                m = b1 * m + (1 - b1) * g
+                v = b2 * v + (1 - b2) * g * g
+                mh = m / (1 - b1 ** step)
+                vh = v / (1 - b2 ** step)
+                theta = theta - lr * mh / (np.sqrt(vh) + eps)
         yield pd.DataFrame({"theta": [theta.tolist()], "n": [n]})
     return run
 
 
 def train(model: Model, vec: DataFrame, d: int, epochs: int, batch: int = 64, lr: float = 1e-3,
-          seed: int = 42) -> np.ndarray:
-    """Fit ``model`` on the ``x`` column of ``vec`` (persist / checkpoint it first)."""
+          seed: int = 42, sync_every: int = 5) -> np.ndarray:
+    """Fit ``model`` on the ``x`` column of ``vec``.
+
+    ``epochs`` passes over the data in total; partitions average their parameters every
+    ``sync_every`` local epochs (one Spark job per synchronisation)."""
+    from anomspark.session import reliable_checkpoint
+    vec = reliable_checkpoint(vec.select("x"))
     sc = vec.sparkSession.sparkContext
     rng = np.random.default_rng(seed)
     theta = model.init(rng, d)
@@ -101,9 +108,12 @@ def train(model: Model, vec: DataFrame, d: int, epochs: int, batch: int = 64, lr
         tot = sum(r["n"] for r in rows)
         mean_stat = sum(np.asarray(r["theta"]) for r in rows) / tot if tot else None
         theta = model.prepare(theta, mean_stat)
-    for epoch in range(epochs):
+    done = 0
+    while done < epochs:
+        local = min(sync_every, epochs - done)
         bc = sc.broadcast(theta)
-        rows = vec.select("x").mapInPandas(_epoch_fn(model, bc, d, epoch, seed, batch, lr), schema).collect()
+        rows = vec.mapInPandas(_epoch_fn(model, bc, d, done, seed, batch, lr, local), schema).collect()
+        done += local
         bc.unpersist()
         tot = sum(r["n"] for r in rows)
         if tot == 0:
