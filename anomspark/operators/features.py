@@ -303,7 +303,9 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
     for frame in count_frames:
         work = work.join(frame, key, "left")
     cur.update(deferred)
-    out = work.select(*[c(k) for k in key], *[cur[n].cast("float").alias(n) for n in order])
+    # via double: Catalyst folds integer -> float -> double casts and would skip the
+    # float32 rounding the feature matrix is defined with
+    out = work.select(*[c(k) for k in key], *[cur[n].cast("double").cast("float").alias(n) for n in order])
     _ = key_names
     return out, spec
 

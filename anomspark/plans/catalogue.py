@@ -697,3 +697,69 @@ QUERIES.update({
     "route": q_route,
     "preprocess_plan": q_preprocess_plan,
 })
+
+
+# ---------------------------------------------------------------------------
+# A1 / A2 / F10 / D1 label / ECOD on the documents feature matrix
+# ---------------------------------------------------------------------------
+
+def q_csv_roundtrip(spark, sf):
+    """A1: events written as CSV into the shared checkpoint folder and scanned back with
+    inferred types (date-like text stays a string)."""
+    import uuid
+
+    from anomspark.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/csv-{uuid.uuid4().hex}"
+    _t(spark, sf, "events").write.option("header", "true").csv(path)
+    return read_table(spark, path, fmt="csv")
+
+
+def q_companion_graph(spark, sf):
+    """A2: ``*.json`` files whose name contains "graph" next to the tables."""
+    from anomspark.sources.io import companion_graph_files
+    prepare_session(spark)
+    files = companion_graph_files(spark, sf)
+    if files is None:
+        return spark.createDataFrame([], "file_name string")
+    return files
+
+
+def q_drop_strings(spark, sf):
+    """with encoding off, string columns leave the feature matrix."""
+    ev = _t(spark, sf, "events")
+    steps = {"encode_categorical": False, "exclude_id_columns": [], "text_columns": []}
+    feats, spec = FE.fit_transform(ev, steps, ["event_id"])
+    return _long_features(feats, ["event_id"], spec.feature_names).select(
+        "event_id", F.col("column").alias("feature"), r6(F.col("value")).alias("value"))
+
+
+def q_regularity_label(spark, sf):
+    ev = _t(spark, sf, "events")
+    o = _t(spark, sf, "orders")
+    rows = []
+    for label, df, col, is_dt in [("events.ts", ev, "ts", True), ("orders.o_orderdate", o, "o_orderdate", True),
+                                  ("events.event_id", ev, "event_id", False)]:
+        st = TM.regularity_stats(df, col, is_dt)
+        lab = (F.when((F.col("n_distinct") == 1) | ((F.col("n_zero") == 0) & (F.col("min_pos_gap") == F.col("max_gap"))),
+                      "regular")
+               .when((F.col("mean_gap") != 0) & (F.col("sd_gap") / F.col("mean_gap") < 0.1), "near_regular")
+               .otherwise("irregular"))
+        rows.append(st.select(F.lit(label).alias("column_name"), lab.alias("regularity")))
+    return _union(rows)
+
+
+def q_ecod_documents(spark, sf):
+    """G2 on the real float32 feature matrix of documents (F1-F13 then ECOD)."""
+    feats, spec = _documents_feats(spark, sf)
+    s = ecod(reliable_checkpoint(feats), ["doc_id"], spec.feature_names)
+    return s.select("doc_id", r6(F.col("score")).alias("score"))
+
+
+QUERIES.update({
+    "csv_roundtrip": q_csv_roundtrip,
+    "companion_graph": q_companion_graph,
+    "drop_strings": q_drop_strings,
+    "regularity_label": q_regularity_label,
+    "ecod_documents": q_ecod_documents,
+})

@@ -553,3 +553,54 @@ WITH k AS {KNN_PAIRS},
         JOIN lrd l1 ON l1.q = k.q GROUP BY k.q)
 SELECT q AS vec_id, round(lof, 6) AS lof FROM lf""",
     }
+
+
+def _doc_features_raw() -> str:
+    """documents feature matrix in long form with float32 values (unrounded)."""
+    freq = """(SELECT source AS v, count(*) * 1.0 / sum(count(*)) OVER () AS share
+  FROM documents WHERE source IS NOT NULL GROUP BY source)"""
+    freq_f = f"""(SELECT d.doc_id, CAST(CAST(coalesce(f.share, 0.0) AS FLOAT) AS DOUBLE) AS v
+   FROM documents d LEFT JOIN {freq} f ON d.source = f.v)"""
+    nchar = "(SELECT doc_id, CAST(n_chars AS DOUBLE) AS v FROM documents)"
+
+    def scaled(src, name):
+        return f"""SELECT s.doc_id, '{name}' AS f,
+  CAST(CAST((s.v - q.md) / (CASE WHEN q.q3 - q.q1 = 0 THEN 1.0 ELSE q.q3 - q.q1 END) AS FLOAT) AS DOUBLE) AS v
+FROM {src} s, (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS md, quantile_cont(v, 0.75) AS q3 FROM {src}) q"""
+    return f"""({scaled(freq_f, 'source')}
+UNION ALL {scaled(nchar, 'n_chars')}
+UNION ALL SELECT doc_id, 'text_tfidf_' || term, CAST(CAST(tfidf AS FLOAT) AS DOUBLE) FROM {TFIDF_LONG}
+UNION ALL SELECT d.doc_id, 'lang_' || v.lang, CASE WHEN d.lang = v.lang THEN 1.0 ELSE 0.0 END
+  FROM documents d, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) v)"""
+
+
+def extra_sql() -> dict[str, str]:
+    reg = []
+    for label, expr, tbl in [("events.ts", "epoch_us(ts) / 1e6", "events"),
+                             ("orders.o_orderdate", "epoch_us(o_orderdate) / 1e6", "orders"),
+                             ("events.event_id", "CAST(event_id AS DOUBLE)", "events")]:
+        reg.append(f"""SELECT '{label}' AS column_name,
+  CASE WHEN count(DISTINCT g) = 1 THEN 'regular'
+       WHEN avg(g) <> 0 AND stddev_samp(g) / avg(g) < 0.1 THEN 'near_regular'
+       ELSE 'irregular' END AS regularity
+FROM (SELECT v - lag(v) OVER (ORDER BY v) AS g FROM (SELECT {expr} AS v FROM {tbl}) WHERE v IS NOT NULL)
+WHERE g IS NOT NULL""")
+    long = _doc_features_raw()
+    ecod_docs = f"""
+WITH l AS {long},
+ r AS (SELECT doc_id, f, v, cume_dist() OVER (PARTITION BY f ORDER BY v) AS cl,
+              cume_dist() OVER (PARTITION BY f ORDER BY v DESC) AS cr FROM l),
+ mu AS (SELECT f, avg(v) AS mu FROM l GROUP BY f),
+ sk AS (SELECT l.f, sum(power(l.v - mu.mu, 3)) AS m3 FROM l JOIN mu USING (f) GROUP BY l.f)
+SELECT doc_id, round(sum(CASE WHEN sign(m3) = 0 THEN -ln(cl) - ln(cr) ELSE greatest(-ln(cl), -ln(cr)) END), 6) AS score
+FROM r JOIN sk USING (f) GROUP BY doc_id"""
+    return {
+        "drop_strings": """
+SELECT event_id, feature, value FROM (
+  SELECT event_id, 'ts' AS feature, round(CAST(CAST(floor(epoch(ts)) AS FLOAT) AS DOUBLE), 6) AS value FROM events
+  UNION ALL SELECT event_id, 'user_id', round(CAST(CAST(user_id AS FLOAT) AS DOUBLE), 6) FROM events
+  UNION ALL SELECT event_id, 'value', round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) FROM events)
+WHERE value IS NOT NULL""",
+        "regularity_label": "\nUNION ALL\n".join(reg),
+        "ecod_documents": ecod_docs,
+    }
