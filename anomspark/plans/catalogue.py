@@ -60,7 +60,7 @@ def _roles_of(df: DataFrame, label: str, key: list[str], sample: int | None = SA
     prof = tail_rows(df, key, sample) if sample and n > sample else df
     if sample and n > sample:
         prof = prof.persist()
-    st = column_stats(prof, key)
+    st = column_stats(prof, key, min(n, sample) if sample else n)
     roles = role_table(st, df.columns)
     out = roles.select(F.lit(label).alias("table_name"), F.col("column").alias("column_name"),
                         F.col("pos").cast("int").alias("pos"), "family",
@@ -250,20 +250,17 @@ def q_temporal_min_max(spark, sf):
 
 
 def q_class_balance(spark, sf):
+    """B12 / B13 for two label-like columns: class shares and the supervision level."""
+    from anomspark.operators.profile import supervision
     lab = _t(spark, sf, "labels")
     out = []
     for col in ["toxic", "quality"]:
-        hist = value_histogram(lab, [col])
-        fr = frequencies(hist)
-        mn = fr.agg(F.min("share").alias("imb"), F.count(F.lit(1)).alias("k"))
-        level = (F.when(F.col("k") == 1, "semi-supervised").when(F.col("imb") < 0.05, "semi-supervised")
-                 .otherwise("supervised"))
-        out.append(fr.join(mn.select(level.alias("supervision_level"),
-                                     F.when(F.col("k") == 1, 0.0).otherwise(F.col("imb")).alias("imbalance_ratio"),
-                                     F.lit(col).alias("column")), "column")
-                   .select(F.col("column").alias("label_column"), F.col("value").cast("int").alias("value"),
-                           F.col("cnt").cast("long").alias("cnt"), r6(F.col("share")).alias("share"),
-                           "supervision_level", r6(F.col("imbalance_ratio")).alias("imbalance_ratio")))
+        fr = frequencies(value_histogram(lab, [col]))
+        level, imbalance = supervision(lab, col)
+        out.append(fr.select(F.col("column").alias("label_column"), F.col("value").cast("int").alias("value"),
+                             F.col("cnt").cast("long").alias("cnt"), r6(F.col("share")).alias("share"),
+                             F.lit(level).alias("supervision_level"),
+                             F.round(F.lit(float(imbalance)), 6).alias("imbalance_ratio")))
     return _union(out)
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from anomspark.operators import scoring as SC
 from anomspark.operators.detectors.ecod import ecod
@@ -104,3 +105,14 @@ def test_resize_rule():
     from anomspark.operators.detectors.neural import resize_widths
     assert resize_widths([64, 32, 16, 32, 64], 9) == [32, 16, 8, 16, 32]
     assert resize_widths([64, 32], 21) == [64, 32]
+
+
+def test_scores_invariant_to_partitioning(blob):
+    """SURVEY §5 property: results do not depend on partitioning or row order."""
+    df, _ = blob
+    names = [f"f{i}" for i in range(4)]
+    shuffled = df.orderBy(F.rand(7)).repartition(7)
+    for det in (ecod, lof):
+        a = det(df, ["k"], names).toPandas().sort_values("k").reset_index(drop=True)
+        b = det(shuffled, ["k"], names).toPandas().sort_values("k").reset_index(drop=True)
+        assert np.allclose(a["score"], b["score"])
