@@ -49,21 +49,41 @@ def _knn_block(k: int, n_total: int):
         lo_gap_end = -np.inf if idx.min() == 0 else proj[0]
         hi_gap_end = np.inf if idx.max() == n_total - 1 else proj[-1]
         out_q, out_n, out_d, out_c = [], [], [], []
+        sq = (x * x).sum(axis=1)
+        sqmax = float(sq.max())
+        kk = min(k, len(idx) - 1)
+        if kk <= 0:
+            return pd.DataFrame({"qidx": [], "nidx": [], "dist": [], "certified": []})
+        margin = min(kk + 8, len(idx) - 1)
+        whole = lo_gap_end == -np.inf and hi_gap_end == np.inf
         for start in range(0, len(q), 512):
             qs = q[start:start + 512]
-            diff = x[qs][:, None, :] - x[None, :, :]
-            dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            dist[np.arange(len(qs)), qs] = np.inf  # never one's own neighbour
-            kk = min(k, len(idx) - 1)
+            # fast squared distances (BLAS) to shortlist, exact distances to decide
+            d2 = sq[qs][:, None] + sq[None, :] - 2.0 * (x[qs] @ x.T)
+            d2[np.arange(len(qs)), qs] = np.inf  # never one's own neighbour
+            short = np.argpartition(d2, margin - 1, axis=1)[:, :margin]
+            diff = x[qs][:, None, :] - x[short]
+            ex = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+            ex[short == qs[:, None]] = np.inf
+            gap = np.minimum(proj[qs] - lo_gap_end, hi_gap_end - proj[qs])
             for r, qi in enumerate(qs):
-                order = np.lexsort((tie, dist[r]))[:kk]
-                kdist = dist[r, order[-1]] if kk > 0 else np.inf
-                gap = min(proj[qi] - lo_gap_end, hi_gap_end - proj[qi])
-                ok = bool(kk == k and kdist <= gap) or (lo_gap_end == -np.inf and hi_gap_end == np.inf)
+                order = np.lexsort((tie[short[r]], ex[r]))[:kk]
+                kd = ex[r, order[-1]]
+                # a candidate outside the shortlist tied with the k-th: exact full ordering
+                # (the expansion loses about eps * (|a|^2 + |b|^2) to cancellation)
+                if margin < len(idx) - 1 and (np.partition(d2[r], margin)[margin]
+                                              - 1e-9 * (sq[qi] + sqmax)) <= kd * kd:
+                    full = np.sqrt(((x - x[qi]) ** 2).sum(axis=1))
+                    full[qi] = np.inf
+                    cand = np.lexsort((tie, full))[:kk]
+                    nb, dd = cand, full[cand]
+                else:
+                    nb, dd = short[r, order], ex[r, order]
+                ok = whole or (kk == k and dd[-1] <= gap[r])
                 out_q.extend([idx[qi]] * kk)
-                out_n.extend(idx[order].tolist())
-                out_d.extend(dist[r, order].tolist())
-                out_c.extend([ok] * kk)
+                out_n.extend(idx[nb].tolist())
+                out_d.extend(dd.tolist())
+                out_c.extend([bool(ok)] * kk)
         return pd.DataFrame({"qidx": out_q, "nidx": out_n, "dist": out_d, "certified": out_c})
     return fn
 
@@ -86,14 +106,13 @@ def knn(features: DataFrame, key: Sequence[str], names: Sequence[str], k: int =
     done = None
     halo = first_halo
     while True:
-        b = max(block_rows, halo)
+        b = block_rows
         halo_eff = min(halo, n)
-        # own block, plus copies into the neighbouring blocks for rows within `halo`
-        blk = F.floor(F.col("idx") / b).cast("long")
-        own = indexed.withColumn("_blk", blk)
-        prev = indexed.where(F.col("idx") - blk * b < halo_eff).withColumn("_blk", blk - 1)
-        nxt = indexed.where((blk + 1) * b - F.col("idx") <= halo_eff).withColumn("_blk", blk + 1)
-        cands = own.unionByName(prev).unionByName(nxt).where(F.col("_blk") >= 0)
+        # each row joins every block whose window [start - halo, end + halo) covers it
+        first = F.floor((F.col("idx") - halo_eff) / b).cast("long")
+        last = F.floor((F.col("idx") + halo_eff) / b).cast("long")
+        cands = (indexed.withColumn("_blk", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+                 .where(F.col("_blk") * b < n))
         flagged = (cands.join(pending.withColumnRenamed("idx", "_qi"),
                               (F.col("idx") == F.col("_qi")) & (F.floor(F.col("idx") / b) == F.col("_blk")), "left")
                    .withColumn("_query", F.coalesce(F.col("_query"), F.lit(False))).drop("_qi"))
@@ -102,11 +121,13 @@ def knn(features: DataFrame, key: Sequence[str], names: Sequence[str], k: int =
         done = good if done is None else done.unionByName(good)
         pending = reliable_checkpoint(res.where(~F.col("certified")).select(F.col("qidx").alias("idx"))
                                       .distinct().withColumn("_query", F.lit(True)))
-        if pending.limit(1).count() == 0 or halo >= n:
-            if pending.limit(1).count() > 0:  # final window covered everything: certified
+        left = pending.count()
+        if left == 0 or halo >= n:
+            if left > 0:  # the final window covered everything: certified
                 done = done.unionByName(res.where(~F.col("certified")).select("qidx", "nidx", "dist"))
             break
-        halo *= 4
+        # widen faster when the projection separates little (most rows still open)
+        halo *= 16 if left > n / 2 else 4
     _ = spark
     return indexed, done
 
