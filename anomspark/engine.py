@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -78,16 +79,27 @@ def run_detectors(feats: DataFrame, key: Sequence[str], names: Sequence[str],
     key = list(key)
     if checkpoint:
         feats = reliable_checkpoint(feats)
-    scores: dict[str, DataFrame] = {}
-    status = []
-    for name in RT.resolve_detectors(detectors):
+
+    def fit_one(name):
         try:
             raw = DETECTORS[name](feats, key, list(names))
-            norm = SC.minmax(reliable_checkpoint(raw) if checkpoint else raw, "score")
+            return name, SC.minmax(reliable_checkpoint(raw) if checkpoint else raw, "score"), None
+        except Exception as e:  # one failing detector never stops the others
+            return name, None, str(e)[:500]
+
+    # the detectors are independent jobs over one checkpointed matrix: submit them together so
+    # the scheduler interleaves their stages (iterative trainers leave cores idle between epochs)
+    resolved = RT.resolve_detectors(detectors)
+    with ThreadPoolExecutor(max_workers=max(1, len(resolved))) as pool:
+        fitted = list(pool.map(fit_one, resolved))
+    scores: dict[str, DataFrame] = {}
+    status = []
+    for name, norm, err in fitted:  # resolved order, whatever order they finished in
+        if err is None:
             scores[name] = norm
             status.append({"detector": name, "status": "ok", "message": ""})
-        except Exception as e:  # one failing detector never stops the others
-            status.append({"detector": name, "status": "failed", "message": str(e)[:500]})
+        else:
+            status.append({"detector": name, "status": "failed", "message": err})
     if not scores:
         raise RuntimeError("no detector could be fitted: "
                            + "; ".join(f"{s['detector']}: {s['message']}" for s in status))
