@@ -26,6 +26,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.sql.ansi.enabled": "true",
+        # independent jobs (role tables, detectors) are submitted from several threads
+        "spark.scheduler.mode": "FAIR",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -41,8 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that value is used as
-    is.  Only when nothing is set (local tests) a folder under the system temp dir is
-    chosen.
+    is.  Only when nothing is set and the master is local (tests) a folder under the
+    system temp dir is chosen; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(spark):
+            # a machine-local folder would not survive the loss of the executor that wrote it
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="anomspark-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
