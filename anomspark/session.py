@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -33,10 +35,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
         builder = builder.config(k, v)
-    spark = builder.getOrCreate()
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
-    return spark
+    return prepare_session(builder.getOrCreate())
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -91,4 +90,23 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once per Spark context.
+
+    The sources are zipped and handed to ``SparkContext.addPyFile``, which serves them to every
+    executor, so a driver started from any folder works.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_anomspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="anomspark-code-")) / "anomspark.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    sc.addPyFile(str(out))
+    sc._anomspark_shipped = True
