@@ -23,6 +23,8 @@ documents but summed from shingles seen at least three times by one task; any or
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,6 +41,10 @@ WORDS, PERCENT, BLOCK = 5, 75, 1024
 #: then has at most 2000 times the mean set size entries, however many documents there are.
 FREQUENT_SHARE = 2000
 FLUSH_BYTES = 64 << 20
+#: Shingles are numbered in the global order: others by 62 bits of the hash, frequent ones after them.
+LAST = 1 << 62
+#: Least hashes kept of each set, and how many of them group likely copies before the exact join.
+LEAST, SPOTS = 24, 4
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -90,6 +96,10 @@ def frequent_shingles(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray,
     return h[o], rank[o]
 
 
+def _key(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _prefixes(words: int, percent: int, frequent):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, rank = frequent.value
@@ -101,129 +111,219 @@ def _prefixes(words: int, percent: int, frequent):
             at = np.searchsorted(heavy, flat) if len(heavy) else np.zeros(len(flat), np.int64)
             at[at == len(heavy)] = 0
             is_heavy = heavy[at] == flat if len(heavy) else np.zeros(len(flat), bool)
-            sig, prefix = [], []
+            sig, least, prefix = [], [], []
             for i, s in enumerate(sets):
                 if not len(s):
                     sig.append(None)
+                    least.append(None)
                     prefix.append(None)
                     continue
-                k = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                k = _key(s)
                 sig.append(k)
                 if k in seen:  # a copy: its first row in this task carries the prefix
+                    least.append(None)
                     prefix.append(None)
                     continue
                 seen.add(k)
                 p = len(s) - needed(len(s), percent) + 1
+                least.append(s[:LEAST].view(np.int64))
                 m = is_heavy[cut[i]:cut[i + 1]]
-                light = s[~m]
-                if len(light) < p:
-                    r = rank[at[cut[i]:cut[i + 1]][m]]
-                    light = np.concatenate((light, s[m][np.argsort(r)]))
-                prefix.append(light[:p].view(np.int64))
+                order = (s[~m] >> np.uint64(2)).view(np.int64)
+                if len(order) < p:
+                    order = np.concatenate((order, np.sort(rank[at[cut[i]:cut[i + 1]][m]]) + LAST))
+                prefix.append(order[:p])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.int64()),
-                 pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "sig", "prefix"])
+                 pa.array(least, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["id", "n", "sig", "least", "prefix"])
     return run
 
 
 # ---- trie ---------------------------------------------------------------------------------
 
 class Node:
-    """A trie node; ``left`` is the most shingles any document below still has after this node,
-    ``low``/``high`` the least and greatest set size below."""
+    """A trie node; below it, ``more`` is the most shared shingles a document still has, ``low`` and
+    ``high`` the least and greatest set size."""
 
-    __slots__ = ("kids", "ends", "left", "low", "high")
+    __slots__ = ("kids", "ends", "more", "low", "high")
 
     def __init__(self):
         self.kids: dict[int, Node] = {}
         self.ends: list[tuple] = []
-        self.left, self.low, self.high = 0, 1 << 60, 0
+        self.more, self.low, self.high = 0, 1 << 60, 0
 
 
 class Trie:
-    """Documents that share one shingle, stored by the shared shingles that follow it."""
+    """Documents that share one shingle, stored by the shared shingles that follow it in order.
+
+    An entry is (node, set size, class, following shingles).  Shingles that no other document has
+    in its prefix are left out: they cannot match.
+    """
 
     def __init__(self, percent: int):
         self.percent, self.root = percent, Node()
 
     def add(self, entry: tuple) -> None:
-        _, n, _, pos, toks, poss = entry
-        node, after = self.root, pos
-        for tok, p in [(None, pos), *zip(toks, poss, strict=True)]:
+        _, n, _, toks = entry
+        node, left = self.root, len(toks)
+        for tok in [None, *toks]:
             if tok is not None:
                 node = node.kids.setdefault(tok, Node())
-                after = p
-            node.left = max(node.left, n - after - 1)
+                left -= 1
+            node.more = max(node.more, left)
             node.low, node.high = min(node.low, n), max(node.high, n)
         node.ends.append(entry)
 
     def probe(self, entry: tuple) -> Iterator[tuple]:
         """Stored documents that may be linked with ``entry`` (never misses a linked one)."""
-        _, n, _, pos, toks, poss = entry
-        pc, mine = self.percent, dict(zip(toks, poss, strict=True))
-        tail = needed(n, pc) - 1
-        stack = [(self.root, 1, n - pos - 1)]
+        _, n, _, toks = entry
+        pc, mine = self.percent, {t: i for i, t in enumerate(toks)}
+        small = needed(n, pc)
+        stack = [(self.root, 1, len(toks))]
         while stack:
             node, have, rest = stack.pop()
-            if node.high * 100 < pc * n or node.low * pc > 100 * n:
+            if node.high < small or node.low * pc > 100 * n:
                 continue
-            if have + min(rest, node.left) < overlap_needed(n, max(node.low, needed(n, pc)), pc):
+            # the shingles after the shorter prefix are unknown; the longer of both tails bounds them
+            tail = max(small, needed(node.high, pc)) - 1
+            if have + min(rest, node.more) + tail < overlap_needed(n, max(node.low, small), pc):
                 continue
             for y in node.ends:
                 m = y[1]
-                if m * 100 >= pc * n and m * pc <= 100 * n:
-                    # beyond the shorter of both prefixes nothing is known
-                    if have + max(tail, needed(m, pc) - 1) >= overlap_needed(n, m, pc):
-                        yield y
+                if small <= m and m * pc <= 100 * n and have + max(small, needed(m, pc)) - 1 >= overlap_needed(n, m, pc):
+                    yield y
             for tok, kid in node.kids.items():
-                p = mine.get(tok)
-                stack.append((kid, have, rest) if p is None else (kid, have + 1, n - p - 1))
+                i = mine.get(tok)
+                if i is None:
+                    stack.append((kid, have, min(rest, len(toks) - bisect_right(toks, tok))))
+                else:
+                    stack.append((kid, have + 1, len(toks) - i - 1))
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of sorted batches by (token, block): (sig, n, comp, pos, shingles, positions, probe, index)."""
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of batches sorted by (token, block), a list for each."""
     key, held = None, []
     for b in batches:
-        d = b.to_pydict()
-        for token, block, sig, n, comp, pos, rest, probe, index in zip(
-                d["token"], d["block"], d["sig"], d["n"], d["comp"], d["pos"], d["rest"], d["probe"],
-                d["index"], strict=True):
-            if (token, block) != key:
+        for row in b.to_pylist():
+            if (row["token"], row["block"]) != key:
                 if held:
                     yield held
-                key, held = (token, block), []
-            held.append(((sig, n, comp, pos, [r["token"] for r in rest], [r["pos"] for r in rest]), probe, index))
+                key, held = (row["token"], row["block"]), []
+            held.append(row)
     if held:
         yield held
 
 
-def _pairs(percent: int, forest: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+def _batches(pairs: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    held = []
+    for p in pairs:
+        held.append(p)
+        if len(held) >= 50_000:
+            yield _batch(held)
+            held = []
+    yield _batch(held)
+
+
+def _batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()),
+                                       pa.array([min(p) for p in pairs], pa.int64())], names=["a", "b"])
+
+
+def _likely_pairs(percent: int):
+    """A few promising pairs per document, from the least hashes of sets with a common one: with
+    the neighbours in trie order and with the documents whose hashes are most common."""
+    def pairs(batches):
+        for rows in _groups(batches):
+            rows.sort(key=lambda r: r["rest"])
+            sets = [set(r["rest"]) for r in rows]
+            often = Counter(t for s in sets for t in s)
+            hubs = sorted(range(len(rows)), key=lambda i: (-sum(often[t] for t in sets[i]), i))[:3]
+            for i, x in enumerate(rows):
+                for j in {*hubs, i - 1, i - 2} - {i}:
+                    if j >= 0 and x["comp"] != rows[j]["comp"]:
+                        both = 1 + len(sets[i] & sets[j])
+                        if 100 * both >= (percent - 10) * (len(sets[i]) + len(sets[j]) + 2 - both):
+                            yield x["sig"], rows[j]["sig"]
+    return lambda batches: _batches(pairs(batches))
+
+
+def _possible_pairs(percent: int):
+    """Every pair of different classes that the trie cannot rule out."""
+    def pairs(batches):
         for rows in _groups(batches):
-            if len(rows) < 2:
-                continue
             trie = Trie(percent)
-            if forest:  # one candidate per document: enough to join a family of copies
-                for x, _, _ in rows:
-                    if (y := next(trie.probe(x), None)) is not None:
-                        a.append(x[0])
-                        b.append(y[0])
-                    trie.add(x)
+            for r in rows:
+                r["entry"] = (r["sig"], r["n"], r["comp"], r["rest"])
+                if not r["probe"]:
+                    trie.add(r["entry"])
+            for r in sorted((r for r in rows if r["probe"]), key=lambda r: not r["index"]):
+                for y in trie.probe(r["entry"]):
+                    if y[2] != r["comp"]:
+                        yield r["sig"], y[0]
+                if r["index"]:
+                    trie.add(r["entry"])
+    return lambda batches: _batches(pairs(batches))
+
+
+def _with_partner(percent: int):
+    """Rows that sizes and positions alone allow a partner of another class in their group."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in [*batches, None]:
+            if b is not None:
+                held = b if held is None else pa.concat_batches([held, b])
+                if held.num_rows < 20_000:
+                    continue
+            if held is None or not held.num_rows:
+                continue
+            key = [held.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            new = np.flatnonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0)) + 1
+            cut = np.concatenate(([0], new, [held.num_rows]))
+            if b is not None:
+                if len(cut) == 2:
+                    continue
+                part, held = held.slice(0, int(cut[-2])), held.slice(int(cut[-2]))
+                cut = cut[:-1]
             else:
-                for x, _, index in rows:
-                    if index:
-                        trie.add(x)
-                for x, probe, _ in rows:
-                    if probe:
-                        for y in trie.probe(x):
-                            if y[2] != x[2]:
-                                a.append(max(x[0], y[0]))
-                                b.append(min(x[0], y[0]))
-            if len(a) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                part, held = held, None
+            keep = np.zeros(part.num_rows, bool)
+            n, comp, pos, more, probe, index = (part.column(i).to_numpy(zero_copy_only=False)
+                                                for i in (3, 4, 5, 6, 7, 8))
+            n = n.astype(np.int64)
+            size = np.diff(cut)
+            group = np.repeat(np.arange(len(size)), size)
+            few = np.repeat(size <= 16, size)
+            for d in range(1, int(min(16, size.max(initial=1)))):  # small groups, all at once
+                i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]))
+                j = i + d
+                i, j = np.concatenate((i, j)), np.concatenate((j, i))
+                ok = probe[i] & index[j] & _allowed(n, comp, pos, more, i, j, percent)
+                keep[i[ok]] = keep[j[ok]] = True
+            for lo, hi in zip(cut[:-1][size > 16], cut[1:][size > 16], strict=True):
+                j = np.arange(lo, hi)
+                j = j[index[j]]
+                for i in lo + np.flatnonzero(probe[lo:hi]):
+                    ok = _allowed(n, comp, pos, more, i, j, percent)
+                    if ok.any():
+                        keep[i] = keep[j[ok]] = True
+            yield part.filter(pa.array(keep)).select([0, 1, 2, 3, 4, 7, 8])
+    return run
+
+
+def _allowed(n, comp, pos, more, i, j, percent: int) -> np.ndarray:
+    """Whether rows ``i`` and ``j`` of one group may be linked, by size, position and length."""
+    least = -(-percent * (n[i] + n[j]) // (100 + percent))
+    ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
+    ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
+    tail = -(-percent * np.maximum(n[i], n[j]) // 100) - 1
+    return ok & (1 + np.minimum(more[i], more[j]) + tail >= least)
+
+
+def _same_set(words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = shingle_sets(b.column(1).to_pylist(), words)
+            yield b.filter(pa.array([_key(s) == k for s, k in zip(sets, b.column(0).to_pylist(), strict=True)]))
     return run
 
 
@@ -242,11 +342,12 @@ def _linked(words: int, percent: int):
 
 # ---- join ---------------------------------------------------------------------------------
 
-def _tried(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    rows = rows.select("token", "block", "sig", "n", "comp", "pos", "rest", "probe", "index")
-    return (rows.repartition(F.col("token"), F.col("block"))
-            .sortWithinPartitions("token", "block", "n", "sig")
-            .mapInArrow(_pairs(percent, forest), "a long, b long").distinct())
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.col("token"), F.col("block")).sortWithinPartitions("token", "block", "n", "sig")
+
+
+def _tried(rows: DataFrame, pairs) -> DataFrame:
+    return _grouped(rows).mapInArrow(pairs, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, node_text: DataFrame, words: int, percent: int) -> DataFrame:
@@ -266,37 +367,35 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = reliable_checkpoint(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .mapInArrow(_prefixes(words, percent, frequent),
-                    f"id {docs.schema[id_col].dataType.simpleString()}, n int, sig long, prefix array<long>"))
+                    f"id {docs.schema[id_col].dataType.simpleString()}, n int, sig long, least array<long>, prefix array<long>"))
 
     token = Window.partitionBy("token")
     shared = (base.where("prefix is not null").select("sig", "n", F.posexplode("prefix").alias("pos", "token"))
               .withColumn("least", F.min("sig").over(token)).withColumn("most", F.max("sig").over(token))
-              .where("least <> most").select("sig", "n", F.struct("pos", "token").alias("t")))
+              .where("least <> most").select("sig", "n", F.struct("token", "pos").alias("t")))
     nodes = reliable_checkpoint(shared.groupBy("sig", "n").agg(F.array_sort(F.collect_set("t")).alias("toks")))
+    heads = (base.join(nodes.select("sig"), "sig", "left_semi").where("least is not null")
+             .groupBy("sig", "n").agg(F.min("least").alias("least")))
     names = base.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"))
     owner = reliable_checkpoint(nodes.select("sig").join(names, "sig"))
     mine = checked_broadcast(owner.withColumnRenamed("id", "_own"))
-    # equal sets have one owner; rows that repeat its id but not its text are told apart by their set
     node_text = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-                 .join(mine, F.expr("_id <=> _own")).groupBy("sig").agg(F.min("text").alias("text"))
-                 if _repeats(docs, id_col) else
-                 docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
                  .join(mine, F.expr("_id <=> _own")).select("sig", "text"))
+    if docs.groupBy(id_col).count().where("count > 1").head(1):  # an id that repeats names several texts
+        node_text = node_text.mapInArrow(_same_set(words), "sig long, text string").dropDuplicates(["sig"])
 
-    labels = nodes.select("sig", F.col("sig").alias("comp"))
     edges = None
-    for again in (False, True):  # families of near copies, through the first shared shingle
-        first = nodes.join(labels, "sig").select(
-            F.col("toks")[0]["token"].alias("token"), "sig", "n", "comp", F.col("toks")[0]["pos"].alias("pos"),
-            F.expr("slice(toks, 2, size(toks))").alias("rest"))
+    labels = heads.select("sig", F.col("sig").alias("comp"))
+    for again in (False, True):  # families of near copies, through their least hashes
+        first = heads.join(labels, "sig").select("sig", "n", "comp", "least", F.posexplode(F.slice("least", 1, SPOTS))
+                                                 .alias("at", "token"))
+        first = first.select("token", "sig", "n", "comp", F.expr("slice(least, at + 2, size(least))").alias("rest"))
         if again:  # one document of each class speaks for it
-            row = F.struct(*[c for c in first.columns if c not in ("token", "comp")])
+            row = F.struct("sig", "n", "rest")
             first = first.groupBy("token", "comp").agg(F.min_by(row, "sig").alias("r")).select("token", "comp", "r.*")
         size = first.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-        rows = first.join(size, "token").withColumn(
-            "block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))")).withColumns(
-            {"probe": F.lit(True), "index": F.lit(True)})
-        found = _verified(_tried(rows, percent, True), node_text, words, percent)
+        rows = first.join(size, "token").withColumn("block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))"))
+        found = _verified(_tried(rows.drop("k"), _likely_pairs(percent)), node_text, words, percent)
         edges = found if edges is None else edges.unionByName(found)
         labels = reliable_checkpoint(nodes.select("sig").join(
             components(edges).withColumnRenamed("node", "sig"), "sig", "left")
@@ -309,14 +408,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                      F.count("*").alias("classes")).where("classes > 1").drop("classes")
     open_ = reliable_checkpoint(open_)
     rows = (every.withColumn("token", F.col("t.token")).join(checked_broadcast(open_), "token")
-            .select("token", "sig", "n", "comp", F.col("t.pos").alias("pos"),
-                    F.expr("slice(toks, at + 2, size(toks))").alias("rest"),
-                    (F.col("comp") != F.col("top")).alias("probe"),
-                    F.expr(f"cast(ceil(k / {block}) as int)").alias("blocks"))
+            .withColumn("blocks", F.expr(f"cast(ceil(k / {block}) as int)")).withColumn("probe", F.expr("comp <> top"))
             .withColumn("own", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
             .withColumn("block", F.explode(F.expr("if(probe, sequence(0, blocks - 1), array(own))")))
-            .withColumn("index", F.expr("block = own")).withColumn("block", F.col("block").cast("long")))
-    edges = edges.unionByName(_verified(_tried(rows, percent, False), node_text, words, percent))
+            .select("token", F.col("block").cast("long"), "sig", "n", "comp", F.col("t.pos").alias("pos"),
+                    F.expr("size(toks) - at - 1").alias("more"), "probe", F.expr("block = own").alias("index")))
+    rows = _grouped(rows).mapInArrow(
+        _with_partner(percent), "token long, block long, sig long, n int, comp long, probe boolean, index boolean")
+    rows = reliable_checkpoint(rows).join(nodes.select("sig", F.col("toks.token").alias("toks")), "sig")
+    rows = rows.select("token", "block", "sig", "n", "comp", "probe", "index",
+                       F.expr("filter(toks, t -> t > token)").alias("rest"))
+    edges = edges.unionByName(_verified(_tried(rows, _possible_pairs(percent)), node_text, words, percent))
 
     labels = components(edges).withColumnRenamed("node", "sig")
     keyed = base.select("id", "n", "sig").join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -328,10 +430,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                           F.col("low").alias("component_id"))
 
 
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return bool(docs.groupBy(id_col).count().where("count > 1").head(1))
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document (the least id) of each class stays; documents without words all stay."""
     classes = jaccard_classes(docs, id_col, text_col, **options)
