@@ -251,9 +251,11 @@ def _possible_pairs(percent: int):
     """Every pair of different classes that the trie cannot rule out."""
     def pairs(batches):
         for rows in _groups(batches):
-            trie = Trie(percent)
+            trie, often = Trie(percent), Counter()
             for r in rows:
-                r["entry"] = (r["sig"], r["n"], r["comp"], r["rest"])
+                often.update(r["rest"])
+            for r in rows:  # shingles of one document alone cannot match
+                r["entry"] = (r["sig"], r["n"], r["comp"], [t for t in r["rest"] if often[t] > 1])
                 if not r["probe"]:
                     trie.add(r["entry"])
             for r in sorted((r for r in rows if r["probe"]), key=lambda r: not r["index"]):
@@ -306,7 +308,13 @@ def _with_partner(percent: int):
                     ok = _allowed(n, comp, pos, more, i, j, percent)
                     if ok.any():
                         keep[i] = keep[j[ok]] = True
-            yield part.filter(pa.array(keep)).select([0, 1, 2, 3, 4, 7, 8])
+            sig = part.column(2).to_numpy(zero_copy_only=False)
+            names = np.zeros(part.num_rows, np.int64)
+            for g in np.unique(group[keep]):
+                lo, hi = cut[g], cut[g + 1]
+                names[lo:hi] = _key(sig[lo:hi])
+            out = part.select([0, 1, 2, 3, 4, 7, 8]).append_column("members", pa.array(names))
+            yield out.filter(pa.array(keep))
     return run
 
 
@@ -350,10 +358,12 @@ def _tried(rows: DataFrame, pairs) -> DataFrame:
     return _grouped(rows).mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, node_text: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, text_of, words: int, percent: int) -> DataFrame:
+    """The linked ones among candidate pairs; ``text_of`` gives the texts of a table of nodes."""
     ends = reliable_checkpoint(pairs)
-    ta = node_text.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
-    tb = node_text.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
+    text = text_of(ends.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+    ta = text.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
+    tb = text.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
     both = ends.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
     return reliable_checkpoint(both.mapInArrow(_linked(words, percent), "a long, b long"))
 
@@ -378,11 +388,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .groupBy("sig", "n").agg(F.min("least").alias("least")))
     names = base.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"))
     owner = reliable_checkpoint(nodes.select("sig").join(names, "sig"))
-    mine = checked_broadcast(owner.withColumnRenamed("id", "_own"))
-    node_text = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-                 .join(mine, F.expr("_id <=> _own")).select("sig", "text"))
-    if docs.groupBy(id_col).count().where("count > 1").head(1):  # an id that repeats names several texts
-        node_text = node_text.mapInArrow(_same_set(words), "sig long, text string").dropDuplicates(["sig"])
+    repeats = bool(docs.groupBy(id_col).count().where("count > 1").head(1))
+
+    def text_of(asked: DataFrame) -> DataFrame:
+        mine = checked_broadcast(reliable_checkpoint(owner.join(asked, "sig").withColumnRenamed("id", "_own")))
+        text = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+                .join(mine, F.expr("_id <=> _own")).select("sig", "text"))
+        if repeats:  # an id that repeats may name several texts
+            text = text.mapInArrow(_same_set(words), "sig long, text string").dropDuplicates(["sig"])
+        return text
 
     edges = None
     labels = heads.select("sig", F.col("sig").alias("comp"))
@@ -395,7 +409,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             first = first.groupBy("token", "comp").agg(F.min_by(row, "sig").alias("r")).select("token", "comp", "r.*")
         size = first.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
         rows = first.join(size, "token").withColumn("block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))"))
-        found = _verified(_tried(rows.drop("k"), _likely_pairs(percent)), node_text, words, percent)
+        found = _verified(_tried(rows.drop("k"), _likely_pairs(percent)), text_of, words, percent)
         edges = found if edges is None else edges.unionByName(found)
         labels = reliable_checkpoint(nodes.select("sig").join(
             components(edges).withColumnRenamed("node", "sig"), "sig", "left")
@@ -414,11 +428,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("token", F.col("block").cast("long"), "sig", "n", "comp", F.col("t.pos").alias("pos"),
                     F.expr("size(toks) - at - 1").alias("more"), "probe", F.expr("block = own").alias("index")))
     rows = _grouped(rows).mapInArrow(
-        _with_partner(percent), "token long, block long, sig long, n int, comp long, probe boolean, index boolean")
+        _with_partner(percent), "token long, block long, sig long, n int, comp long, probe boolean, index boolean, "
+        "members long")
+    # documents that share many shingles meet at the first of them
+    rows = rows.withColumn("first", F.min("token").over(Window.partitionBy("members"))).where("token = first")
     rows = reliable_checkpoint(rows).join(nodes.select("sig", F.col("toks.token").alias("toks")), "sig")
     rows = rows.select("token", "block", "sig", "n", "comp", "probe", "index",
                        F.expr("filter(toks, t -> t > token)").alias("rest"))
-    edges = edges.unionByName(_verified(_tried(rows, _possible_pairs(percent)), node_text, words, percent))
+    edges = edges.unionByName(_verified(_tried(rows, _possible_pairs(percent)), text_of, words, percent))
 
     labels = components(edges).withColumnRenamed("node", "sig")
     keyed = base.select("id", "n", "sig").join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
