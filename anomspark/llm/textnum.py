@@ -23,6 +23,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything but ASCII letters and digits and the bytes of other characters.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[128:] = NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = False
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -44,21 +47,22 @@ class Words:
     """Words of a batch: ``doc`` (index into the batch), byte ``start``/``end`` in ``buf``,
     ``hash``; ``first`` has, per document, the index of its first word (one more at the end)."""
 
-    def __init__(self, texts: list[str | None], lower: bool = True):
-        raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool = True, gap: np.ndarray = SPACE):
+        raw = [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "replace") for t in texts]
         buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         size = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
         self.doc_start = np.concatenate(([0], np.cumsum(size)))
         self.buf = LOWER[buf] if lower else buf
-        space = SPACE[buf]
+        space = gap[buf]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
-        self.hash = self._hash()
+        self.hash = self.hashes(self.end)
         self.first = np.searchsorted(self.start, self.doc_start[:-1]) if len(raw) else np.zeros(0, np.int64)
         self.first = np.concatenate((self.first, [len(self.start)]))
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.first))
 
-    def _hash(self) -> np.ndarray:
+    def hashes(self, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from each word's start to ``end`` (within the word)."""
         out = np.empty(len(self.start), U64)
         i = 0
         while i < len(self.start):  # bounded pieces, so that one long text needs no long arrays
@@ -68,7 +72,7 @@ class Words:
             part = BYTE_VALUE[self.buf[lo:hi]]
             up, down = _table(hi - lo + 1)
             total = np.concatenate((np.zeros(1, U64), np.cumsum(part * up[:len(part)], dtype=U64)))
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
+            s, e = self.start[i:j] - lo, end[i:j] - lo
             out[i:j] = mix((total[e] - total[s]) * down[s])
             i = j
         return out
