@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from anomspark.llm import jaccard_join
+from anomspark.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
 
 QUERIES = {
+    "op1_two_pass_shuffle": sharding.op1_two_pass_shuffle,
+    "op4_budget_mix": mixing.op4_budget_mix,
+    "op6_toxicity_mil": toxicity.op6_toxicity_mil,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
