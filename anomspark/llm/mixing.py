@@ -3,8 +3,8 @@
 Documents are counted by source and exact length in words.  A source's target is its share of the
 total by weight, at most ``MOST`` times its own size, the excess going to the others by weight.  A
 target is met by whole passes over the source, then by documents for the remaining budget: each
-length first gives its share of the budget (lengths from long to short, carrying the remainder),
-and what is left, less than one long document, is met by a bounded-knapsack dynamic programme over
+length first gives its share of most of the budget (lengths from long to short, carrying the
+remainder), and what is left, a few long documents' worth, is met by a bounded-knapsack dynamic programme over
 the lengths and the documents still free.  Which documents of a length are taken is decided by a
 seeded hash of id and text: the plan gives for each source and length a number, found as a cut of
 the hash, so texts never shuffle.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from anomspark.llm.common import WORD, checked_broadcast, fresh, read, reliable_checkpoint, seeded_hash
 
 WEIGHTS, MOST, SEED, SUB_ROWS = (1, 2, 3), 3, 20240602, 4096
+#: Words left to the dynamic programme: so many times the longest document, but no more than MOST_ROOM.
+ROOM, MOST_ROOM = 4, 1 << 20
 
 
 def fit_budget(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
@@ -36,11 +38,13 @@ def fit_budget(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray
     if budget <= 0 or not words:
         return take
     budget = min(budget, words)
-    share, due, used = budget / words, 0.0, 0
+    # the dynamic programme gets some long documents' worth of words, so that it can balance them
+    spread = budget - min(budget, ROOM * int(length.max()), MOST_ROOM)
+    share, due, used = spread / words, 0.0, 0
     for i in np.argsort(-length, kind="stable"):
         if length[i] > 0:
             due += share * float(length[i]) * float(count[i])
-            take[i] = min(int(count[i]), max(0, int((min(due, budget) - used) // length[i])))
+            take[i] = min(int(count[i]), max(0, int((min(due, spread) - used) // length[i])))
             used += int(take[i] * length[i])
     return take + _knapsack(length, count - take, budget - used)
 
