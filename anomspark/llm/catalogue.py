@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from anomspark.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
+from anomspark.llm import decontaminate, jaccard_join, mixing, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_two_pass_shuffle": sharding.op1_two_pass_shuffle,
@@ -10,6 +10,8 @@ QUERIES = {
     "op6_toxicity_mil": toxicity.op6_toxicity_mil,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLE = {
