@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from anomspark.llm import decontaminate, jaccard_join, mixing, quality_rules, secrets, sharding, toxicity
+from anomspark.llm import (decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secrets, sharding,
+                           token_file, toxicity)
 
 QUERIES = {
     "op1_two_pass_shuffle": sharding.op1_two_pass_shuffle,
+    "op3_nb_svm_quality": quality_classifier.op3_nb_svm_quality,
     "op4_budget_mix": mixing.op4_budget_mix,
+    "op5_token_file": token_file.op5_token_file,
     "op6_toxicity_mil": toxicity.op6_toxicity_mil,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
