@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from anomspark.llm import (decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secrets, sharding,
-                           token_file, toxicity)
+from anomspark.llm import (decontaminate, html_text, jaccard_join, mixing, quality_classifier, quality_rules, secrets,
+                           sharding, token_file, toxicity)
 
 QUERIES = {
     "op1_two_pass_shuffle": sharding.op1_two_pass_shuffle,
+    "op2_line_blocks": html_text.op2_line_blocks,
     "op3_nb_svm_quality": quality_classifier.op3_nb_svm_quality,
     "op4_budget_mix": mixing.op4_budget_mix,
     "op5_token_file": token_file.op5_token_file,
