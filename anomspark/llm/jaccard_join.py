@@ -40,11 +40,13 @@ WORDS, PERCENT, BLOCK = 5, 75, 1024
 #: A shingle counts as frequent from this share of the documents: the table of frequent shingles
 #: then has at most 2000 times the mean set size entries, however many documents there are.
 FREQUENT_SHARE = 2000
-FLUSH_BYTES = 64 << 20
+FLUSH_BYTES = 24 << 20
 #: Shingles are numbered in the global order: others by 62 bits of the hash, frequent ones after them.
 LAST = 1 << 62
 #: Least hashes kept of each set, and how many of them group likely copies before the exact join.
 LEAST, SPOTS = 24, 4
+#: First shared shingles of a document by which pairs that have met before are told.
+HEAD = 8
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -291,6 +293,7 @@ def _with_partner(percent: int):
             keep = np.zeros(part.num_rows, bool)
             n, comp, pos, more, probe, index = (part.column(i).to_numpy(zero_copy_only=False)
                                                 for i in (3, 4, 5, 6, 7, 8))
+            token, heads = part.column(0).to_numpy(), _heads(part.column(9))
             n = n.astype(np.int64)
             size = np.diff(cut)
             group = np.repeat(np.arange(len(size)), size)
@@ -299,15 +302,17 @@ def _with_partner(percent: int):
                 i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]))
                 j = i + d
                 i, j = np.concatenate((i, j)), np.concatenate((j, i))
-                ok = probe[i] & index[j] & _allowed(n, comp, pos, more, i, j, percent)
+                ok = np.flatnonzero(probe[i] & index[j] & _allowed(n, comp, pos, more, i, j, percent))
+                ok = ok[_first_meeting(heads, token, i[ok], j[ok])]
                 keep[i[ok]] = keep[j[ok]] = True
             for lo, hi in zip(cut[:-1][size > 16], cut[1:][size > 16], strict=True):
                 j = np.arange(lo, hi)
                 j = j[index[j]]
                 for i in lo + np.flatnonzero(probe[lo:hi]):
-                    ok = _allowed(n, comp, pos, more, i, j, percent)
-                    if ok.any():
-                        keep[i] = keep[j[ok]] = True
+                    ok = j[_allowed(n, comp, pos, more, i, j, percent)]
+                    ok = ok[_first_meeting(heads, token, np.full(len(ok), i), ok)]
+                    if len(ok):
+                        keep[i] = keep[ok] = True
             sig = part.column(2).to_numpy(zero_copy_only=False)
             names = np.zeros(part.num_rows, np.int64)
             for g in np.unique(group[keep]):
@@ -327,6 +332,24 @@ def _allowed(n, comp, pos, more, i, j, percent: int) -> np.ndarray:
     return ok & (1 + np.minimum(more[i], more[j]) + tail >= least)
 
 
+def _heads(col: pa.Array) -> np.ndarray:
+    """(rows, HEAD) first shared shingles of each row's document, -1 where it has fewer."""
+    out = np.full((len(col), HEAD), -1, np.int64)
+    size = np.diff(col.offsets.to_numpy())
+    row = np.repeat(np.arange(len(col)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = col.flatten().to_numpy()
+    return out
+
+
+def _first_meeting(heads: np.ndarray, token: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether no earlier shingle among the first of both documents brings rows ``i`` and ``j`` together."""
+    met = np.zeros(len(i), bool)
+    for a in range(HEAD):
+        x = heads[i, a]
+        met |= (x >= 0) & (x < token[i]) & (heads[j] == x[:, None]).any(axis=1)
+    return ~met
+
+
 def _same_set(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -426,7 +449,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("own", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
             .withColumn("block", F.explode(F.expr("if(probe, sequence(0, blocks - 1), array(own))")))
             .select("token", F.col("block").cast("long"), "sig", "n", "comp", F.col("t.pos").alias("pos"),
-                    F.expr("size(toks) - at - 1").alias("more"), "probe", F.expr("block = own").alias("index")))
+                    F.expr("size(toks) - at - 1").alias("more"), "probe", F.expr("block = own").alias("index"),
+                    F.expr(f"slice(toks.token, 1, {HEAD})").alias("head")))
     rows = _grouped(rows).mapInArrow(
         _with_partner(percent), "token long, block long, sig long, n int, comp long, probe boolean, index boolean, "
         "members long")
