@@ -26,7 +26,7 @@ from anomspark.llm.labelled import fold, training_texts
 from anomspark.llm.textnum import NOT_ALNUM, Words, slices
 
 #: Greatest number of labelled documents used for training (part of the method's documentation).
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 8_000
 DIM, STEM, STEPS, RATE, LASSO = 1 << 18, 5, 60, 0.3, 1e-4
 
 ENDS = np.zeros(256, bool)
@@ -62,13 +62,22 @@ def train(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     weight = np.zeros(DIM)
     if not len(texts) or y.min() == y.max():
         return weight, -30.0 if not len(texts) or not y.max() else 30.0
-    w, of_word = sentence_words(texts)
-    if not len(of_word):
+    docs, sents, feats, n_sent = [], [], [], 0
+    for i in range(0, len(texts), 256):  # small pieces bound the memory of the driver
+        w, of_word = sentence_words(texts[i:i + 256])
+        if len(of_word):
+            s, f = _features(w, of_word)
+            docs.append((w.doc[np.searchsorted(of_word, np.arange(of_word[-1] + 1))] + i).astype(np.int32))
+            sents.append((s + n_sent).astype(np.int32))
+            feats.append(f.astype(np.int32))
+            n_sent += int(of_word[-1]) + 1
+    if not n_sent:
         return weight, -30.0
-    n_sent = of_word[-1] + 1
-    doc = w.doc[np.searchsorted(of_word, np.arange(n_sent))]
-    sent, word = _features(w, of_word)
-    df = np.bincount(np.unique(doc[sent] * DIM + word) % DIM, minlength=DIM)
+    doc, sent, word = (np.concatenate(x) for x in (docs, sents, feats))
+    df = np.zeros(DIM, np.int64)
+    for i in range(0, len(texts), 256):
+        lo, hi = np.searchsorted(sent, np.searchsorted(doc, [i, i + 256]))
+        df += np.bincount(np.unique(doc[sent[lo:hi]] * np.int64(DIM) + word[lo:hi]) % DIM, minlength=DIM)
     use = df[word] >= max(3, len(texts) // 1500)
     ids, word = np.unique(word[use], return_inverse=True)
     sent = sent[use]
