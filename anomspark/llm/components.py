@@ -11,7 +11,7 @@ from anomspark.llm.common import reliable_checkpoint
 def _largest(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _smallest(edges: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from anomspark.llm.common import checked_broadcast, docs_with_row_once, read, re
 from anomspark.llm.components import components
 from anomspark.llm.textnum import shingle_sets, slices
 
-WORDS, PERCENT, BLOCK = 5, 75, 1024
+WORDS, PERCENT, BLOCK = 5, 75, 4096
 #: A shingle counts as frequent from this share of the documents: the table of frequent shingles
 #: then has at most 2000 times the mean set size entries, however many documents there are.
 FREQUENT_SHARE = 2000
@@ -430,13 +430,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if again:  # one document of each class speaks for it
             row = F.struct("sig", "n", "rest")
             first = first.groupBy("token", "comp").agg(F.min_by(row, "sig").alias("r")).select("token", "comp", "r.*")
-        size = first.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+        size = reliable_checkpoint(first.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
         rows = first.join(size, "token").withColumn("block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))"))
         found = _verified(_tried(rows.drop("k"), _likely_pairs(percent)), text_of, words, percent)
         edges = found if edges is None else edges.unionByName(found)
         labels = reliable_checkpoint(nodes.select("sig").join(
             components(edges).withColumnRenamed("node", "sig"), "sig", "left")
             .select("sig", F.coalesce("comp", "sig").alias("comp")))
+        if not again and not size.where(F.col("k") > block).head(1):
+            break  # no group was split, so no family can be in parts
 
     # exact: every shared shingle whose documents are not all of one class yet
     every = nodes.join(labels, "sig").select("sig", "n", "comp", "toks", F.posexplode("toks").alias("at", "t"))
