@@ -31,6 +31,8 @@ ROLE_TABLES = [("events", ["event_id"]), ("documents", ["doc_id"]), ("orders", [
 ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
               "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 SAMPLE = R.MAX_SAMPLE_SIZE
+#: Rows of the tail report.
+TAIL_ROWS = 2500
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -367,7 +369,7 @@ def q_collective_ratio(spark, sf):
 # ---------------------------------------------------------------------------
 
 def q_tail_sample(spark, sf):
-    return tail_rows(_t(spark, sf, "events"), ["event_id"], SAMPLE).select("event_id", "ts", "user_id", "value")
+    return tail_rows(_t(spark, sf, "events"), ["event_id"], TAIL_ROWS).select("event_id", "ts", "user_id", "value")
 
 
 def q_head_sample(spark, sf):

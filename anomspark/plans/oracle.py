@@ -75,7 +75,7 @@ def duck_parse(v: str) -> str:
     return f"coalesce(TRY_CAST(trim({v}) AS TIMESTAMP), try_strptime(trim({v}), [{fmts}]))"
 
 
-def prof_sql(table: str, key: list[str], sample: int | None = 15000, source: str | None = None) -> str:
+def prof_sql(table: str, key: list[str], sample: int | None = None, source: str | None = None) -> str:
     src = source or table
     if sample is None:
         return f"(SELECT * FROM {src})"
@@ -83,7 +83,7 @@ def prof_sql(table: str, key: list[str], sample: int | None = 15000, source: str
     return f"(SELECT * FROM {src} ORDER BY {order} LIMIT {sample})"
 
 
-def role_sql(table: str, key: list[str], sample: int | None = 15000, schema=None,
+def role_sql(table: str, key: list[str], sample: int | None = None, schema=None,
              source: str | None = None, table_label: str | None = None) -> str:
     """SQL giving (table_name, column_name, pos, family, n_rows, n_distinct, role,
     temporal_candidate, high_cardinality, label_rank)."""
@@ -448,7 +448,7 @@ WITH a AS (SELECT column_name, avg(abs(acf)) AS mean_abs_acf FROM {acf10} GROUP
 SELECT z.column_name, round(a.mean_abs_acf, 6) AS mean_abs_acf, round(z.cr, 6) AS candidate_ratio,
   coalesce(z.n >= 30 AND coalesce(a.mean_abs_acf, 0.0) >= 0.25 AND z.cr > 0.01, FALSE) AS collective
 FROM z LEFT JOIN a USING (column_name)"""
-    q["tail_sample"] = "SELECT event_id, ts, user_id, value FROM events ORDER BY event_id DESC LIMIT 15000"
+    q["tail_sample"] = "SELECT event_id, ts, user_id, value FROM events ORDER BY event_id DESC LIMIT 2500"
     q["head_sample"] = """
 SELECT column_name, rn, value FROM (
   SELECT 'event_type' AS column_name, row_number() OVER (ORDER BY event_id) AS rn, event_type AS value
