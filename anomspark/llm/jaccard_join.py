@@ -63,23 +63,28 @@ def overlap_needed(n: int, m: int, percent: int = PERCENT) -> int:
 
 def _local_counts(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[int, np.ndarray] = {}
+        size = 0
 
         def flush():
-            sets = {s.tobytes(): s for s in held if len(s)}
-            if not sets:
+            h = np.concatenate([*held.values(), np.zeros(0, np.uint64)])
+            held.clear()
+            h.sort()
+            if len(h) < 3:
                 return None
-            h, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            h, c = h[c >= 3], c[c >= 3]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))],
+            h = h[:-2][(h[:-2] == h[2:])]  # once for each time beyond the second
+            h, c = np.unique(h, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64) + 2)],
                                               names=["token", "n"])
         for b in slices(batches, "text"):
-            held += shingle_sets(b.column(0).to_pylist(), words)
+            for s in shingle_sets(b.column(0).to_pylist(), words):
+                if len(s):
+                    held[_key(s)] = s  # equal sets count once
             size += b.nbytes
             if size >= FLUSH_BYTES:
                 if (out := flush()) is not None:
                     yield out
-                held, size = [], 0
+                size = 0
         if (out := flush()) is not None:
             yield out
     return run

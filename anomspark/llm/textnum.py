@@ -15,7 +15,7 @@ U64 = np.uint64
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -126,7 +126,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def slices(batches: Iterable, column: str, limit: int = 4 << 20) -> Iterator:
+def slices(batches: Iterable, column: str, limit: int = 1 << 20) -> Iterator:
     """Arrow batches cut so that each holds about ``limit`` bytes of ``column`` (or one row)."""
     for b in batches:
         if not b.num_rows:
