@@ -237,8 +237,8 @@ def _batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _likely_pairs(percent: int):
-    """A few promising pairs per document, from the least hashes of sets with a common one: with
-    the neighbours in trie order and with the documents whose hashes are most common."""
+    """Per document of a group its best pair with one of the documents whose hashes are most common
+    (kind 0) and with one of its neighbours in trie order (kind 1), by the least hashes both have."""
     def pairs(batches):
         for rows in _groups(batches):
             rows.sort(key=lambda r: r["rest"])
@@ -246,12 +246,39 @@ def _likely_pairs(percent: int):
             often = Counter(t for s in sets for t in s)
             hubs = sorted(range(len(rows)), key=lambda i: (-sum(often[t] for t in sets[i]), i))[:3]
             for i, x in enumerate(rows):
-                for j in {*hubs, i - 1, i - 2} - {i}:
-                    if j >= 0 and x["comp"] != rows[j]["comp"]:
+                for kind, near in enumerate((hubs, (i - 1, i - 2))):
+                    best = None
+                    for j in near:
+                        if j < 0 or j == i or x["comp"] == rows[j]["comp"]:
+                            continue
                         both = 1 + len(sets[i] & sets[j])
-                        if 100 * both >= (percent - 10) * (len(sets[i]) + len(sets[j]) + 2 - both):
-                            yield x["sig"], rows[j]["sig"]
-    return lambda batches: _batches(pairs(batches))
+                        share = both / (len(sets[i]) + len(sets[j]) + 2 - both)
+                        if 100 * share >= percent - 10 and (best is None or share > best[0]):
+                            best = share, rows[j]["sig"]
+                    if best:
+                        yield x["sig"], kind, best[1], best[0]
+
+    def run(batches):
+        held = []
+        for p in pairs(batches):
+            held.append(p)
+            if len(held) >= 50_000:
+                yield batch(held)
+                held = []
+        yield batch(held)
+
+    def batch(held):
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in held], t) for k, t in enumerate(kinds)],
+                                          names=["x", "kind", "y", "share"])
+    return run
+
+
+def _likely(rows: DataFrame, percent: int) -> DataFrame:
+    """At most two pairs for each document, whatever the size of its groups; only a start for the exact join."""
+    found = _grouped(rows).mapInArrow(_likely_pairs(percent), "x long, kind int, y long, share double")
+    best = found.groupBy("x", "kind").agg(F.max_by("y", F.struct("share", "y")).alias("y"))
+    return best.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _possible_pairs(percent: int):
@@ -382,8 +409,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.col("token"), F.col("block")).sortWithinPartitions("token", "block", "n", "sig")
 
 
-def _tried(rows: DataFrame, pairs) -> DataFrame:
-    return _grouped(rows).mapInArrow(pairs, "a long, b long").distinct()
+def _tried(rows: DataFrame, percent: int) -> DataFrame:
+    return _grouped(rows).mapInArrow(_possible_pairs(percent), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, text_of, words: int, percent: int) -> DataFrame:
@@ -437,7 +464,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             first = first.groupBy("token", "comp").agg(F.min_by(row, "sig").alias("r")).select("token", "comp", "r.*")
         size = reliable_checkpoint(first.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
         rows = first.join(size, "token").withColumn("block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))"))
-        found = _verified(_tried(rows.drop("k"), _likely_pairs(percent)), text_of, words, percent)
+        found = _verified(_likely(rows.drop("k"), percent), text_of, words, percent)
         edges = found if edges is None else edges.unionByName(found)
         labels = reliable_checkpoint(nodes.select("sig").join(
             components(edges).withColumnRenamed("node", "sig"), "sig", "left")
@@ -466,7 +493,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = reliable_checkpoint(rows).join(nodes.select("sig", F.col("toks.token").alias("toks")), "sig")
     rows = rows.select("token", "block", "sig", "n", "comp", "probe", "index",
                        F.expr("filter(toks, t -> t > token)").alias("rest"))
-    edges = edges.unionByName(_verified(_tried(rows, _possible_pairs(percent)), text_of, words, percent))
+    edges = edges.unionByName(_verified(_tried(rows, percent), text_of, words, percent))
 
     labels = components(edges).withColumnRenamed("node", "sig")
     keyed = base.select("id", "n", "sig").join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
