@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from anomspark.llm.common import reliable_checkpoint
 
+#: Edges of a task between two shuffles; a small table then makes few files, a large one many tasks.
+TASK_EDGES = 20_000
+
 
 def _largest(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,15 +28,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is a pair of keyed aggregations and joins; a hub's rows combine before the
     shuffle and AQE splits its join.  Every round is checkpointed, nothing reaches the driver
-    but a count and a checksum.  An empty edge table gives an empty result.
+    but a count and a checksum; the count sets the number of tasks.  An empty edge table gives an
+    empty result.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tasks = 1 + edges.count() // TASK_EDGES
+    e = e.coalesce(tasks).distinct()
     seen = None
     while True:
-        e = reliable_checkpoint(_smallest(_largest(e)))
+        e = reliable_checkpoint(_smallest(_largest(e.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if now == seen or not now[0]:
             break
         seen = now
+        tasks = 1 + now[0] // TASK_EDGES
     tops = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(tops)

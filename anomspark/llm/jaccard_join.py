@@ -237,26 +237,22 @@ def _batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _likely_pairs(percent: int):
-    """Per document of a group its best pair with one of the documents whose hashes are most common
-    (kind 0) and with one of its neighbours in trie order (kind 1), by the least hashes both have."""
+    """Pairs of each document of a group with the two whose hashes are most common (kinds 0 and 1) and
+    with its two neighbours in trie order (2 and 3), and the share of least hashes both have."""
     def pairs(batches):
         for rows in _groups(batches):
             rows.sort(key=lambda r: r["rest"])
             sets = [set(r["rest"]) for r in rows]
             often = Counter(t for s in sets for t in s)
-            hubs = sorted(range(len(rows)), key=lambda i: (-sum(often[t] for t in sets[i]), i))[:3]
+            hubs = sorted(range(len(rows)), key=lambda i: (-sum(often[t] for t in sets[i]), i))[:2]
             for i, x in enumerate(rows):
-                for kind, near in enumerate((hubs, (i - 1, i - 2))):
-                    best = None
-                    for j in near:
-                        if j < 0 or j == i or x["comp"] == rows[j]["comp"]:
-                            continue
-                        both = 1 + len(sets[i] & sets[j])
-                        share = both / (len(sets[i]) + len(sets[j]) + 2 - both)
-                        if 100 * share >= percent - 10 and (best is None or share > best[0]):
-                            best = share, rows[j]["sig"]
-                    if best:
-                        yield x["sig"], kind, best[1], best[0]
+                for kind, j in enumerate([*hubs, i - 1, i - 2]):
+                    if j < 0 or j == i or x["comp"] == rows[j]["comp"]:
+                        continue
+                    both = 1 + len(sets[i] & sets[j])
+                    share = both / (len(sets[i]) + len(sets[j]) + 2 - both)
+                    if 100 * share >= percent - 10:
+                        yield x["sig"], kind, rows[j]["sig"], share
 
     def run(batches):
         held = []
@@ -275,7 +271,7 @@ def _likely_pairs(percent: int):
 
 
 def _likely(rows: DataFrame, percent: int) -> DataFrame:
-    """At most two pairs for each document, whatever the size of its groups; only a start for the exact join."""
+    """The best pair of each kind for each document, whatever the size of its groups; only a start for the exact join."""
     found = _grouped(rows).mapInArrow(_likely_pairs(percent), "x long, kind int, y long, share double")
     best = found.groupBy("x", "kind").agg(F.max_by("y", F.struct("share", "y")).alias("y"))
     return best.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
