@@ -17,6 +17,7 @@ from anomspark.operators.profile import Profile, profile
 from anomspark.plans import route as RT
 from anomspark.plans.ordering import c
 from anomspark.session import reliable_checkpoint
+from anomspark.sources.io import normalize_missing
 
 
 def _ecod(feats, key, names, **kw):
@@ -111,6 +112,7 @@ def run(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None = None
         embedding_dim: int = R.EMBEDDING_DIM, checkpoint: bool = True) -> RunResult:
     """Score every row of ``df``; ``key`` identifies rows in the result."""
     key = list(key)
+    df = normalize_missing(df)
     prof = profile(df, order_by=order_by or key, **(profile_kwargs or {}))
     cfg = RT.route(prof)
     steps = dict(cfg["preprocessing_steps"])

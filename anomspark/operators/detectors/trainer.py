@@ -214,7 +214,3 @@ class MLP:
             if self.bias:
                 parts.append(gb)
         return np.concatenate(parts), g
-
-
-def mlp_score(fn: Callable, *args):  # pragma: no cover - helper for readability
-    return fn(*args)

@@ -308,9 +308,3 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
     out = work.select(*[c(k) for k in key], *[cur[n].cast("double").cast("float").alias(n) for n in order])
     _ = key_names
     return out, spec
-
-
-def as_vector(features: DataFrame, spec: FeatureSpec, out_col: str = "x") -> DataFrame:
-    """key + one ``array<double>`` column of the features (float32 values widened)."""
-    return features.select(*[c(k) for k in spec.key],
-                           F.array(*[c(n).cast("double") for n in spec.feature_names]).alias(out_col))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from anomspark.plans.ordering import c, group_prefix_sum
 
@@ -20,8 +21,12 @@ def long_values(df: DataFrame, columns: Sequence[str], value_type: str = "string
     """(keep..., column, value) for every non-null cell of ``columns``."""
     keep = list(keep)
     alias = [f"__key{i}" for i in range(len(keep))]  # a kept column may also be a value column
+    floats = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+
+    def cell(x):  # 0.0 and -0.0 are one value, also as text
+        return F.when(c(x) == 0, F.lit(0.0).cast(floats[x])).otherwise(c(x)) if x in floats else c(x)
     proj = df.select(*[c(k).alias(a) for k, a in zip(keep, alias)],
-                     *[c(x).cast(value_type).alias(x) for x in columns])
+                     *[cell(x).cast(value_type).alias(x) for x in columns])
     long = proj.unpivot([F.col(a) for a in alias], [c(x) for x in columns], "column", "value")
     long = long.where(F.col("value").isNotNull())
     for k, a in zip(keep, alias):
@@ -35,11 +40,6 @@ def value_histogram(df: DataFrame, columns: Sequence[str], value_type: str = "st
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def distinct_counts(hist: DataFrame) -> DataFrame:
-    return hist.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"),
-                                      F.sum("cnt").alias("n_nonnull"))
-
-
 def frequencies(hist: DataFrame) -> DataFrame:
     """Share of each value among the column's non-null values."""
     tot = hist.groupBy("column").agg(F.sum("cnt").alias("_tot"))

@@ -122,7 +122,7 @@ def _per_window(long: DataFrame, window_of, build):
     by_win: dict[int, list[str]] = {}
     for r in counts:
         by_win.setdefault(int(window_of(r["n"])), []).append(r["column"])
-    parts = [build(long.where(F.col("column").isin(cols)), win) for win, cols in sorted(by_win.items())]
+    parts = [build(long.where(F.col("column").isin(cols)), win) for win, cols in sorted(by_win.items() or [(1, [])])]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -201,13 +201,13 @@ def regularity_stats(df: DataFrame, column: str, is_datetime: bool) -> DataFrame
     mean_gap, sd_gap over all n - 1 gaps.
     """
     v = F.col(f"`{column}`")
-    num = (F.unix_micros(v.cast("timestamp")) / 1e6) if is_datetime else v.cast("double")
+    num = F.unix_micros(v.cast("timestamp")) if is_datetime else v.cast("double")
     hist = (df.select(num.alias("v")).where(F.col("v").isNotNull())
             .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")).withColumn("column", F.lit(column)))
     idx = group_index(hist, ["v"], ["column"], "i")
     nxt = idx.select("column", (F.col("i") - 1).alias("i"), F.col("v").alias("v_next"))
     gaps = idx.join(nxt, ["column", "i"], "left").select(
-        "column", "cnt", (F.col("v_next") - F.col("v")).alias("g"))
+        "column", "cnt", ((F.col("v_next") - F.col("v")) / F.lit(1e6 if is_datetime else 1.0)).alias("g"))
     n = F.sum("cnt")
     n_dist = F.count(F.lit(1))
     agg = gaps.groupBy("column").agg(n.alias("n"), n_dist.alias("n_distinct"),

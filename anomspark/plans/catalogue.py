@@ -90,10 +90,6 @@ def q_column_roles(spark, sf):
     return _union(frames)
 
 
-def _role_union_sql():
-    return "\nUNION ALL\n".join(f"SELECT * FROM ({O.role_sql(t, k)})" for t, k in ROLE_TABLES)
-
-
 def q_id_columns(spark, sf):
     return q_column_roles(spark, sf).where("role = 'id'").select("table_name", "column_name")
 

@@ -429,12 +429,12 @@ WITH sv AS (SELECT column_name, coalesce(var1 > 0 AND var2 / var1 > 0.5 AND var2
 SELECT count_if(st) >= count(*) / 2.0 AS is_stationary, count_if(tr) >= count(*) * 0.2 AS has_trend,
        count_if(seasonal) >= count(*) * 0.2 AS has_seasonality FROM j"""
     reg = []
-    for label, expr, tbl in [("events.ts", "epoch_us(ts) / 1e6", "events"),
-                             ("orders.o_orderdate", "epoch_us(o_orderdate) / 1e6", "orders"),
+    for label, expr, tbl in [("events.ts", "epoch_us(ts)", "events"),
+                             ("orders.o_orderdate", "epoch_us(o_orderdate)", "orders"),
                              ("events.event_id", "CAST(event_id AS DOUBLE)", "events")]:
         reg.append(f"""SELECT '{label}' AS column_name, (SELECT count(*) FROM (SELECT {expr} AS v FROM {tbl}) WHERE v IS NOT NULL) AS n,
   round(avg(g), 6) AS mean_gap, round(stddev_samp(g), 6) AS sd_gap, count_if(g = 0) AS n_zero
-FROM (SELECT v - lag(v) OVER (ORDER BY v) AS g FROM (SELECT {expr} AS v FROM {tbl}) WHERE v IS NOT NULL)
+FROM (SELECT (v - lag(v) OVER (ORDER BY v)) / {1e6 if 'epoch_us' in expr else 1.0} AS g FROM (SELECT {expr} AS v FROM {tbl}) WHERE v IS NOT NULL)
 WHERE g IS NOT NULL""")
     q["temporal_regularity"] = "\nUNION ALL\n".join(reg)
     value_series = f"(SELECT * FROM {EVENT_SERIES} WHERE column_name = 'value')"
@@ -576,14 +576,14 @@ UNION ALL SELECT d.doc_id, 'lang_' || v.lang, CASE WHEN d.lang = v.lang THEN 1.0
 
 def extra_sql() -> dict[str, str]:
     reg = []
-    for label, expr, tbl in [("events.ts", "epoch_us(ts) / 1e6", "events"),
-                             ("orders.o_orderdate", "epoch_us(o_orderdate) / 1e6", "orders"),
+    for label, expr, tbl in [("events.ts", "epoch_us(ts)", "events"),
+                             ("orders.o_orderdate", "epoch_us(o_orderdate)", "orders"),
                              ("events.event_id", "CAST(event_id AS DOUBLE)", "events")]:
         reg.append(f"""SELECT '{label}' AS column_name,
   CASE WHEN count(DISTINCT g) = 1 THEN 'regular'
        WHEN avg(g) <> 0 AND stddev_samp(g) / avg(g) < 0.1 THEN 'near_regular'
        ELSE 'irregular' END AS regularity
-FROM (SELECT v - lag(v) OVER (ORDER BY v) AS g FROM (SELECT {expr} AS v FROM {tbl}) WHERE v IS NOT NULL)
+FROM (SELECT (v - lag(v) OVER (ORDER BY v)) / {1e6 if 'epoch_us' in expr else 1.0} AS g FROM (SELECT {expr} AS v FROM {tbl}) WHERE v IS NOT NULL)
 WHERE g IS NOT NULL""")
     long = _doc_features_raw()
     ecod_docs = f"""

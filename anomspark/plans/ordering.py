@@ -48,7 +48,11 @@ def _sort_exprs(order_cols: Sequence, descending: bool = False) -> list[Column]:
     return out
 
 
-def ensure_order(df: DataFrame, order_by: Sequence[str] | None, name: str = "_row"):
+#: Generated scan-order column.
+ROW_NAME = "__anomspark_row"
+
+
+def ensure_order(df: DataFrame, order_by: Sequence[str] | None, name: str = ROW_NAME):
     """Return ``(df, order_cols)``.  Without an explicit order the scan order is used
     (``monotonically_increasing_id`` right after the read), which matches the row order
     of a file read by a single-process reader."""

@@ -1,5 +1,5 @@
-from anomspark.sources.io import (companion_graph_files, has_companion_graph, load_tables,
+from anomspark.sources.io import (companion_graph_files, has_companion_graph, 
                                   normalize_missing, read_table, write_table)
 
-__all__ = ["companion_graph_files", "has_companion_graph", "load_tables", "normalize_missing",
+__all__ = ["companion_graph_files", "has_companion_graph", "normalize_missing",
            "read_table", "write_table"]

@@ -68,10 +68,6 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
-def load_tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
-    return {n: read_table(spark, f"{sf_dir}/{n}.parquet") for n in names}
-
-
 def companion_graph_files(spark: SparkSession, data_dir: str | None) -> DataFrame | None:
     """A2: files directly in ``data_dir`` named ``*.json`` whose name contains "graph".
 
