@@ -141,9 +141,22 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score"
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, rows: int = TRAIN_ROWS,
         id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    sample = training_texts(docs, labels, label, keep, rows, id_col, text_col).toPandas()
-    sample = sample.sort_values(["text", "y"], kind="stable")
-    return train(sample.text.tolist(), sample.y.to_numpy())
+    """Weights and bias from at most ``rows`` labelled documents, trained by one task: the driver gets
+    the weights alone."""
+    sample = training_texts(docs, labels, label, keep, rows, id_col, text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = sorted(p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        weight, bias = train([t for t, _ in pairs], np.array([y for _, y in pairs], np.int64))
+        at = np.flatnonzero(weight)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int64)]), pa.array([weight[at]]),
+                                          pa.array([float(bias)])], names=["at", "weight", "bias"])
+    got = sample.repartition(1).mapInArrow(run, "at array<long>, weight array<double>, bias double").first()
+    if got is None:  # no labelled document, no partition
+        return train([], np.zeros(0, np.int64))
+    weight = np.zeros(DIM)
+    weight[np.array(got["at"], np.int64)] = got["weight"]
+    return weight, got["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
