@@ -196,6 +196,26 @@ def test_leaks(spark, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_several_copies(spark):
+    item = "A train leaves Berlin at 9 and drives 120 km to Hamburg, how many minutes does the whole trip take her"
+    other = item.replace("Berlin", "Munich").replace("9", "7").replace("120", "250").replace("Hamburg", "Vienna")
+    third = other.replace("Munich", "Rome").replace("7", "8").replace("250", "77").replace("Vienna", "Turin")
+    longer = third.replace("Turin,", "Turin in the south,")  # copies whose offset moves within the item
+    again = "she put 4 red apples into the box for him then " * 2 + "she put 5 red apples into the box for him then"
+    numbers = "3 17 22 Adam Berta 40 51 66 72 x 90 Carl Dora 12 7 8"
+    short = "Berlin is the only town here"
+    bench = spark.createDataFrame(enumerate([item, again, numbers, short], 1), "item_id long, text string")
+    rows = [(1, item + " and " + other), (2, f"{words(9, 1)} {other} {words(40, 2)} {third}"), (3, f"see {again} end"),
+            (4, f"see {numbers} end"), (5, "see 4 18 23 Emil Fritz 41 52 67 73 x 91 Georg Hans 13 8 9 end"),
+            (6, f"that {short} now"), (7, "that Paris is the only town here now"), (8, f"{other} {words(9, 3)} {longer}"),
+            (9, words(90, 6)), (10, f"{words(9, 1)} {longer} {words(9, 5)} {longer.replace('Rome', 'Genoa').replace('77', '99')}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(out) == {(1, 1), (2, 1), (3, 2), (4, 3), (6, 4), (8, 1), (10, 1)}
+    assert {k for k, r in out.items() if r.same_values} == {(1, 1), (3, 2), (4, 3), (6, 4)}
+    assert out[1, 1].windows == out[1, 1].item_windows == out[2, 1].windows
+
+
 # ---- 8 Jaccard join
 def shingles(text):
     w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
