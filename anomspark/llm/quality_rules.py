@@ -7,9 +7,10 @@ every reference.  References are gathered from all documents by their ``lang``;
 a language if it makes up at least ``COMMON_SHARE`` of the language's words.
 
 Guards: the word histogram counts only from ``WORD_GUARD`` words on, the character classes from
-``CHAR_GUARD`` characters on; shorter documents are judged by the base rules alone.  At most
-``LANGUAGES`` languages, those with most words, give references (a null language is one too).  Null
-and empty texts have no words and fail the base rule.  Rows that repeat are kept.
+``CHAR_GUARD`` characters on; shorter documents are judged by the base rules alone.  Every language
+of at least ``LANG_GUARD`` words gives a reference (a null language is one too).  Documents of smaller
+languages are judged by the base rules and the character classes of their own language, and have no
+word distance.  Null and empty texts have no words and fail the base rule.  Rows that repeat are kept.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomspark.llm.common import read
+from anomspark.llm.common import checked_broadcast, read, reliable_checkpoint
 from anomspark.llm.textnum import SPACE, Words, mix, ngrams, slices
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
-COMMON_SHARE, LANGUAGES = 1e-3, 16
+COMMON_SHARE, LANG_GUARD = 1e-3, 10_000
 CHAR_GUARD, WORD_GUARD = 200, 80
 #: Greatest distance from the nearest reference.
 MOST_CHAR, MOST_WORD = 0.23, 0.455
@@ -127,29 +128,66 @@ def _reference_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield flush()
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Histograms of the languages: ``chars`` (languages, classes), ``keys`` (sorted common words),
-    ``words`` (languages, words and one for all others)."""
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[dict, DataFrame]:
+    """Histograms of the languages of at least ``LANG_GUARD`` words: ``chars`` (languages, classes), ``keys``
+    (sorted common words), ``start``, ``lang`` and ``share`` (the languages of each key), ``other`` (share of
+    all other words); and a table (lang, own) of the class counts of the smaller languages."""
     rows = (docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
             .mapInArrow(_reference_counts, "lang string, kind int, key long, n long")
             .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    totals = rows.where("kind = 2").orderBy(F.desc("n"), "lang").limit(LANGUAGES).select(
-        F.col("lang").alias("_l"), F.col("n").alias("total"))
-    used = (rows.join(F.broadcast(totals), F.expr("lang <=> _l"))  # at most LANGUAGES rows
-            .where(f"kind = 0 or kind = 1 and n >= {COMMON_SHARE} * total"))
-    table = used.select("lang", "kind", "key", "n", "total").toPandas()  # at most 1 / COMMON_SHARE words a language
-    names = sorted({(x is not None, x or "") for x in table.lang})
-    keys = np.unique(table.key[table.kind == 1].to_numpy(np.int64).view(np.uint64))
-    chars, words = np.zeros((len(names), CLASSES)), np.zeros((len(names), len(keys) + 1))
-    for x in table.itertuples():
-        i = names.index((x.lang is not None, x.lang or ""))
-        if x.kind == 0:
-            chars[i, x.key] = x.n
-        else:
-            words[i, np.searchsorted(keys, np.array([x.key], np.int64).view(np.uint64)[0])] = x.n
-        words[i, -1] = x.total
-    words[:, -1] -= words[:, :-1].sum(axis=1)
-    return {"chars": chars, "keys": keys, "words": words}
+    # a word common to a language of LANG_GUARD words has at least this count
+    rows = reliable_checkpoint(rows.where(f"kind <> 1 or n >= {COMMON_SHARE * LANG_GUARD}"))
+    totals = rows.where("kind = 2").select(F.col("lang").alias("_l"), F.col("n").alias("total"))
+    rows = rows.join(checked_broadcast(totals), F.expr("lang <=> _l"))
+    small = rows.where(f"kind = 0 and total < {LANG_GUARD}").groupBy(F.col("lang").alias("_l")).agg(
+        F.sort_array(F.collect_list(F.struct("key", "n"))).alias("own")).select("_l", F.col("own.n").alias("own"))
+    table = (rows.where(f"total >= {LANG_GUARD} and (kind = 0 or kind = 1 and n >= {COMMON_SHARE} * total)")
+             .select("lang", "kind", "key", "n", "total").toPandas())  # at most 1 / COMMON_SHARE words a language
+    names = {x: i for i, x in enumerate(sorted({(x is not None, x or "") for x in table.lang}))}
+    at = np.array([names[x is not None, x or ""] for x in table.lang], np.int64)
+    kind, key, n, total = (table[c].to_numpy(np.int64) for c in ("kind", "key", "n", "total"))
+    chars, other = np.zeros((len(names), CLASSES)), np.ones(len(names))
+    chars[at[kind == 0], key[kind == 0]] = n[kind == 0]
+    word = kind == 1
+    keys, place = np.unique(key[word].view(np.uint64), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    lang, share = at[word][order], (n[word] / total[word])[order]
+    other -= np.bincount(lang, share, len(names))
+    start = np.searchsorted(place[order], np.arange(len(keys) + 1))
+    return {"chars": chars, "keys": keys, "start": start, "lang": lang, "share": share,
+            "other": np.where(other > 1e-12, other, 0.0)}, small
+
+
+def _nearest(ref: dict, w: Words, docs: int) -> np.ndarray:
+    """Least Jensen-Shannon distance of each document's words to the references.  Only words that both
+    sides have take part in the sum: with none in common the divergence is 1."""
+    langs = len(ref["other"])
+    n = np.bincount(w.doc, minlength=docs)
+    at = np.searchsorted(ref["keys"], w.hash)
+    at[at == len(ref["keys"])] = 0
+    known = ref["keys"][at] == w.hash if len(ref["keys"]) else np.zeros(len(at), bool)
+    wide = max(len(ref["keys"]), 1)
+    entry, count = np.unique(w.doc[known] * wide + at[known], return_counts=True)
+    doc, at = entry // wide, entry % wide
+    p = count / n[doc]
+    rest = 1 - np.bincount(w.doc[known], minlength=docs) / np.maximum(n, 1)
+    rest[n == 0] = 0
+
+    def shared(p, q):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            m = (p + q) / 2
+            return np.where((p > 0) & (q > 0), p * np.log2(p / m) + q * np.log2(q / m) - p - q, 0.0)
+    out, step = np.zeros(docs), max(1, 4_000_000 // langs)
+    for lo in range(0, docs, step):
+        hi = min(lo + step, docs)
+        a, b = np.searchsorted(doc, (lo, hi))
+        first, many = ref["start"][at[a:b]], np.diff(ref["start"])[at[a:b]]
+        spot = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        part = shared(np.repeat(p[a:b], many), ref["share"][spot])
+        both = np.bincount(np.repeat(doc[a:b] - lo, many) * langs + ref["lang"][spot], part, (hi - lo) * langs)
+        both = both.reshape(hi - lo, langs) + shared(rest[lo:hi, None], ref["other"][None, :])
+        out[lo:hi] = np.sqrt(np.clip(1 + both / 2, 0, 1)).min(axis=1)
+    return out
 
 
 def _judged(ref):
@@ -163,21 +201,19 @@ def _judged(ref):
             chars = cls.sum(axis=1)
             inside = _per_doc(w, LEAD[w.buf] & ~SPACE[w.buf])
             low = Words(texts, lower=True)
-            at = np.searchsorted(r["keys"], low.hash)
-            at[at == len(r["keys"])] = 0
-            known = r["keys"][at] == low.hash if len(r["keys"]) else np.zeros(len(at), bool)
-            wide = len(r["keys"]) + 1
-            hist = np.bincount(low.doc * wide + np.where(known, at, wide - 1), minlength=len(texts) * wide)
-            hist = hist.reshape(len(texts), wide)
-            by_char = np.min([js_distance(cls, q) for q in r["chars"]], axis=0) if len(r["chars"]) else np.zeros(len(texts))
-            by_word = np.min([js_distance(hist, q) for q in r["words"]], axis=0) if len(r["words"]) else np.zeros(len(texts))
+            own = b.column(2).to_pylist()
+            alone = np.array([x is not None for x in own], bool)
+            by_char = np.min([js_distance(cls, q) for q in r["chars"]], axis=0) if len(r["chars"]) else np.ones(len(texts))
+            for i in np.flatnonzero(alone):
+                by_char[i] = js_distance(cls[i:i + 1], np.array(own[i], float))[0]
+            by_word = _nearest(r, low, len(texts)) if len(r["other"]) else np.ones(len(texts))
             again = repeated_words(w)
             failed = (n < LEAST_WORDS) | (100 * again > MOST_REPEATED * n)
-            far = ((chars >= CHAR_GUARD) & (by_char > MOST_CHAR)) | ((n >= WORD_GUARD) & (by_word > MOST_WORD))
+            far = ((chars >= CHAR_GUARD) & (by_char > MOST_CHAR)) | (~alone & (n >= WORD_GUARD) & (by_word > MOST_WORD))
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), *map(pa.array, (n, inside, _per_doc(w, SYMBOL[w.buf]),
                                               np.array([duplicate_lines(t) for t in texts], np.int64), again, failed,
-                                              ~failed & ~far, by_char, by_word))],
+                                              ~failed & ~far, by_char)), pa.array(by_word, mask=alone)],
                 names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                        "kept", "char_distance", "word_distance"])
     return run
@@ -185,8 +221,15 @@ def _judged(ref):
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, counts, ``base_failed``, ``kept`` and the two distances."""
-    ref = docs.sparkSession.sparkContext.broadcast(references(docs, text_col, lang_col))
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
+    table, small = references(docs, text_col, lang_col)
+    ref = docs.sparkSession.sparkContext.broadcast(table)
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"),
+                       F.col(lang_col).cast("string").alias("lang"))
+    small = reliable_checkpoint(small)
+    if n_small := small.count():
+        rows = rows.join(checked_broadcast(small, n_small), F.expr("lang <=> _l"), "left").select("text", "id", "own")
+    else:
+        rows = rows.select("text", "id", F.lit(None).cast("array<bigint>").alias("own"))
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(_judged(ref), f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                            "n_repeat_words long, base_failed boolean, kept boolean, char_distance double, "

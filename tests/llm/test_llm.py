@@ -312,6 +312,40 @@ def test_rules(spark, docs, empty):
     assert not any(r.kept for r in out if r.base_failed) and quality_rules.judge(empty).count() == 0
 
 
+def many_languages(spark):
+    r, rows = random.Random(5), []
+    for k in range(20):  # half the words are 60 common ones of the language, half are rare
+        name = None if k == 19 else "".join(chr(97 + (k * 7 + j) % 26) for j in range(4))
+        for _ in range(100 if k < 18 else 95 if k == 19 else 3):
+            t = [f"{name}{chr(97 + r.randrange(12))}{chr(97 + r.randrange(5))}" if r.random() < 0.5 else
+                 "".join(chr(97 + r.randrange(26)) for _ in range(6)) for _ in range(120)]
+            rows.append((len(rows), " ".join(t), name, None, None, None))
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def test_every_language_has_a_reference(spark):
+    rows, docs = many_languages(spark)
+    out = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert len(out) == len(rows) and all(r.kept for r in out.values())
+    assert {d for d, r in out.items() if r.word_distance is None} == {1800, 1801, 1802}  # the language of 3 documents
+    words_ = [WORD.findall(t) for _, t, *_ in rows]
+    count = collections.defaultdict(collections.Counter)
+    for (_, _, lang, *_), w in zip(rows, words_):
+        count[lang].update(w)
+    refs = {k: ({x: n for x, n in c.items() if n >= 1e-3 * c.total()}, c.total()) for k, c in count.items() if c.total() >= 10000}
+    keys = {x: i for i, x in enumerate(sorted(set().union(*(f for f, _ in refs.values()))))}
+
+    def hist(c, total):
+        h = np.zeros(len(keys) + 1)
+        for x, n in c.items():
+            h[keys.get(x, -1)] += n
+        h[-1] += total - sum(c.values())
+        return h
+    for d in (0, 500, 1799, 1850):
+        h = hist(collections.Counter(words_[d]), 120)[None]
+        assert np.isclose(out[d].word_distance, min(quality_rules.js_distance(h, hist(*x))[0] for x in refs.values()))
+
+
 def test_js_distance():
     p = np.array([[1.0, 0, 3], [0, 0, 0], [2, 0, 6]])
     assert np.allclose(quality_rules.js_distance(p, np.array([1.0, 0, 3])), [0, 1, 0])
