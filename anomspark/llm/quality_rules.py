@@ -92,13 +92,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 # ---- references -----------------------------------------------------------------------------
 
 def _reference_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, key, n): class counts (kind 0), words (1), and totals of words (2).  A word that
-    is rarer than a quarter of ``COMMON_SHARE`` among 64 MB of a language's text is not passed on."""
+    """(lang, kind, key, n): class counts (kind 0), words (1), and totals of words (2), of 64 MB of text each."""
     held: dict[str | None, list[str]] = {}
     size = 0
 
     def flush():
-        lang, kind, key, n = [], [], [], []
         for name, texts in held.items():
             chars, words, total = np.zeros(CLASSES, np.int64), [], 0
             for i in range(0, len(texts), 512):
@@ -108,24 +106,22 @@ def _reference_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 total += len(w.hash)
             h, inverse = np.unique(np.concatenate([x[0] for x in words]), return_inverse=True)
             c = np.bincount(inverse, np.concatenate([x[1] for x in words]), len(h)).astype(np.int64)
-            use = c >= max(2, COMMON_SHARE / 4 * total)
-            for k, keys, counts in ((0, np.arange(CLASSES), chars), (1, h[use].view(np.int64), c[use]), (2, [0], [total])):
-                lang += [name] * len(keys)
-                kind += [k] * len(keys)
-                key += list(keys)
-                n += list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(kind, pa.int32()),
-                                           pa.array(key, pa.int64()), pa.array(n, pa.int64())],
-                                          names=["lang", "kind", "key", "n"])
+            kind = np.repeat(np.array([0, 1, 2], np.int32), (CLASSES, len(h), 1))
+            key = np.concatenate((np.arange(CLASSES), h.view(np.int64), [0]))
+            n = np.concatenate((chars, c, [total]))
+            for i in range(0, len(key), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(key[part])), pa.array(kind[part]),
+                                                  pa.array(key[part]), pa.array(n[part])], names=["lang", "kind", "key", "n"])
     for b in slices(batches, "text"):
         for name, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
             held.setdefault(name, []).append(text)
         size += b.nbytes
         if size >= 64 << 20 or len(held) > 4096:
-            yield flush()
+            yield from flush()
             held, size = {}, 0
     if held:
-        yield flush()
+        yield from flush()
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[dict, DataFrame]:

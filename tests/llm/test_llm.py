@@ -346,6 +346,13 @@ def test_every_language_has_a_reference(spark):
         assert np.isclose(out[d].word_distance, min(quality_rules.js_distance(h, hist(*x))[0] for x in refs.values()))
 
 
+def test_references_do_not_depend_on_partitions(spark):
+    docs = many_languages(spark)[1].where("doc_id < 300")
+    one, many = ({r.doc_id: (r.kept, round(r.word_distance, 9), round(r.char_distance, 9)) for r in quality_rules.judge(x).collect()}
+                 for x in (docs.coalesce(1), docs.repartition(60)))
+    assert one == many
+
+
 def test_js_distance():
     p = np.array([[1.0, 0, 3], [0, 0, 0], [2, 0, 6]])
     assert np.allclose(quality_rules.js_distance(p, np.array([1.0, 0, 3])), [0, 1, 0])
