@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anomspark.llm.common import checked_broadcast, docs_with_row_once, read, reliable_checkpoint
+from anomspark.llm.common import checked_broadcast, docs_with_row_once, fresh, read, reliable_checkpoint
 from anomspark.llm.components import components
 from anomspark.llm.textnum import shingle_sets, slices
 
@@ -502,10 +502,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document (the least id) of each class stays; documents without words all stay."""
-    classes = jaccard_classes(docs, id_col, text_col, **options)
-    return docs_with_row_once(docs, reliable_checkpoint(classes.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-                                                        .select(id_col).distinct()), id_col)
+    """One document (the least id, null last) of each class stays; documents without words all stay.
+    Rows are told apart by id and text, so texts that share an id, or have none, are judged one by one."""
+    key, = fresh(docs, "_key")
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    full = docs.where(worded).withColumn(key, name)
+    classes = jaccard_classes(full, key, text_col, **options)
+    first = reliable_checkpoint(classes.where(F.col(key) == F.col("component_id")).select(key).distinct())
+    return docs_with_row_once(full, first, key).select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,6 +268,18 @@ def test_jaccard_edges(spark, docs, empty):
     assert sorted(map(tuple, components.components(e).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
 
 
+def test_keep_one_shared_and_null_ids(spark):
+    texts = [words(60, 50 + k) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " tail"), (None, None), (None, ""), (None, None), (1, texts[2]),
+            (1, texts[3]), (2, texts[3] + " tail"), (1, " "), (1, " "), (2, texts[4]), (2, texts[0]), (3, texts[5]), (3, texts[5])]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = collections.Counter((r.doc_id, r.text) for r in kept)
+    one = [(None, texts[1]), (None, texts[1] + " tail")]
+    assert sum(got.pop(x, 0) for x in one) == 1
+    assert got == collections.Counter([(None, None), (None, ""), (None, None), (1, texts[2]), (1, texts[3]), (1, " "), (1, " "),
+                                       (2, texts[4]), (2, texts[0]), (3, texts[5])])
+
+
 # ---- 9 secrets
 def test_secrets(spark, empty):
     rows = [(1, 'é password = "abcd1234" and API_KEY: zzzzzzzzzz x token=short'), (2, "AKIA" + "A1" * 8 + " AKIA12"), (3, "0f" * 20),
