@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from anomspark.llm import (decontaminate, html_text, jaccard_join, mixing, quality_classifier, quality_rules, secrets,
+from anomspark.llm import (decontaminate, exact_dedup, html_text, jaccard_join, mixing, quality_classifier, quality_rules, secrets,
                            sharding, token_file, toxicity)
 
 QUERIES = {
@@ -16,8 +16,10 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op13_golomb_dedup": exact_dedup.op13_golomb_dedup,
 }
 
 ORACLE = {
     "op8_jaccard_join": jaccard_join.SQL,
+    "op13_golomb_dedup": exact_dedup.SQL,
 }
