@@ -15,7 +15,7 @@ from anomspark.operators import features as FE
 from anomspark.operators import scoring as SC
 from anomspark.operators.profile import Profile, profile
 from anomspark.plans import route as RT
-from anomspark.plans.ordering import c
+from anomspark.plans.ordering import ROW_NAME, c, with_row_id
 from anomspark.session import reliable_checkpoint
 from anomspark.sources.io import normalize_missing
 
@@ -61,10 +61,10 @@ DETECTORS: dict[str, Callable] = {
 
 @dataclass
 class RunResult:
-    result: DataFrame                      # key, anomaly_score, embedding_*, score_*, is_anomaly
+    result: DataFrame                      # row_id, key..., anomaly_score, embedding_*, score_*, is_anomaly
     profile: Profile | None
     config: dict[str, Any]
-    features: DataFrame
+    features: DataFrame                    # row id (ROW_NAME) and the feature columns
     spec: FE.FeatureSpec
     status: list[dict[str, Any]] = field(default_factory=list)   # G11
     scores: dict[str, DataFrame] = field(default_factory=dict)
@@ -73,6 +73,15 @@ class RunResult:
     def status_df(self, spark) -> DataFrame:
         return spark.createDataFrame(self.status, "detector string, status string, message string")
 
+    def summary(self) -> DataFrame:
+        """H7: rows, mean, population sd, threshold, anomaly count and percent of the run."""
+        return SC.score_summary(self.result)
+
+    def detector_figures(self) -> DataFrame:
+        """H8: mean normalised score of each detector and the embedding size of the one embedded."""
+        size = sum(x.startswith("embedding_") for x in self.result.columns)
+        return SC.detector_summary(self.scores, {n: size if n == self.embedding_source else 0 for n in self.scores})
+
 
 def run_detectors(feats: DataFrame, key: Sequence[str], names: Sequence[str],
                   detectors: Sequence[str], checkpoint: bool = True):
@@ -107,41 +116,49 @@ def run_detectors(feats: DataFrame, key: Sequence[str], names: Sequence[str],
     return feats, scores, status
 
 
-def run(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None = None,
+def run(df: DataFrame, key: Sequence[str] = (), order_by: Sequence[str] | None = None,
         profile_kwargs: dict[str, Any] | None = None, detectors: Sequence[str] | None = None,
-        embedding_dim: int = R.EMBEDDING_DIM, checkpoint: bool = True) -> RunResult:
-    """Score every row of ``df``; ``key`` identifies rows in the result."""
+        embedding_dim: int = R.EMBEDDING_DIM, checkpoint: bool = True, fill_by_order: bool = False) -> RunResult:
+    """Score every row of ``df``.
+
+    Each row gets a contiguous id (``row_id``, in ``order_by`` order, by default that of ``key`` or else
+    the scan's) that is carried through features, detectors and scores, so there is a score per row
+    whatever the data: ``key`` columns may repeat, be null or be absent.  They are only attached to the
+    result, and are features like any other column unless the profile says id or label.
+    ``fill_by_order`` fills missing values of a time series forward and backward in row order instead
+    of by median and mode.
+    """
     key = list(key)
-    df = normalize_missing(df)
-    prof = profile(df, order_by=order_by or key, **(profile_kwargs or {}))
+    ident = [ROW_NAME]
+    df = with_row_id(normalize_missing(df), order_by or key or None)
+    prof = profile(df, **(profile_kwargs or {}))
     cfg = RT.route(prof)
     steps = dict(cfg["preprocessing_steps"])
-    feats, spec = FE.fit_transform(df, steps, key, meta=cfg.get("metadata"), order_by=order_by or key)
+    meta = dict(cfg.get("metadata") or {}, is_time_series=prof.is_time_series) if fill_by_order else None
+    feats, spec = FE.fit_transform(df, steps, ident, meta=meta)
     names = detectors or cfg["detectors"]
-    feats, scores, status = run_detectors(feats, key, spec.feature_names, names, checkpoint)
-    combined = SC.ensemble(scores, key)
+    feats, scores, status = run_detectors(feats, ident, spec.feature_names, names, checkpoint)
+    combined = SC.ensemble(scores, ident)
     # H5: first neural detector that ran, else the first detector; non-neural -> PCA
     src = next((n for n in scores if n in RT.NEURAL_DETECTORS), next(iter(scores)))
     emb = None
     if src in RT.NEURAL_DETECTORS:
         try:
             from anomspark.operators.detectors.neural import neural_embedding
-            emb = neural_embedding(src, feats, key, spec.feature_names)
+            emb = neural_embedding(src, feats, ident, spec.feature_names)
         except Exception:
             emb = None
     if emb is None:
-        emb = SC.pca_embedding(feats, key, spec.feature_names, embedding_dim)
-    result = combined.join(emb, key)
-    result = SC.three_sigma(result)
+        emb = SC.pca_embedding(feats, ident, spec.feature_names, embedding_dim)
     emb_cols = [x for x in emb.columns if x.startswith("embedding_")]
-    ordered = [*key, "anomaly_score", *emb_cols, *[f"score_{n}" for n in scores], "is_anomaly"]
-    return RunResult(result=result.select(*[c(x) for x in ordered]), profile=prof, config=cfg,
-                     features=feats, spec=spec, status=status, scores=scores, embedding_source=src)
-
-
-def add_row_id(df: DataFrame, order_by: Sequence[str] | None, name: str = "row_id") -> DataFrame:
-    """Contiguous 0-based row id in ``order_by`` order (the reference's default index)."""
-    from anomspark.plans.ordering import ensure_order, group_index
-    df2, order = ensure_order(df, order_by)
-    out = group_index(df2, order, (), name)
-    return out.select(F.col(name), *[c(x) for x in df.columns])
+    scored = SC.three_sigma(combined.join(emb, ROW_NAME))
+    row_id = "row_id"
+    while row_id in key:
+        row_id = "_" + row_id
+    made = [F.col("anomaly_score"), *map(c, emb_cols), *[c(f"score_{n}") for n in scores], F.col("is_anomaly")]
+    if key:
+        keys = df.select(F.col(ROW_NAME).alias("__row"), *[c(k).alias(f"__key{i}") for i, k in enumerate(key)])
+        scored = scored.join(keys, F.col(ROW_NAME) == F.col("__row"))
+    result = scored.select(F.col(ROW_NAME).alias(row_id), *[F.col(f"__key{i}").alias(k) for i, k in enumerate(key)], *made)
+    return RunResult(result=result, profile=prof, config=cfg, features=feats, spec=spec, status=status, scores=scores,
+                     embedding_source=src)

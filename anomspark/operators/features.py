@@ -2,13 +2,14 @@
 
 Fitting computes only small things -- vocabularies, medians, modes, one-hot value
 lists, quartiles -- with aggregate jobs (histograms + exact quantiles, never a single
-task per column).  Frequency tables stay DataFrames and are joined (Spark picks a
-broadcast only when their measured size allows).  The transform is then projections
-plus those joins.
+task per column).  Frequency tables stay DataFrames and are joined by digest (broadcast
+only up to a counted number of rows).  The transform is then projections plus those joins;
+it neither needs a unique key nor changes the number of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anomspark.functions import rules as R
-from anomspark.operators.histogram import exact_quantiles, frequencies, modes, value_histogram
+from anomspark.operators.histogram import (DIGEST, by_digest, digest, digest_histogram, exact_quantiles, frequencies,
+                                           modes_of, value_histogram)
 from anomspark.plans.ordering import DEFAULT_BLOCK_ROWS, c, group_index
 from anomspark.sources.io import spread
 
@@ -51,54 +53,44 @@ def tokens_expr(col: Column) -> Column:
 def fit_vocabulary(df: DataFrame, text_col: str, max_terms: int = R.TFIDF_TERMS) -> list[tuple[str, float]]:
     """Top ``max_terms`` terms by corpus count (ties alphabetical) with smooth idf.
 
-    One pass: tokens are counted per (document, term) with map-side combine, then per
-    term (total count and document frequency).  Returns ``[(term, idf)]`` sorted
-    alphabetically (the feature order)."""
-    docs = spread(df.select(c(text_col))).select(F.monotonically_increasing_id().alias("_doc"),
-                                                  tokens_expr(c(text_col)).alias("t"))
-    per_doc = docs.select("_doc", F.explode("t").alias("term")).groupBy("_doc", "term").count()
-    per_term = per_doc.groupBy("term").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("df"))
+    A row gives its tokens for the corpus counts and its distinct tokens for the document
+    frequency; both are summed per term in the map task first, so one row per task and term is
+    shuffled.  Returns ``[(term, idf)]`` sorted alphabetically (the feature order)."""
+    tokens = F.col("_t")
+    marks = F.concat(F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
+                     F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"),
+                                                                              F.lit(1).alias("df"))))
+    rows = spread(df.select(c(text_col))).select(tokens_expr(c(text_col)).alias("_t")).select(F.explode(marks).alias("m"))
+    per_term = rows.groupBy("m.term").agg(F.sum("m.n").alias("n"), F.sum("m.df").alias("df"))
     top = per_term.orderBy(F.desc("n"), F.asc("term")).limit(max_terms).collect()
     if not top:
         return []
-    import math
     n_docs = df.count()
     return sorted((r["term"], math.log((1 + n_docs) / (1 + r["df"])) + 1.0) for r in top)
 
 
-def term_counts(df: DataFrame, text_col: str, vocab: list[tuple[str, float]], key: Sequence[str],
-                prefix: str) -> DataFrame:
-    """key + ``<prefix><i>`` = count of vocabulary term i in the row's text.
-
-    Tokens outside the vocabulary are dropped right after the explode; the pivot is one
-    aggregation on the key whose partial step combines every document's tokens in its
-    own partition, so only one row per document is shuffled.  Rows without any
-    vocabulary token are absent (count 0 after the caller's left join)."""
+def tfidf_weights(text: Column, vocab: list[tuple[str, float]]) -> Column:
+    """L2-normalised tf-idf of one text as an array in vocabulary order, worked out inside the row:
+    no explode, no shuffle, no key."""
     terms = [t for t, _ in vocab]
-    ids = list(range(1, len(terms) + 1))
-    toks = (spread(df.select(*[c(k) for k in key], c(text_col)))
-            .select(*[c(k) for k in key], F.explode(tokens_expr(c(text_col))).alias("_term"))
-            .where(F.col("_term").isin(terms))
-            .select(*[c(k) for k in key], F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("_term"))
-                    .cast("int").alias("_ti")))
-    piv = toks.groupBy(*[c(k) for k in key]).pivot("_ti", ids).agg(F.count(F.lit(1)))
-    return piv.select(*[c(k) for k in key], *[F.col(f"`{i}`").alias(f"{prefix}{i}") for i in ids])
+    found = F.filter(tokens_expr(text), lambda t: t.isin(terms))
+    # array_remove of one term leaves the others: the difference in size is the term's count
+    weights = F.transform(F.array(found), lambda v: F.array(*[
+        (F.size(v) - F.size(F.array_remove(v, t))) * F.lit(idf) for t, idf in vocab]))
+    return F.transform(weights, lambda w: F.transform(
+        F.array(F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))),
+        lambda norm: F.transform(w, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))))[0])[0]
 
 
-def tfidf_from_counts(prefix: str, text_col: str, vocab: list[tuple[str, float]]) -> list[Column]:
-    """L2-normalised tf-idf columns from per-term count columns ``<prefix><i>``."""
-    weights = [F.coalesce(F.col(f"{prefix}{i + 1}"), F.lit(0)).cast("double") * F.lit(idf)
-               for i, (_, idf) in enumerate(vocab)]
-    norm = F.sqrt(sum((w * w for w in weights), F.lit(0.0)))
-    return [F.when(norm > 0, w / norm).otherwise(F.lit(0.0)).alias(f"{text_col}_tfidf_{t}")
-            for w, (t, _) in zip(weights, vocab)]
+def tfidf_columns(array: Column, text_col: str, vocab: list[tuple[str, float]]) -> list[Column]:
+    """The entries of a :func:`tfidf_weights` array as ``<text_col>_tfidf_<term>`` columns."""
+    return [F.get(array, F.lit(i)).alias(f"{text_col}_tfidf_{t}") for i, (t, _) in enumerate(vocab)]
 
 
 def tfidf_frame(df: DataFrame, text_col: str, vocab: list[tuple[str, float]], key: Sequence[str]) -> DataFrame:
     """key... + ``<text_col>_tfidf_<term>`` columns for every row of ``df``."""
-    counts = term_counts(df, text_col, vocab, key, "_c")
-    joined = df.select(*[c(k) for k in key]).join(counts, list(key), "left")
-    return joined.select(*[c(k) for k in key], *tfidf_from_counts("_c", text_col, vocab))
+    rows = df.select(*[c(k) for k in key], tfidf_weights(c(text_col), vocab).alias("__tfidf"))
+    return rows.select(*[c(k) for k in key], *tfidf_columns(F.col("__tfidf"), text_col, vocab))
 
 
 def _median_map(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
@@ -177,9 +169,9 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
         order.append(name)
         exprs[name] = col.alias(name)
 
-    # F3 tf-idf.  The per-document term counts are joined only in the final projection:
-    # tf-idf columns are never imputed, encoded or scaled, so no fitting job needs them.
-    count_frames: list[DataFrame] = []
+    # F3 tf-idf: one array column per text, split into columns in the final projection; tf-idf
+    # columns are never imputed, encoded or scaled, so the fitting jobs prune the array.
+    arrays: dict[str, Column] = {}
     deferred: dict[str, Column] = {}
     for tcol in text_cols:
         if tcol not in order:
@@ -191,9 +183,9 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
             spec.notes.append(f"{tcol}: empty vocabulary, column dropped")
             continue
         spec.text_vocab[tcol] = vocab
-        prefix = f"__tf{len(spec.text_vocab)}_"
-        count_frames.append(term_counts(df, tcol, vocab, key, prefix))
-        for (t, _), colx in zip(vocab, tfidf_from_counts(prefix, tcol, vocab)):
+        name = f"__tfidf{len(arrays)}"
+        arrays[name] = tfidf_weights(c(tcol), vocab).alias(name)
+        for (t, _), colx in zip(vocab, tfidf_columns(F.col(name), tcol, vocab), strict=True):
             nm = f"{tcol}_tfidf_{t}"
             order.append(nm)
             deferred[nm] = colx
@@ -202,12 +194,11 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
     def live() -> list[str]:
         return [n for n in order if n not in deferred]
 
-    base_cols = [c(k) for k in key]
-    work = df.select(*base_cols, *[exprs[n] for n in live()])
-    key_names = set(key)
+    along = [*key, *arrays]  # carried through every step
+    work = df.select(*[c(k) for k in key], *arrays.values(), *[exprs[n] for n in live()])
 
     def stage(frame: DataFrame, names: list[str], ex: dict[str, Column]) -> DataFrame:
-        return frame.select(*[c(k) for k in key], *[ex[n].alias(n) for n in names if n not in deferred])
+        return frame.select(*[c(k) for k in along], *[ex[n].alias(n) for n in names if n not in deferred])
 
     # F4 dtype split
     categorical = [n for n in live() if isinstance(types[n], T.StringType)]
@@ -235,46 +226,40 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
             if categorical:
                 nulls = work.agg(*[F.count_if(c(n).isNull()).alias(f"n{i}") for i, n in enumerate(categorical)]).first()
                 with_nulls = [n for i, n in enumerate(categorical) if nulls[f"n{i}"] > 0]
-                if with_nulls:
-                    mode_rows = modes(value_histogram(work, with_nulls)).collect()
-                    for r in mode_rows:
-                        spec.modes[r["column"]] = r["mode"]
-                        cur[r["column"]] = F.coalesce(c(r["column"]), F.lit(r["mode"]))
+                for n, mode in (modes_of(work, with_nulls) if with_nulls else {}).items():
+                    spec.modes[n] = mode
+                    cur[n] = F.coalesce(c(n), F.lit(mode))
             work = stage(work, order, cur)
             cur = {n: c(n) for n in live()}
 
     # F8 / F9 / F10 encoding
-    joins: list[tuple[str, DataFrame]] = []
     if steps.get("encode_categorical") and categorical:
-        hist = value_histogram(work, categorical)
+        hist = digest_histogram(work, categorical)
         counts = {r["column"]: r["k"] for r in hist.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
         small = [n for n in categorical if counts.get(n, 0) <= R.ONE_HOT_MAX_DISTINCT]
-        if small:
-            vals = hist.where(F.col("column").isin(small)).select("column", "value").collect()
+        if small:  # at most five values each: these few are fetched
+            vals = value_histogram(work, small).select("column", "value").collect()
             for n in small:
                 spec.one_hot[n] = sorted(r["value"] for r in vals if r["column"] == n)
         freq = frequencies(hist)
-        for n in categorical:
-            if n in spec.one_hot:
-                order.remove(n)
-                cur.pop(n)
-                for v in spec.one_hot[n]:
-                    nm = f"{n}_{v}"
-                    order.append(nm)
-                    cur[nm] = F.coalesce((c(n) == F.lit(v)).cast("double"), F.lit(0.0))
-            else:
-                spec.freq_encoded.append(n)
-                tbl = (freq.where(F.col("column") == n)
-                       .select(F.col("value").alias(f"_v_{len(joins)}"),
-                               F.col("share").cast("float").cast("double").alias(f"_s_{len(joins)}")))
-                joins.append((n, tbl))
-                cur[n] = F.coalesce(F.col(f"_s_{len(joins) - 1}"), F.lit(0.0))
-        keep_raw = [n for n in categorical]
-        frame = work
-        for i, (n, tbl) in enumerate(joins):
-            frame = frame.join(tbl, c(n) == F.col(f"_v_{i}"), "left")
-        work = frame.select(*[c(k) for k in key], *[cur[n].alias(n) for n in live()])
-        _ = keep_raw
+        for i, n in enumerate(x for x in categorical if x not in spec.one_hot):
+            spec.freq_encoded.append(n)
+            d = [f"__{x}_{i}" for x in DIGEST]
+            share = freq.where(F.col("column") == n).select(
+                *[F.col(x).alias(y) for x, y in zip(DIGEST, d, strict=True)],
+                F.col("share").cast("float").cast("double").alias(f"__share_{i}"))
+            own = digest(c(n), True)
+            match = [F.col(y) == x for x, y in zip(own, d, strict=True)]
+            work = work.join(by_digest(share, counts[n]), match[0] & match[1] & match[2], "left").drop(*d)
+            cur[n] = F.coalesce(F.col(f"__share_{i}"), F.lit(0.0))
+        for n in small:
+            order.remove(n)
+            cur.pop(n)
+            for v in spec.one_hot[n]:
+                nm = f"{n}_{v}"
+                order.append(nm)
+                cur[nm] = F.coalesce((c(n) == F.lit(v)).cast("double"), F.lit(0.0))
+        work = stage(work, order, cur)
     else:
         for n in categorical:
             order.remove(n)
@@ -298,13 +283,10 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
             spec.scaled[n] = (med, scale)
             cur[n] = (c(n).cast("double") - F.lit(med)) / F.lit(scale)
 
-    # F13 float32 feature matrix (tf-idf counts joined here, on the key)
+    # F13 float32 feature matrix
     spec.feature_names = list(order)
-    for frame in count_frames:
-        work = work.join(frame, key, "left")
     cur.update(deferred)
     # via double: Catalyst folds integer -> float -> double casts and would skip the
     # float32 rounding the feature matrix is defined with
     out = work.select(*[c(k) for k in key], *[cur[n].cast("double").cast("float").alias(n) for n in order])
-    _ = key_names
     return out, spec

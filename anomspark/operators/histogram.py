@@ -1,32 +1,98 @@
 """Value histograms and the statistics derived from them.
 
-``unpivot`` + ``groupBy(column, value).count()`` is one shuffle with map-side combine,
-so a value holding a third of all rows costs one row per map task.  Distinct counts,
-frequencies, modes, exact quantiles and ECDF ranks all come from it.
+Two histograms, each one shuffle with map-side combine, so a value holding a third of all
+rows costs one row per map task:
+
+* :func:`digest_histogram` groups by a 128-bit digest of the value and its length.  Distinct
+  counts, lengths, frequencies and modes need no more, and no text ever crosses the network;
+  values are fetched afterwards for the few winners (:func:`modes_of`).
+* :func:`value_histogram` groups by the value itself: for numbers (exact quantiles, ECDF
+  ranks) and for columns known to hold few values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anomspark.plans.ordering import c, group_prefix_sum
 
+#: Rows of a digest table (a few longs each) up to which it is broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 1_000_000
+DIGEST = ["d1", "d2", "size"]
+_SEED = 0x5EED
+
+
+def one_zero(df: DataFrame, name: str) -> Column:
+    """The column with 0.0 and -0.0 as one value."""
+    dt = df.schema[name].dataType
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.when(c(name) == 0, F.lit(0.0).cast(dt)).otherwise(c(name))
+    return c(name)
+
+
+def digest(value: Column, is_string: bool) -> list[Column]:
+    """128 bits of hash and the length of a text (0 for other types), named as :data:`DIGEST`."""
+    size = F.length(value) if is_string else F.lit(0)
+    return [F.xxhash64(value).alias("d1"), F.xxhash64(F.lit(_SEED), value).alias("d2"), size.alias("size")]
+
+
+def digest_histogram(df: DataFrame, columns: Sequence[str], facts=None, keys=None) -> DataFrame:
+    """(column, d1, d2, size, cnt, ...) over non-null values.
+
+    ``facts(name)`` and ``keys(name)`` give further (name, column) pairs that depend on the value
+    alone, the same names and types for every column.  Facts (numbers, flags) are kept per value by
+    ``max``; keys (short texts) are grouped by, which changes no group."""
+    cells, fact_names, key_names = [], [], []
+    for n in columns:
+        more = list(facts(n)) if facts else []
+        key = list(keys(n)) if keys else []
+        fact_names, key_names = [x for x, _ in more], [x for x, _ in key]
+        cells.append(F.when(c(n).isNotNull(), F.struct(
+            F.lit(n).alias("column"), *digest(one_zero(df, n), isinstance(df.schema[n].dataType, T.StringType)),
+            *[e.alias(x) for x, e in more + key])))
+    long = df.select(F.explode(F.array(*cells)).alias("cell")).where("cell is not null").select("cell.*")
+    return long.groupBy("column", *DIGEST, *key_names).agg(F.count(F.lit(1)).alias("cnt"),
+                                                          *[F.max(x).alias(x) for x in fact_names])
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n_distinct) of the columns that have a value."""
+    return digest_histogram(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
+def by_digest(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` marked for broadcast if it has at most :data:`BROADCAST_ROWS` rows."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def modes_of(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """the most frequent value of each column as text; ties go to the smallest value.
+
+    Winners are found among the digests; only their values are read."""
+    hist = digest_histogram(df, columns)
+    top = hist.groupBy("column").agg(F.max("cnt").alias("most"))
+    tied = hist.join(F.broadcast(top), "column").where("cnt = most").select("column", *DIGEST)
+    rows = {r["column"]: r["k"] for r in tied.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    out = {}
+    for n in rows:
+        mine = by_digest(tied.where(F.col("column") == n).drop("column"), rows[n])
+        cells = df.where(c(n).isNotNull()).select(
+            one_zero(df, n).cast("string").alias("value"), *digest(one_zero(df, n), isinstance(df.schema[n].dataType, T.StringType)))
+        out[n] = cells.join(mine, DIGEST, "left_semi").agg(F.min("value")).first()[0]
+    return out
+
 
 def long_values(df: DataFrame, columns: Sequence[str], value_type: str = "string",
                 keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., column, value) for every non-null cell of ``columns``."""
     keep = list(keep)
     alias = [f"__key{i}" for i in range(len(keep))]  # a kept column may also be a value column
-    floats = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-
-    def cell(x):  # 0.0 and -0.0 are one value, also as text
-        return F.when(c(x) == 0, F.lit(0.0).cast(floats[x])).otherwise(c(x)) if x in floats else c(x)
     proj = df.select(*[c(k).alias(a) for k, a in zip(keep, alias)],
-                     *[cell(x).cast(value_type).alias(x) for x in columns])
+                     *[one_zero(df, x).cast(value_type).alias(x) for x in columns])
     long = proj.unpivot([F.col(a) for a in alias], [c(x) for x in columns], "column", "value")
     long = long.where(F.col("value").isNotNull())
     for k, a in zip(keep, alias):
@@ -43,14 +109,7 @@ def value_histogram(df: DataFrame, columns: Sequence[str], value_type: str = "st
 def frequencies(hist: DataFrame) -> DataFrame:
     """Share of each value among the column's non-null values."""
     tot = hist.groupBy("column").agg(F.sum("cnt").alias("_tot"))
-    return (hist.join(tot, "column")
-            .select("column", "value", "cnt", (F.col("cnt") / F.col("_tot")).alias("share")))
-
-
-def modes(hist: DataFrame) -> DataFrame:
-    """Most frequent value per column; ties go to the smallest value."""
-    return hist.groupBy("column").agg(
-        F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("mode"))
+    return hist.join(F.broadcast(tot), "column").withColumn("share", F.col("cnt") / F.col("_tot")).drop("_tot")
 
 
 def with_ranks(hist: DataFrame) -> DataFrame:

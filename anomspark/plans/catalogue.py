@@ -16,18 +16,18 @@ from anomspark.operators import features as FE
 from anomspark.operators import scoring as SC
 from anomspark.operators import temporal as TM
 from anomspark.operators.detectors.ecod import ecod
-from anomspark.operators.histogram import frequencies, long_values, value_histogram
+from anomspark.operators.histogram import distinct_counts, frequencies, long_values, value_histogram
 from anomspark.operators.profile import (column_stats, observations_per_entity, role_table)
 from anomspark.plans import oracle as O
 from anomspark.plans.ordering import c, group_index, tail_rows
-from anomspark.sources.io import read_table
+from anomspark.sources.io import read_table, spread
 from anomspark.session import prepare_session, reliable_checkpoint
 
 ROLE_TABLES = [("events", ["event_id"]), ("documents", ["doc_id"]), ("orders", ["o_orderkey"]),
                ("customer", ["c_custkey"]), ("part", ["p_partkey"]), ("labels", ["doc_id"]),
                ("conversations", ["conv_id", "turn"]), ("supplier", ["s_suppkey"]),
                ("nation", ["n_nationkey"]), ("region", ["r_regionkey"]), ("pages", ["page_id"]),
-               ("benchmark", ["item_id"])]
+               ("benchmark", ["item_id"]), ("lineitem", ["l_orderkey", "l_linenumber"])]
 ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
               "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 SAMPLE = R.MAX_SAMPLE_SIZE
@@ -62,7 +62,7 @@ def _roles_of(df: DataFrame, label: str, key: list[str], sample: int | None = SA
     prof = tail_rows(df, key, sample) if sample and n > sample else df
     if sample and n > sample:
         prof = prof.persist()
-    st = column_stats(prof, key, min(n, sample) if sample else n)
+    st = column_stats(prof, min(n, sample) if sample else n)
     roles = role_table(st, df.columns)
     out = roles.select(F.lit(label).alias("table_name"), F.col("column").alias("column_name"),
                         F.col("pos").cast("int").alias("pos"), "family",
@@ -82,7 +82,7 @@ def _roles(spark, sf, table, key):
 
 
 def q_column_roles(spark, sf):
-    """Role tables of twelve driver tables.  Each table is a handful of small jobs, so
+    """Role tables of thirteen driver tables.  Each table is a handful of small jobs, so
     the tables are submitted concurrently (Spark schedules jobs from several threads)."""
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=6) as pool:
@@ -193,9 +193,8 @@ def q_column_cardinality(spark, sf):
     frames = []
     for t in ["events", "documents", "orders"]:
         df = _t(spark, sf, t)
-        hist = value_histogram(df, df.columns)
         n = df.count()
-        frames.append(hist.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")).select(
+        frames.append(distinct_counts(df, df.columns).select(
             F.lit(t).alias("table_name"), F.col("column").alias("column_name"), "n_distinct",
             r6(F.col("n_distinct") / F.lit(n)).alias("unique_ratio")))
     return _union(frames)
@@ -372,7 +371,7 @@ def q_head_sample(spark, sf):
     ev = _t(spark, sf, "events")
     lv = long_values(ev, ["event_type", "props"], "string", keep=["event_id"])
     w = Window.partitionBy("column").orderBy("event_id")
-    return (lv.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= R.DATE_SAMPLE)
+    return (lv.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= R.HEAD_VALUES)
             .select(F.col("column").alias("column_name"), F.col("rn").cast("long").alias("rn"), "value"))
 
 
@@ -388,13 +387,6 @@ def _nulled_events(spark, sf):
                      F.when(F.col("value") >= 5, F.col("value")).alias("value"), "props")
 
 
-def q_drop_columns(spark, sf):
-    ev = _t(spark, sf, "events")
-    steps = {"exclude_id_columns": ["event_id"], "exclude_label_columns": [], "text_columns": []}
-    feats, spec = FE.fit_transform(ev, steps, ["event_id"])
-    return spark.createDataFrame([(i, n) for i, n in enumerate(spec.feature_names)], "pos int, feature string")
-
-
 def q_epoch_features(spark, sf):
     ev = _t(spark, sf, "events")
     return ev.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch_s"))
@@ -423,7 +415,7 @@ def q_ffill_bfill(spark, sf):
 
 
 def _documents_feats(spark, sf):
-    d = _t(spark, sf, "documents")
+    d = spread(_t(spark, sf, "documents"))
     steps = {"impute_missing": False, "scale_continuous": True, "encode_categorical": True,
              "exclude_id_columns": ["doc_id"], "exclude_label_columns": [], "text_columns": ["text"]}
     return FE.fit_transform(d, steps, ["doc_id"])
@@ -457,7 +449,7 @@ def q_robust_scale(spark, sf):
 
 
 def q_tfidf(spark, sf):
-    d = _t(spark, sf, "documents")
+    d = spread(_t(spark, sf, "documents"))
     vocab = FE.fit_vocabulary(d, "text")
     wide = FE.tfidf_frame(d, "text", vocab, ["doc_id"])
     names = [f"text_tfidf_{t}" for t, _ in vocab]

@@ -31,6 +31,11 @@ SCHEMAS = {
     "region": [("r_regionkey", "numeric", False), ("r_name", "string", False)],
     "pages": [("page_id", "numeric", False), ("url", "string", False), ("html", "string", False)],
     "benchmark": [("item_id", "numeric", False), ("text", "string", False)],
+    "lineitem": [("l_orderkey", "numeric", False), ("l_partkey", "numeric", False), ("l_suppkey", "numeric", False),
+                 ("l_linenumber", "numeric", False), ("l_quantity", "numeric", True),
+                 ("l_extendedprice", "numeric", True), ("l_discount", "numeric", True), ("l_tax", "numeric", True),
+                 ("l_returnflag", "string", False), ("l_linestatus", "string", False),
+                 ("l_shipdate", "datetime", False)],
 }
 
 # Keyword lists of the role rules (restated for the oracle).
@@ -92,7 +97,6 @@ def role_sql(table: str, key: list[str], sample: int | None = None, schema=None,
     ncols = len(names)
     label = table_label or table
     prof = prof_sql(table, key, sample, source)
-    order = ", ".join(qi(k) for k in key)
     parts = []
     for pos, (name, fam, is_float) in enumerate(schema):
         col = qi(name)
@@ -101,10 +105,9 @@ def role_sql(table: str, key: list[str], sample: int | None = None, schema=None,
         vmin = f"min(CAST({col} AS DOUBLE))" if num else "CAST(NULL AS DOUBLE)"
         vmax = f"max(CAST({col} AS DOUBLE))" if num else "CAST(NULL AS DOUBLE)"
         if fam == "string":
-            firsts = (f"(SELECT avg(CASE WHEN {duck_parse('v')} IS NOT NULL THEN 1.0 ELSE 0.0 END) AS ds, "
-                      f"avg(CASE WHEN rn <= 20 THEN (CASE WHEN regexp_matches(v, '{UUID_RE}') THEN 1.0 ELSE 0.0 END) END) AS us "
-                      f"FROM (SELECT {col} AS v, row_number() OVER (ORDER BY {order}) AS rn FROM p "
-                      f"WHERE {col} IS NOT NULL) WHERE rn <= 100)")
+            firsts = (f"(SELECT avg(CASE WHEN length(trim(v)) <= 64 AND {duck_parse('v')} IS NOT NULL THEN 1.0 ELSE 0.0 END) AS ds, "
+                      f"avg(CASE WHEN regexp_matches(v, '{UUID_RE}') THEN 1.0 ELSE 0.0 END) AS us "
+                      f"FROM (SELECT {col} AS v FROM p WHERE {col} IS NOT NULL))")
         else:
             firsts = "(SELECT CAST(NULL AS DOUBLE) AS ds, CAST(NULL AS DOUBLE) AS us)"
         bins = (f"(SELECT bool_or(regexp_matches(v, '[<>=!]')) AS bop, "
@@ -175,16 +178,14 @@ ROLE_TABLES = [("events", ["event_id"]), ("documents", ["doc_id"]), ("orders", [
                ("customer", ["c_custkey"]), ("part", ["p_partkey"]), ("labels", ["doc_id"]),
                ("conversations", ["conv_id", "turn"]), ("supplier", ["s_suppkey"]),
                ("nation", ["n_nationkey"]), ("region", ["r_regionkey"]), ("pages", ["page_id"]),
-               ("benchmark", ["item_id"])]
+               ("benchmark", ["item_id"]), ("lineitem", ["l_orderkey", "l_linenumber"])]
 NCOLS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11,
          "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3,
          "conversations": 4}
-LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def _cols(t):
-    return LINEITEM_COLS if t == "lineitem" else [n for n, _, _ in SCHEMAS[t]]
+    return [n for n, _, _ in SCHEMAS[t]]
 
 
 def roles_union_sql() -> str:

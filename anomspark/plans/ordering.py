@@ -92,6 +92,24 @@ def group_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
             .drop("_pid", "_lpos", "_start", "_off"))
 
 
+def with_row_id(df: DataFrame, order_cols: Sequence[str] | None = None, name: str = ROW_NAME) -> DataFrame:
+    """``df`` with a contiguous 0-based row id ``name``, fixed for good in a reliable checkpoint.
+
+    Rows are numbered by ``order_cols`` (ties in any order), or without them as they are scanned: then
+    nothing is shuffled, a row's id is its place in its partition plus the rows of the partitions before,
+    of which the table has one row each.  Rows alike in all columns get ids of their own.
+    """
+    if order_cols:
+        return reliable_checkpoint(group_index(df, order_cols, (), name))
+    pid, at, start = "__pid", "__at", "__start"
+    fixed = reliable_checkpoint(df.withColumn(pid, F.spark_partition_id()).withColumn(
+        at, F.monotonically_increasing_id() - F.shiftleft(F.col(pid).cast("long"), 33)))
+    sizes = fixed.groupBy(pid).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = sizes.select(pid, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    return (fixed.join(F.broadcast(starts), pid).withColumn(name, F.col(at) + F.col(start)).drop(pid, at, start))
+
+
 def _local_cumsum(group_col: str | None, weight_col: str, out_col: str):
     def scan(batches):
         carry_key = None

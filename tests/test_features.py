@@ -30,6 +30,17 @@ def test_tfidf_matches_python(spark):
         assert np.allclose(got.loc[i, [f"t_tfidf_{t}" for t in top]].to_numpy(float), exp)
 
 
+def test_tfidf_is_of_the_row_whatever_the_key(spark):
+    rows = [(1, "cat dog"), (1, "dog dog"), (None, "cat"), (None, "bird"), (1, "cat dog")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    vocab = FE.fit_vocabulary(df, "t", 2)
+    out = FE.tfidf_frame(df, "t", vocab, ["k"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    a = math.sqrt(0.5)
+    assert sorted(str((r[0], round(r[1], 6), round(r[2], 6))) for r in out.collect()) == sorted(
+        str((k, round(x, 6), round(y, 6))) for k, x, y in [(1, a, a), (1, 0.0, 1.0), (None, 1.0, 0.0), (None, 0.0, 0.0), (1, a, a)])
+
+
 def test_one_hot_and_frequency_with_nulls(spark):
     rows = [(i, ["a", "b", "c", "d", "e"][i % 5] if i % 7 else None,
              ["p", "q", "r", "s", "t", "u"][i % 6] if i % 5 else None) for i in range(60)]

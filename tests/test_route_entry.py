@@ -45,7 +45,7 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     cols = df.columns
-    assert cols[0] == "event_id" and "anomaly_score" in cols and cols[-1] == "is_anomaly"
+    assert cols[:2] == ["row_id", "event_id"] and "anomaly_score" in cols and cols[-1] == "is_anomaly"
     assert df.count() == 1000
 
 
