@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anomspark.operators.partials import tree_sum
 from anomspark.plans.ordering import c
 
 
@@ -73,34 +74,29 @@ def detector_summary(scores: dict[str, DataFrame], embedding_dims: dict[str, int
 
 
 # ---------------------------------------------------------------------------
-# H2: PCA embedding.  Covariance is one aggregate of d(d+1)/2 sums (bounded by the
-# feature count); the eigen-decomposition of that d x d matrix runs on the driver;
-# the projection is a plain select.
+# H2: PCA embedding.  The moments are added up by a tree of tasks, so the driver gets one row of
+# d + d^2 numbers (bounded by the feature count) however many partitions there are; the
+# eigen-decomposition of that d x d matrix runs there; the projection is a plain select.
 # ---------------------------------------------------------------------------
 
 def moments(features: DataFrame, names: Sequence[str]):
-    """(n, column sums, X'X) of the feature columns.  Every partition returns its own
-    partial sums from numpy (``mapInPandas``); only d + d^2 numbers per partition reach
-    the driver."""
+    """(n, column sums, X'X) of the feature columns."""
     names = list(names)
     d = len(names)
     vec = features.select(F.array(*[F.coalesce(c(n).cast("double"), F.lit(0.0)) for n in names]).alias("x"))
 
     def partial(batches):
-        n, s1, s2 = 0, np.zeros(d), np.zeros((d, d))
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["x"].to_numpy()).astype(float)
-                n += len(x)
-                s1 += x.sum(axis=0)
-                s2 += x.T @ x
-        yield pd.DataFrame({"n": [n], "s1": [s1.tolist()], "s2": [s2.ravel().tolist()]})
-
-    rows = vec.mapInPandas(partial, "n long, s1 array<double>, s2 array<double>").collect()
-    n = sum(r["n"] for r in rows)
-    s1 = sum((np.asarray(r["s1"]) for r in rows), np.zeros(d))
-    s2 = sum((np.asarray(r["s2"]).reshape(d, d) for r in rows), np.zeros((d, d)))
-    return n, s1, s2
+        n, total = 0, np.zeros(d + d * d)
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+            n += len(x)
+            total[:d] += x.sum(axis=0)
+            total[d:] += (x.T @ x).ravel()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()])], names=["n", "v"])
+
+    n, total = tree_sum(vec.mapInArrow(partial, "n long, v array<double>")) or (0, np.zeros(d + d * d))
+    return n, total[:d], total[d:].reshape(d, d)
 
 
 def pca_fit(features: DataFrame, names: Sequence[str], k: int):

@@ -57,7 +57,7 @@ def test_lof_matches_brute_force(blob, spark):
 def test_knn_small_blocks_equal(blob):
     df, _ = blob
     names = [f"f{i}" for i in range(4)]
-    _, a = knn(df, ["k"], names, block_rows=64, first_halo=16)
+    _, a = knn(df, ["k"], names, block_rows=64)
     _, b = knn(df, ["k"], names)
     pa = a.toPandas().sort_values(["qidx", "dist"]).reset_index(drop=True)
     pb = b.toPandas().sort_values(["qidx", "dist"]).reset_index(drop=True)
