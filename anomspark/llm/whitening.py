@@ -2,7 +2,7 @@
 
 Entries become integers (floor of 256 times the entry).  Each distinct vector counts once in the fit list.  Sums,
 and then sums of products of the entries less their rounded mean, are exact integers: numpy adds them up in each
-task, Spark adds up the tasks by matrix entry, and the driver gets d and d (d + 1) / 2 numbers.  The scatter matrix
+task, a tree of tasks adds these up, and the driver gets one row of d and one of d (d + 1) / 2 numbers.  The scatter matrix
 is factored by Cholesky with pivots; one-sided Jacobi rotates the columns of the triangular factor until they are
 orthogonal.  Their squared norms over n are the eigenvalues, their directions the components, which the scan of
 the rows applies.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from anomspark.llm.common import read, reliable_checkpoint
 from anomspark.llm.vectors import scaled, valid, width_of
+from anomspark.operators.partials import tree_sum
 
 LARGEST = 2.0 ** 32
 EXACT = pa.decimal128(38, 0)
@@ -98,14 +99,13 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return col.flatten().to_numpy().reshape(-1, width)
 
 
-def _entries(values: dict[tuple[int, int], int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([i for i, _ in values], pa.int32()), pa.array([j for _, j in values], pa.int32()),
-         pa.array([Decimal(int(v)) for v in values.values()], EXACT)], names=["i", "j", "v"])
+def _handed(n: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([[Decimal(int(v)) for v in values]], pa.list_(EXACT))],
+                                      names=["n", "v"])
 
 
 def _sums(width: int):
-    """Number of vectors (at -1) and sums of the entries."""
+    """Number of vectors and sums of the entries."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros(width, object)
         for b in batches:
@@ -113,20 +113,19 @@ def _sums(width: int):
             n += len(x)
             total += x.sum(axis=0).astype(object)  # fewer than 2**23 vectors a batch
         if n:
-            yield _entries({(-1, -1): n} | {(i, i): v for i, v in enumerate(total)})
+            yield _handed(n, total)
     return run
 
 
 def _products(width: int, centre: np.ndarray):
-    """Sums of products of the entries less ``centre``, exact."""
+    """Sums of products of the entries less ``centre`` (upper triangle), exact."""
     upper = np.triu_indices(width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width), object)
-        seen = False
+        n, total = 0, np.zeros((width, width), object)
         for b in batches:
             z = _matrix(b.column(0), width) - centre
-            seen = seen or bool(len(z))
+            n += len(z)
             most = int(np.abs(z).max(initial=0))
             if most * most * len(z) < 1 << 53:
                 f = z.astype(float)
@@ -134,28 +133,23 @@ def _products(width: int, centre: np.ndarray):
             else:
                 z = z.astype(object)
                 total += z.T @ z
-        if seen:
-            yield _entries({(i, j): total[i, j] for i, j in zip(*(u.tolist() for u in upper), strict=True)})
+        if n:
+            yield _handed(n, total[upper])
     return run
 
 
-def _added(fit: DataFrame, run) -> dict[tuple[int, int], int]:
-    rows = fit.mapInArrow(run, "i int, j int, v decimal(38,0)").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    return {(r.i, r.j): int(r.v) for r in rows}
-
-
 def fit_whitening(fit: DataFrame, width: int, components: int) -> Whitening | None:
     """The whitening of a table of distinct integer vectors ``x`` of ``width`` entries."""
-    sums = _added(fit, _sums(width))
-    n = sums.pop((-1, -1), 0)
-    if not n:
+    exact = "n long, v array<decimal(38,0)>"
+    sums = tree_sum(fit.mapInArrow(_sums(width), exact))
+    if sums is None:
         return None
-    total = [sums[i, i] for i in range(width)]
+    n, total = sums[0], sums[1].tolist()
     centre = np.array([(2 * s + n) // (2 * n) for s in total], np.int64)
-    product = _added(fit, _products(width, centre))
+    product = tree_sum(fit.mapInArrow(_products(width, centre), exact))[1].tolist()
     left = [s - n * int(m) for s, m in zip(total, centre, strict=True)]  # sums less n times the centre
     scatter = np.zeros((width, width))
-    for (i, j), v in product.items():
+    for i, j, v in zip(*(u.tolist() for u in np.triu_indices(width)), product, strict=True):
         scatter[i, j] = scatter[j, i] = (n * v - left[i] * left[j]) / n  # of whole numbers: rounded once
     rotated = one_sided_jacobi(pivoted_cholesky(scatter))[:, :components]
     norm = np.sqrt((rotated * rotated).sum(axis=0))
@@ -178,23 +172,23 @@ def _second_moments(w: Whitening):
     k = len(w.values)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = np.zeros(k), np.zeros((k, k))
+        n, total = 0, np.zeros(k + k * k)
         for b in batches:
             y = _whitened(w, _matrix(b.column(0), len(w.sums)))
-            first += y.sum(axis=0)
-            second += y.T @ y
-        i, j = np.indices((k, k)).reshape(2, -1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*i, *range(k)], pa.int32()), pa.array([*j, *[-1] * k], pa.int32()),
-             pa.array([*second.ravel(), *first])], names=["i", "j", "v"])
+            n += len(y)
+            total[:k] += y.sum(axis=0)
+            total[k:] += (y.T @ y).ravel()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()])], names=["n", "v"])
     return run
 
 
 def identity_error(fit: DataFrame, w: Whitening) -> float:
     """Largest absolute entry of the whitened fit list's covariance minus the identity."""
-    rows = fit.mapInArrow(_second_moments(w), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    v = {(r.i, r.j): r.v / w.n for r in rows}
-    return max(abs(v[i, j] - v[i, -1] * v[j, -1] - (i == j)) for i, j in v if j >= 0)
+    k = len(w.values)
+    n, total = tree_sum(fit.mapInArrow(_second_moments(w), "n long, v array<double>"))
+    mean = total[:k] / n
+    return float(np.abs(total[k:].reshape(k, k) / n - np.outer(mean, mean) - np.eye(k)).max())
 
 
 def _deviation(w: Whitening, x: np.ndarray) -> list[int | None]:
