@@ -241,7 +241,10 @@ def regularity_label(row) -> str | None:
 
 
 # ---------------------------------------------------------------------------
-# Augmented Dickey-Fuller (D4): Gram matrices summed by Spark, tiny solves on the driver.
+# Augmented Dickey-Fuller (D4).  Every entry of the regressions' Gram matrices is a sum of products
+# d_{t-i} d_{t-j} or y_{t-1} d_{t-j} over a range of t.  Over the whole series such a sum depends on j - i
+# (or j) alone, so O(P) lag sums per column, added up in Spark, and the first and last P + 2 values give
+# all of them; the small least-squares problems are solved on the driver.
 # ---------------------------------------------------------------------------
 
 def adf_maxlag(n: int) -> int:
@@ -251,62 +254,91 @@ def adf_maxlag(n: int) -> int:
 ADF_BLOCK_ROWS = 1 << 17
 
 
-def _gram_partials(big_p: int):
-    """applyInPandas body: partial Gram matrices of one (column, block) group, one per
-    start bucket min(idx, P + 1).  Columns: 1, y_{t-1}, dy_{t-1..t-P}, dy_t."""
+def _lag_sums(big_p: int):
+    """applyInPandas body: of one (column, block) group with a halo of P + 1 rows the sums over its own t >= 1 of
+    ``a = d_t d_{t-h}`` and ``b = y_{t-1} d_{t-h}`` for h = 0..P, and of y_{t-1} and its square (lag -1)."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        y = pdf["y"].to_numpy(dtype=float)
-        idx = pdf["idx"].to_numpy()
-        own = pdf["_own"].to_numpy(dtype=bool)
-        n = len(y)
-        ylag = np.full(n, np.nan)
-        ylag[1:] = y[:-1]
-        d = y - ylag
-        cols = [np.ones(n), ylag]
-        for k in range(1, big_p + 1):
-            lagged = np.full(n, np.nan)
-            if k < n:
-                lagged[k:] = d[:-k]
-            cols.append(lagged)
-        cols.append(d)
-        z = np.nan_to_num(np.column_stack(cols), nan=0.0)
-        valid = own & (idx >= 1)
-        bucket = np.minimum(idx, big_p + 1)
+        y, idx = pdf["y"].to_numpy(dtype=float), pdf["idx"].to_numpy()
+        at = np.flatnonzero(pdf["_own"].to_numpy(dtype=bool) & (idx >= 1))
+        d = np.diff(y, prepend=y[:1])
         rows = []
-        for b in np.unique(bucket[valid]):
-            zb = z[valid & (bucket == b)]
-            rows.append((pdf["column"].iloc[0], int(b), (zb.T @ zb).ravel().tolist()))
-        return pd.DataFrame(rows, columns=["column", "b", "g"])
+        if len(at):
+            lo, hi = at[0], at[-1] + 1  # own rows are consecutive
+            before = y[lo - 1:hi - 1]
+            rows.append((-1, before.sum(), before @ before))
+            for h in range(min(big_p, int(idx[hi - 1]) - 1) + 1):
+                first = max(lo, hi - 1 - (int(idx[hi - 1]) - 1 - h))  # t - h >= 1
+                lagged = d[first - h:hi - h]
+                rows.append((h, d[first:hi] @ lagged, before[first - lo:] @ lagged))
+        out = pd.DataFrame(rows, columns=["lag", "a", "b"])
+        out.insert(0, "column", pdf["column"].iloc[0])
+        return out
     return fn
 
 
+class LagSums:
+    """Lag sums of one column and its first and last values; :meth:`gram` rebuilds Gram matrices."""
+
+    def __init__(self, n: int, big_p: int, lags: dict[int, tuple[float, float]], head: np.ndarray, tail: np.ndarray):
+        self.n, self.head, self.tail = n, head, tail  # y_0.. and ..y_{n-1}
+        self.sum_y, self.sum_yy = lags.get(-1, (0.0, 0.0))
+        self.dd, self.yd = (np.array([lags.get(h, (0.0, 0.0))[k] for h in range(big_p + 1)]) for k in (0, 1))
+
+    def gram(self, start: int, p: int) -> np.ndarray:
+        """Sums over t = start..n-1 (start > p) of products of 1, y_{t-1}, d_{t-1}..d_{t-p}, d_t."""
+        y, z = self.head, self.tail
+        d = np.diff(y, prepend=np.nan)           # d[s] = d_s
+        e = np.diff(z)[::-1]                     # e[s] = d_{n-1-s}
+        lag = np.zeros((p + 1, p + 1))
+        for h in range(p + 1):
+            first = np.concatenate(([0.0], np.cumsum(d[1 + h:start] * d[1:start - h])))  # to s = 1+h-1, 1+h, ..
+            last = np.concatenate(([0.0], np.cumsum(e[:p - h] * e[h:p])))                # of the last 0, 1, .. values
+            for i in range(p - h + 1):
+                lag[i, i + h] = lag[i + h, i] = self.dd[h] - first[max(0, start - i - 1 - h)] - last[i]
+        cross = np.array([self.yd[j] - y[j:start - 1] @ d[1:start - j] for j in range(p + 1)])
+        level = np.array([z[len(z) - 1 - i] - y[start - i - 1] for i in range(p + 1)])
+        one = self.sum_y - y[:start - 1].sum()
+        g = np.zeros((p + 3, p + 3))
+        order = [p + 2, *range(2, p + 2)]        # where d_t, d_{t-1}, .. stand
+        g[np.ix_(order, order)] = lag
+        g[1, order] = g[order, 1] = cross
+        g[0, order] = g[order, 0] = level
+        g[0, 0], g[0, 1], g[1, 0] = self.n - start, one, one
+        g[1, 1] = self.sum_yy - y[:start - 1] @ y[:start - 1]
+        return g
+
+
 def adf_test(long: DataFrame, block_rows: int = ADF_BLOCK_ROWS):
     """D4 per column: tau statistic with the lag picked by AIC; stationary if tau is
     below the 5 % critical value.  Returns a list of dicts (one per column).
 
-    Lagged regressors are built per (column, block) group with a halo of P + 1 rows in
-    ``applyInPandas``; each group returns its partial Gram matrices (at most
-    (P + 3)^2 numbers per start bucket), which are summed on the driver, where the
-    small least-squares problems are solved.
+    Lag products are summed per (column, block) group with a halo of P + 1 rows in ``applyInPandas`` and
+    then per column and lag by Spark; the driver gets O(P) numbers of a column (P grows as n^(1/4)).
     """
-    counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count("x").alias("n")).collect()}
+    stats = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("m"))
+    counts = {r["column"]: r["n"] for r in stats.collect()}
     if not counts:
         return []
     big_p = max(max(adf_maxlag(n), 0) for n in counts.values())
-    stats = long.groupBy("column").agg(F.avg("x").alias("m"))
-    centred = long.join(F.broadcast(stats), "column").select("column", "idx", (F.col("x") - F.col("m")).alias("y"))
-    framed = with_halo(centred, "idx", big_p + 1, max(block_rows, big_p + 1))
-    parts = (framed.groupBy("column", "_blk")
-             .applyInPandas(_gram_partials(big_p), "column string, b long, g array<double>")
-             .collect())
-    k = big_p + 3
-    per_col: dict[str, dict[int, np.ndarray]] = {}
-    for r in parts:
-        g = np.asarray(r["g"], dtype=float).reshape(k, k)
-        slot = per_col.setdefault(r["column"], {})
-        slot[int(r["b"])] = slot.get(int(r["b"]), 0) + g
-    return [_adf_from_grams(col, n, per_col.get(col, {}), big_p) for col, n in counts.items()]
+    centred = long.join(F.broadcast(stats), "column").select("column", "idx", "n", (F.col("x") - F.col("m")).alias("y"))
+    framed = with_halo(centred.drop("n"), "idx", big_p + 1, max(block_rows, big_p + 1))
+    sums = (framed.groupBy("column", "_blk").applyInPandas(_lag_sums(big_p), "column string, lag long, a double, b double")
+            .groupBy("column", "lag").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect())
+    ends = centred.where((F.col("idx") <= big_p + 1) | (F.col("idx") >= F.col("n") - big_p - 2)).collect()
+    lags: dict[str, dict[int, tuple[float, float]]] = {}
+    for r in sums:
+        lags.setdefault(r["column"], {})[r["lag"]] = (r["a"], r["b"])
+    near: dict[str, dict[int, float]] = {}
+    for r in ends:
+        near.setdefault(r["column"], {})[r["idx"]] = r["y"]
+    out = []
+    for col, n in counts.items():
+        y = near.get(col, {})
+        head = np.array([y[i] for i in range(min(n, big_p + 2))])
+        tail = np.array([y[i] for i in range(max(0, n - big_p - 2), n)])
+        out.append(_adf_from_sums(col, n, LagSums(n, big_p, lags.get(col, {}), head, tail)))
+    return out
 
 
 def _ols_from_gram(g: np.ndarray, cols: list[int], target: int, nobs: int):
@@ -322,19 +354,15 @@ def _ols_from_gram(g: np.ndarray, cols: list[int], target: int, nobs: int):
     return beta, inv, ssr
 
 
-def _adf_from_grams(col: str, n: int, grams: dict[int, np.ndarray], big_p: int) -> dict:
+def _adf_from_sums(col: str, n: int, sums: LagSums) -> dict:
     res = {"column": col, "n": n, "usedlag": None, "adf_stat": None, "stationary": False}
     maxlag = adf_maxlag(n)
-    if n < 4 or maxlag < 0 or not grams:
+    if n < 4 or maxlag < 0:
         return res
-    k_all = next(iter(grams.values())).shape[0]
-    target = k_all - 1
-
-    def gram_from(start: int) -> np.ndarray:
-        return sum((g for b, g in grams.items() if b >= start), np.zeros((k_all, k_all)))
 
     # AIC search on the common sample t >= maxlag + 1
-    g_common = gram_from(maxlag + 1)
+    g_common = sums.gram(maxlag + 1, maxlag)
+    target = maxlag + 2
     nobs = n - 1 - maxlag
     best = None
     for p in range(0, maxlag + 1):
@@ -352,10 +380,10 @@ def _adf_from_grams(col: str, n: int, grams: dict[int, np.ndarray], big_p: int)
     if best is None:
         return res
     p = best[1]
-    g = gram_from(p + 1)
+    g = sums.gram(p + 1, p)
     nobs = n - 1 - p
     cols = [1, 0] + list(range(2, 2 + p))
-    fit = _ols_from_gram(g, cols, target, nobs)
+    fit = _ols_from_gram(g, cols, p + 2, nobs)
     if fit is None or nobs - len(cols) <= 0:
         return res
     beta, inv, ssr = fit

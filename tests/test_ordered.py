@@ -93,3 +93,35 @@ def test_adf_matches_ols(spark):
     se = np.sqrt(s2 * np.linalg.inv(X.T @ X)[1, 1])
     assert res["adf_stat"] == pytest.approx(beta[1] / se, rel=1e-6)
     assert res["stationary"]
+
+
+@pytest.mark.parametrize("n, big_p", [(9, 2), (40, 7), (200, 15)])
+def test_lag_sums_rebuild_every_gram_matrix(n, big_p):
+    y = np.cumsum(np.random.default_rng(n).normal(size=n))
+    lags: dict = {}
+    for lo in range(0, n, 17):  # blocks with a halo
+        at = np.arange(max(0, lo - big_p - 1), min(n, lo + 17))
+        part = TM._lag_sums(big_p)(pd.DataFrame({"column": "x", "idx": at, "y": y[at], "_own": at >= lo}))
+        for r in part.itertuples():
+            a, b = lags.get(r.lag, (0.0, 0.0))
+            lags[r.lag] = (a + r.a, b + r.b)
+    sums = TM.LagSums(n, big_p, lags, y[:big_p + 2], y[max(0, n - big_p - 2):])
+    d = np.diff(y, prepend=np.nan)
+    for p in range(big_p + 1):
+        for start in {p + 1, big_p + 1}:
+            t = np.arange(start, n)
+            z = np.column_stack([np.ones(len(t)), y[t - 1], *[d[t - i] for i in range(1, p + 1)], d[t]])
+            assert np.allclose(sums.gram(start, p), z.T @ z, rtol=1e-9, atol=1e-9)
+
+
+def test_adf_of_blocks_and_of_several_columns(spark):
+    r = np.random.default_rng(6)
+    walk, noise = np.cumsum(r.normal(size=3000)), r.normal(size=700)
+    rows = [(i, float(walk[i]), float(noise[i]) if i < 700 else None) for i in range(3000)]
+    long = TM.series_long(spark.createDataFrame(rows, "i int, w double, e double"), ["w", "e"], ["i"])
+    whole = {x["column"]: x for x in TM.adf_test(long)}
+    parts = {x["column"]: x for x in TM.adf_test(long, block_rows=64)}
+    assert whole["e"]["stationary"] and not whole["w"]["stationary"] and (whole["w"]["n"], whole["e"]["n"]) == (3000, 700)
+    for k in whole:
+        assert parts[k]["usedlag"] == whole[k]["usedlag"]
+        assert parts[k]["adf_stat"] == pytest.approx(whole[k]["adf_stat"], rel=1e-9)
