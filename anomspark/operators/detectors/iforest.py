@@ -1,8 +1,7 @@
 """Isolation forest (Liu, Ting & Zhou 2008), 200 trees on 256-row subsamples.
 
-* Sampling: one Bernoulli pass draws a pool of about ``2 * trees * psi`` rows (bounded by
-  the forest size, not the data); each tree then takes the ``psi`` pool rows with the
-  smallest seeded hash of (row, tree) -- an independent uniform subsample per tree.
+* Sampling: rows are numbered, each tree draws ``psi`` different numbers (a seeded uniform subsample),
+  and the numbers, ``trees * psi`` at most, are broadcast to the scan: only the drawn vectors are shuffled.
 * Growing: ``groupBy(tree).applyInPandas`` -- each group holds at most ``psi`` rows.
 * Scoring: the forest (at most ``trees * (2 psi - 1)`` nodes) is broadcast and every
   partition computes path lengths with numpy in ``mapInPandas``.
@@ -16,11 +15,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anomspark.plans.ordering import c
+from anomspark.plans.ordering import ROW_NAME, c, with_row_id
 
 # Forest size and subsample size.
 N_TREES = 200
@@ -44,6 +43,7 @@ def _grow(max_depth: int, seed: int, d: int):
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
+        pdf = pdf.sort_values("row")
         x = np.stack(pdf["x"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, d))
         rng = np.random.default_rng(seed + tree)
         rows = []
@@ -72,22 +72,25 @@ def _grow(max_depth: int, seed: int, d: int):
 FOREST_SCHEMA = "tree int, node int, feat int, thr double, left int, right int, size long, depth int"
 
 
-def fit_forest(vec: DataFrame, key: Sequence[str], n: int, n_trees: int = N_TREES,
-               max_samples: int = MAX_SAMPLES, seed: int = SEED) -> tuple[pd.DataFrame, int, int]:
-    """Grow the forest; returns (node table, psi, d)."""
+def draw(rng: np.random.Generator, n: int, psi: int) -> np.ndarray:
+    """``psi`` different numbers of ``range(n)``, every subset alike likely (Floyd's algorithm: no list of n)."""
+    chosen: set[int] = set()
+    for j in range(n - psi, n):
+        i = int(rng.integers(0, j + 1))
+        chosen.add(j if i in chosen else i)
+    return np.sort(np.fromiter(chosen, np.int64, psi))
+
+
+def fit_forest(vec: DataFrame, n: int, n_trees: int = N_TREES, max_samples: int = MAX_SAMPLES,
+               seed: int = SEED) -> tuple[pd.DataFrame, int, int]:
+    """Grow the forest on ``vec`` (row id and ``x``); returns (node table, psi, d)."""
     psi = min(max_samples, n)
     d = len(vec.select("x").first()["x"])
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    frac = min(1.0, 2.0 * n_trees * psi / max(n, 1))
-    pool = vec.sample(False, frac, seed) if frac < 1.0 else vec
-    pool_n = max(1, int(n * frac))
-    keep = min(1.0, 2.0 * psi / pool_n)  # expected 2 psi candidates per tree before the top-psi cut
-    h = F.xxhash64(*[c(k) for k in key], F.col("tree"), F.lit(seed))
-    u = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30))
-    per_tree = (pool.select(*[c(k) for k in key], "x", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-                .withColumn("_u", u).where(F.col("_u") < keep))
-    w = Window.partitionBy("tree").orderBy("_u", *[c(k) for k in key])
-    sample = per_tree.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).select("tree", "x")
+    rng = np.random.default_rng(seed)
+    drawn = pd.DataFrame([(int(i), t) for t in range(n_trees) for i in draw(rng, n, psi)], columns=["row", "tree"])
+    picks = F.broadcast(vec.sparkSession.createDataFrame(drawn, "row long, tree int"))  # n_trees * psi rows
+    sample = vec.join(picks, vec[ROW_NAME] == picks["row"]).select("tree", "row", "x")
     nodes = sample.groupBy("tree").applyInPandas(_grow(max_depth, seed, d), FOREST_SCHEMA).toPandas()
     return nodes, psi, d
 
@@ -143,9 +146,11 @@ def isolation_forest(features: DataFrame, key: Sequence[str], names: Sequence[st
     key = list(key)
     vec = features.select(*[c(k) for k in key],
                           F.array(*[F.coalesce(c(x).cast("double"), F.lit(0.0)) for x in names]).alias("x"))
+    if ROW_NAME not in key:  # a run's features are numbered already
+        vec = with_row_id(vec)
     n = vec.count()
-    nodes, psi, _ = fit_forest(vec, key, n, n_trees, max_samples, seed)
+    nodes, psi, _ = fit_forest(vec, n, n_trees, max_samples, seed)
     bc = features.sparkSession.sparkContext.broadcast(nodes)
     key_fields = [f for f in vec.schema.fields if f.name in key]
     schema = T.StructType(key_fields + [T.StructField("score", T.DoubleType())])
-    return vec.mapInPandas(_score_fn(bc, psi, key), schema)
+    return vec.select(*[c(k) for k in key], "x").mapInPandas(_score_fn(bc, psi, key), schema)

@@ -17,7 +17,7 @@ from anomspark.operators import scoring as SC
 from anomspark.operators import temporal as TM
 from anomspark.operators.detectors.ecod import ecod
 from anomspark.operators.histogram import distinct_counts, frequencies, long_values, value_histogram
-from anomspark.operators.profile import (column_stats, observations_per_entity, role_table)
+from anomspark.operators.profile import (column_stats, dataset_types, implicit_votes, role_ratios, role_table)
 from anomspark.plans import oracle as O
 from anomspark.plans.ordering import c, group_index, tail_rows
 from anomspark.sources.io import read_table, spread
@@ -70,24 +70,24 @@ def _roles_of(df: DataFrame, label: str, key: list[str], sample: int | None = SA
                         F.col("n_distinct").cast("long").alias("n_distinct"),
                         F.col("n_nonnull").cast("long").alias("n_nonnull"), "role",
                         "temporal_candidate", "high_cardinality",
-                        F.col("label_rank").cast("int").alias("label_rank"))
+                        F.col("label_rank").cast("int").alias("label_rank"), "graph_structural")
     rows = out.collect()  # one row per column
     if prof is not df:
         prof.unpersist()
     return df.sparkSession.createDataFrame(rows, out.schema)
 
 
-def _roles(spark, sf, table, key):
-    return _roles_of(_t(spark, sf, table), table, key)
+def _role_tables(spark, sf, more=()):
+    """Role tables of thirteen driver tables (and ``more``, of (name, frame, key)).  Each table is a handful of
+    small jobs, so the tables are submitted concurrently (Spark schedules jobs from several threads)."""
+    from concurrent.futures import ThreadPoolExecutor
+    tables = [(t, _t(spark, sf, t), k) for t, k in ROLE_TABLES] + list(more)
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        return _union(list(pool.map(lambda t: _roles_of(t[1], t[0], t[2]), tables)))
 
 
 def q_column_roles(spark, sf):
-    """Role tables of thirteen driver tables.  Each table is a handful of small jobs, so
-    the tables are submitted concurrently (Spark schedules jobs from several threads)."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=6) as pool:
-        frames = list(pool.map(lambda tk: _roles(spark, sf, tk[0], tk[1]), ROLE_TABLES))
-    return _union(frames)
+    return _role_tables(spark, sf).drop("graph_structural")
 
 
 def q_id_columns(spark, sf):
@@ -122,9 +122,7 @@ def q_high_cardinality(spark, sf):
 def q_graph_columns(spark, sf):
     """C3 on orders seen as an edge list: o_custkey -> source, o_orderkey -> target."""
     edges = _t(spark, sf, "orders").withColumnRenamed("o_custkey", "source").withColumnRenamed("o_orderkey", "target")
-    structural = R.graph_structural_columns(edges.columns)
-    roles = _roles_of(edges, "orders_edges", ["target"])
-    return roles.select("column_name", "role", F.col("column_name").isin(structural).alias("graph_structural"))
+    return _roles_of(edges, "orders_edges", ["target"]).select("column_name", "role", "graph_structural")
 
 
 def q_string_datetime(spark, sf):
@@ -134,33 +132,33 @@ def q_string_datetime(spark, sf):
 
 
 def q_role_ratios(spark, sf):
-    roles = q_column_roles(spark, sf)
-    tot = F.count(F.lit(1))
-    return roles.groupBy("table_name").agg(
-        r6(F.count_if(F.col("role") == "continuous") / tot).alias("numeric_ratio"),
-        r6(F.count_if(F.col("role") == "categorical") / tot).alias("categorical_ratio"),
-        r6(F.count_if(F.col("role") == "text") / tot).alias("text_ratio"),
-        r6(F.count_if(F.col("role") == "id") / tot).alias("id_ratio"))
+    ratios = role_ratios(_role_tables(spark, sf))
+    return ratios.select("table_name", *[r6(F.col(x)).alias(x) for x in ratios.columns[1:]])
+
+
+def _typed_tables(spark, sf):
+    """An edge list, and parts in the order of their price, whose columns make an implicit series."""
+    edges = _t(spark, sf, "orders").withColumnRenamed("o_custkey", "source").withColumnRenamed("o_orderkey", "target")
+    parts = _t(spark, sf, "part").select(
+        (F.col("p_retailprice") * 100).cast("long").alias("cents"), "p_partkey",
+        F.floor(F.col("p_retailprice") / 10).alias("tens"), F.floor(F.col("p_retailprice") / 25).alias("steps"), "p_size")
+    return [("orders_edges", edges, ["target"]), ("parts_by_price", parts, ["cents", "p_partkey"])]
 
 
 def q_dataset_type(spark, sf):
-    """C11 / C12 (implicit-series vote included) per table."""
-    roles = q_column_roles(spark, sf)
-    agg = roles.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("ncols"),
-        F.count_if(F.col("role") == "text").alias("n_text"),
-        F.count_if(F.col("role") == "timestamp").alias("n_ts"),
-        F.count_if(F.col("role") == "continuous").alias("n_cont"),
-        F.max(F.col("n_rows")).alias("n_rows"),
-        F.count_if(F.col("temporal_candidate") & (F.col("n_distinct") >= 3)
-                   & (F.col("n_nonnull") >= 10)).alias("n_cand3"))
-    src = F.lit(False)
-    dtype = (F.when((F.col("n_text") > 0) & ((F.col("n_text") / F.col("ncols") >= 0.3) | (F.col("n_text") >= 2)), "text")
-             .when(F.col("n_ts") > 0, "time_series")
-             .otherwise("tabular"))
-    _ = src
-    return agg.select("table_name", dtype.alias("dataset_type"),
-                      ((F.col("n_ts") > 0) | (F.col("n_cand3") > 0)).alias("is_time_series"))
+    """C11 / C12 of the driver tables, an edge list (graph rule) and a table with an implicit series (D3 vote)."""
+    more = _typed_tables(spark, sf)
+    roles = _role_tables(spark, sf, more)
+    frames = {t: (df, k) for t, df, k in [(t, _t(spark, sf, t), k) for t, k in ROLE_TABLES] + more}
+    continuous: dict[str, list[str]] = {t: [] for t in frames}
+    rows = {}
+    for r in roles.select("table_name", "column_name", "role", "n_rows").collect():  # one row for each column
+        rows[r["table_name"]] = r["n_rows"]
+        if r["role"] == "continuous":
+            continuous[r["table_name"]].append(r["column_name"])
+    tables = {t: (TM.series_long(df, continuous[t], k), continuous[t], rows[t], len(df.columns))
+              for t, (df, k) in frames.items() if rows.get(t, 0) >= 50 and len(continuous[t]) / len(df.columns) >= 0.7}
+    return dataset_types(roles, implicit_votes(tables))
 
 
 def q_table_shape(spark, sf):
@@ -227,7 +225,6 @@ def q_obs_per_entity(spark, sf):
         sizes = df.dropna(subset=ids).groupBy(*ids).count()
         rows.append(sizes.agg(r6(F.avg("count")).alias("observations_per_entity")).select(
             F.lit(t).alias("table_name"), F.lit(",".join(ids)).alias("id_columns"), "observations_per_entity"))
-    _ = observations_per_entity
     return _union(rows)
 
 
@@ -702,6 +699,24 @@ def q_csv_roundtrip(spark, sf):
     return read_table(spark, path, fmt="csv")
 
 
+def q_csv_missing(spark, sf):
+    """A1: events with gaps written as CSV, the gaps as missing-value tokens, and scanned back: the token
+    columns keep their number types."""
+    import uuid
+
+    from anomspark.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    token = F.element_at(F.array(*map(F.lit, ["NA", "N/A", "null", "NaN", "None", ""])), (F.col("event_id") % 6 + 1).cast("int"))
+    ev = _nulled_events(spark, sf)
+    cells = ev.select("event_id", *[F.coalesce(F.col(x).cast("string"), token).alias(x)
+                                    for x in ("user_id", "event_type", "value")])
+    cells.write.option("header", "true").csv(path)
+    back = read_table(spark, path, fmt="csv")
+    types = {n: back.schema[n].dataType.simpleString() for n in back.columns}
+    return back.select("event_id", r6(F.col("user_id")).alias("user_id"), "event_type", r6(F.col("value")).alias("value"),
+                       F.lit(",".join(f"{n} {t}" for n, t in types.items())).alias("types"))
+
+
 def q_companion_graph(spark, sf):
     """A2: ``*.json`` files whose name contains "graph" next to the tables."""
     from anomspark.sources.io import companion_graph_files
@@ -745,6 +760,7 @@ def q_ecod_documents(spark, sf):
 
 QUERIES.update({
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_missing": q_csv_missing,
     "companion_graph": q_companion_graph,
     "drop_strings": q_drop_strings,
     "regularity_label": q_regularity_label,

@@ -192,6 +192,47 @@ def roles_union_sql() -> str:
     return "(" + "\nUNION ALL\n".join(f"SELECT * FROM ({role_sql(t, k)})" for t, k in ROLE_TABLES) + ")"
 
 
+EDGES = """(SELECT o_orderkey AS target, o_custkey AS source, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+  FROM orders)"""
+PRICED = """(SELECT CAST(p_retailprice * 100 AS BIGINT) AS cents, p_partkey, CAST(floor(p_retailprice / 10) AS BIGINT) AS tens,
+  CAST(floor(p_retailprice / 25) AS BIGINT) AS steps, p_size FROM part)"""
+PRICED_SCHEMA = [(n, "numeric", False) for n in ("cents", "p_partkey", "tens", "steps", "p_size")]
+
+
+def _dataset_type_sql() -> str:
+    """C11 / C12 with the graph rule and the vote on lag-1 correlation in row order (D3)."""
+    edges = [({"o_orderkey": "target", "o_custkey": "source"}.get(n, n), f, x) for n, f, x in SCHEMAS["orders"]]
+    tables = [(t, t, SCHEMAS[t], k) for t, k in ROLE_TABLES]
+    tables += [("orders_edges", EDGES, edges, ["target"]), ("parts_by_price", PRICED, PRICED_SCHEMA, ["cents", "p_partkey"])]
+    roles = "\nUNION ALL\n".join(f"SELECT * FROM ({role_sql(t, k, None, sch, src, t)})" for t, src, sch, k in tables)
+    corr = []
+    for t, src, sch, k in tables:
+        numbers = [n for n, f, _ in sch if f == "numeric"]
+        if len(numbers) / len(sch) < 0.7:  # too few columns that can be continuous
+            continue
+        order = ", ".join(qi(x) for x in k)
+        corr += [f"SELECT '{t}' AS table_name, '{n}' AS column_name, count(x) AS n, corr(x, l) AS r FROM "
+                 f"(SELECT x, lag(x) OVER (ORDER BY {order}) AS l FROM (SELECT *, CAST({qi(n)} AS DOUBLE) AS x FROM {src}) "
+                 f"WHERE x IS NOT NULL)" for n in numbers]
+    graphs = [t for t, _, sch, _ in tables if any(_name_facts(n, [m for m, _, _ in sch])["structural"] for n, _, _ in sch)]
+    return f"""
+WITH roles AS ({roles}), corr AS ({" UNION ALL ".join(corr)}),
+vote AS (SELECT roles.table_name, count(*) AS k, count_if(n >= 20 AND abs(r) > 0.7) AS hits
+  FROM roles LEFT JOIN corr USING (table_name, column_name) WHERE role = 'continuous' GROUP BY roles.table_name),
+f AS (SELECT table_name, count(*) AS ncols, max(n_rows) AS n_rows, count_if(role = 'text') AS n_text,
+        count_if(role = 'timestamp') AS n_ts,
+        count_if(temporal_candidate AND n_distinct >= 3 AND n_nonnull >= 10) AS n_temporal
+      FROM roles GROUP BY table_name),
+g AS (SELECT f.*, coalesce(n_rows >= 50 AND k / ncols >= 0.7 AND hits / k >= 0.5, FALSE) AS implicit
+      FROM f LEFT JOIN vote USING (table_name))
+SELECT table_name,
+  CASE WHEN table_name IN ({", ".join(f"'{t}'" for t in graphs)}) THEN 'graph'
+       WHEN n_text > 0 AND (n_text / ncols >= 0.3 OR n_text >= 2) THEN 'text'
+       WHEN n_ts > 0 OR implicit THEN 'time_series' ELSE 'tabular' END AS dataset_type,
+  (n_ts > 0 OR n_temporal > 0 OR implicit) AS is_time_series
+FROM g"""
+
+
 NULLED_EVENTS = """(SELECT event_id, ts,
   CASE WHEN event_type <> 'error' THEN user_id END AS user_id,
   CASE WHEN value >= 300 THEN NULL ELSE event_type END AS event_type,
@@ -371,15 +412,7 @@ SELECT table_name,
   round(count_if(role = 'text') / count(*), 6) AS text_ratio,
   round(count_if(role = 'id') / count(*), 6) AS id_ratio
 FROM {roles} GROUP BY table_name"""
-    q["dataset_type"] = f"""
-SELECT table_name,
-  CASE WHEN n_text > 0 AND (n_text / ncols >= 0.3 OR n_text >= 2) THEN 'text'
-       WHEN n_ts > 0 THEN 'time_series' ELSE 'tabular' END AS dataset_type,
-  (n_ts > 0 OR n_cand3 > 0) AS is_time_series
-FROM (SELECT table_name, count(*) AS ncols, count_if(role = 'text') AS n_text,
-        count_if(role = 'timestamp') AS n_ts,
-        count_if(temporal_candidate AND n_distinct >= 3 AND n_nonnull >= 10) AS n_cand3
-      FROM {roles} GROUP BY table_name)"""
+    q["dataset_type"] = _dataset_type_sql()
     lag5 = _lagged_sql(EVENT_SERIES, [1, 2, 7, 12, 24])
     q["lag_autocorr"] = "\nUNION ALL\n".join(
         f"SELECT column_name, {k} AS lag, round(corr(x, l{k}), 6) AS autocorr, count(x) AS n "
@@ -603,5 +636,8 @@ SELECT event_id, feature, value FROM (
   UNION ALL SELECT event_id, 'value', round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) FROM events)
 WHERE value IS NOT NULL""",
         "regularity_label": "\nUNION ALL\n".join(reg),
+        "csv_missing": f"""
+SELECT event_id, round(CAST(user_id AS DOUBLE), 6) AS user_id, event_type, round(value, 6) AS value,
+  'event_id bigint,user_id double,event_type string,value double' AS types FROM {NULLED_EVENTS}""",
         "ecod_documents": ecod_docs,
     }

@@ -8,6 +8,12 @@ from pyspark.sql import types as T
 
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
 
+# Texts that a CSV cell may hold for a missing value, and for truth values.
+MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+TRUE_TOKENS, FALSE_TOKENS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
+WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
+
 
 def normalize_missing(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL for float/double columns and decimals into double.
@@ -34,21 +40,11 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                min_partitions: int | None = None, **options) -> DataFrame:
     """Read a table the way the reference reads its input.
 
-    Parquet is read as is.  CSV (A1) is read with a header and inferred types, but
-    columns that Spark would infer as dates or timestamps stay strings: the reference's
-    CSV reader does not parse dates, and its profiler decides about them itself (C5).
+    Parquet is read as is; CSV (A1) by :func:`read_csv`.
     """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
-        reader = spark.read.option("header", "true").options(**options)
-        inferred = reader.option("inferSchema", "true").csv(path).schema
-        fields = []
-        for f in inferred.fields:
-            dt = f.dataType
-            if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-                dt = T.StringType()
-            fields.append(T.StructField(f.name, dt, True))
-        df = reader.schema(T.StructType(fields)).csv(path)
+        df = read_csv(spark, path, **options)
     else:
         df = spark.read.options(**options).format(fmt).load(path)
     if min_partitions:
@@ -56,6 +52,38 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     return normalize_missing(df)
 
 
+def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A CSV scan with a header whose types are inferred from the cells that are not missing.
+
+    Cells that hold one of :data:`MISSING_TOKENS` are null before a type is chosen, so ``NA`` does not make a
+    column of numbers a text.  One aggregate over the file then decides for each column: whole numbers of 64
+    bits are ``bigint`` (``double`` if any cell is missing), other numbers ``double``, truth values
+    ``boolean`` (text if any is missing), a column without values ``double``, everything else text.  Dates
+    stay text: the profiler decides about them (C5).
+    """
+    text = spark.read.option("header", "true").options(**options).option("inferSchema", "false").csv(path)
+    cell = {n: F.when(~F.col(f"`{n}`").isin(MISSING_TOKENS), F.col(f"`{n}`")) for n in text.columns}
+    facts = []
+    for i, v in enumerate(cell.values()):
+        tests = {"whole": v.rlike(WHOLE_NUMBER) & v.try_cast("bigint").isNotNull(),
+                 "number": v.try_cast("double").isNotNull() & ~v.rlike(r"[0-9.][dDfF]\s*$"),
+                 "truth": v.isin(TRUE_TOKENS + FALSE_TOKENS)}
+        facts += [F.count(v).alias(f"n{i}"), *[F.coalesce(F.min(F.when(v.isNotNull(), t)), F.lit(False)).alias(f"{x}{i}")
+                                               for x, t in tests.items()]]
+    row = text.agg(F.count(F.lit(1)).alias("rows"), *facts).first()
+    out = []
+    for i, (n, v) in enumerate(cell.items()):
+        some, full = row[f"n{i}"], row[f"n{i}"] == row["rows"]
+        if row[f"whole{i}"] and full:
+            v = F.trim(v).cast("bigint")
+        elif row[f"number{i}"] or not some:
+            v = v.try_cast("double")
+        elif row[f"truth{i}"] and full:
+            v = v.isin(TRUE_TOKENS)
+        out.append(v.alias(n))
+    return text.select(*out)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a scan that arrived in fewer partitions than the cluster has cores.
 

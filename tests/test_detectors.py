@@ -116,3 +116,19 @@ def test_scores_invariant_to_partitioning(blob):
         a = det(df, ["k"], names).toPandas().sort_values("k").reset_index(drop=True)
         b = det(shuffled, ["k"], names).toPandas().sort_values("k").reset_index(drop=True)
         assert np.allclose(a["score"], b["score"])
+
+
+def test_forest_samples_are_uniform_and_few(spark):
+    from anomspark.operators.detectors import iforest as I
+    from anomspark.plans.ordering import with_row_id
+    rng = np.random.default_rng(3)
+    hits = np.zeros(40)
+    for _ in range(3000):
+        s = I.draw(rng, 40, 7)
+        assert len(set(s)) == 7
+        hits[s] += 1
+    assert abs(hits / 3000 - 7 / 40).max() < 0.035  # five standard deviations
+    assert I.draw(rng, 5, 5).tolist() == [0, 1, 2, 3, 4]
+    vec = with_row_id(spark.range(3000).select(F.array(F.col("id").cast("double")).alias("x")))
+    nodes, psi, d = I.fit_forest(vec, 3000, n_trees=5)
+    assert (psi, d) == (256, 1) and nodes[nodes.node == 0]["size"].tolist() == [256] * 5
