@@ -37,9 +37,9 @@ from anomspark.llm.components import components
 from anomspark.llm.textnum import shingle_sets, slices
 
 WORDS, PERCENT, BLOCK = 5, 75, 4096
-#: A shingle counts as frequent from this share of the documents: the table of frequent shingles
-#: then has at most 2000 times the mean set size entries, however many documents there are.
-FREQUENT_SHARE = 2000
+#: A shingle counts as frequent if it is found this often; of more than ``FREQUENT`` of them the table
+#: holds the most frequent ones (16 bytes each).
+LEAST_FREQUENT, FREQUENT = 20, 1 << 20
 FLUSH_BYTES = 24 << 20
 #: Shingles are numbered in the global order: others by 62 bits of the hash, frequent ones after them.
 LAST = 1 << 62
@@ -92,10 +92,16 @@ def _local_counts(words: int):
 
 def frequent_shingles(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) of the frequent shingles and their rank in the global order."""
-    n = texts.count()
-    least = max(20, n // FREQUENT_SHARE)
-    found = (texts.mapInArrow(_local_counts(words), "token long, n long").groupBy("token")
-             .agg(F.sum("n").alias("n")).where(F.col("n") >= least)).toPandas()
+    found = reliable_checkpoint(texts.mapInArrow(_local_counts(words), "token long, n long").groupBy("token")
+                                .agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT))
+    steps = found.groupBy(F.floor(F.log2("n") * 8).alias("step")).count().orderBy(F.desc("step")).collect()
+    least, held = 0, 0  # steps of n: a few hundred
+    for r in steps:
+        held += r["count"]
+        if held > FREQUENT:
+            least = r["step"] + 1
+            break
+    found = found.where(F.floor(F.log2("n") * 8) >= least).toPandas()
     found = found.sort_values(["n", "token"], kind="stable")
     h = found.token.to_numpy(np.int64).view(np.uint64)
     rank = np.arange(len(h), dtype=np.int64)
@@ -236,7 +242,7 @@ def _batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
                                        pa.array([min(p) for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _likely_pairs(percent: int):
+def _likely_pairs(percent: int, kinds: int):
     """Pairs of each document of a group with the two whose hashes are most common (kinds 0 and 1) and
     with its two neighbours in trie order (2 and 3), and the share of least hashes both have."""
     def pairs(batches):
@@ -246,13 +252,13 @@ def _likely_pairs(percent: int):
             often = Counter(t for s in sets for t in s)
             hubs = sorted(range(len(rows)), key=lambda i: (-sum(often[t] for t in sets[i]), i))[:2]
             for i, x in enumerate(rows):
-                for kind, j in enumerate([*hubs, i - 1, i - 2]):
+                for kind, j in enumerate([*hubs, i - 1, i - 2][:kinds]):
                     if j < 0 or j == i or x["comp"] == rows[j]["comp"]:
                         continue
                     both = 1 + len(sets[i] & sets[j])
                     share = both / (len(sets[i]) + len(sets[j]) + 2 - both)
                     if 100 * share >= percent - 10:
-                        yield x["sig"], kind, rows[j]["sig"], share
+                        yield x["comp"], kind, x["sig"], rows[j]["sig"], share
 
     def run(batches):
         held = []
@@ -264,16 +270,17 @@ def _likely_pairs(percent: int):
         yield batch(held)
 
     def batch(held):
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in held], t) for k, t in enumerate(kinds)],
-                                          names=["x", "kind", "y", "share"])
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in held], t) for k, t in enumerate(types)],
+                                          names=["comp", "kind", "x", "y", "share"])
     return run
 
 
-def _likely(rows: DataFrame, percent: int) -> DataFrame:
-    """The best pair of each kind for each document, whatever the size of its groups; only a start for the exact join."""
-    found = _grouped(rows).mapInArrow(_likely_pairs(percent), "x long, kind int, y long, share double")
-    best = found.groupBy("x", "kind").agg(F.max_by("y", F.struct("share", "y")).alias("y"))
+def _likely(rows: DataFrame, percent: int, kinds: int) -> DataFrame:
+    """The best pair of each kind for each class so far, whatever the size of its groups; only a start for the
+    exact join."""
+    found = _grouped(rows).mapInArrow(_likely_pairs(percent, kinds), "comp long, kind int, x long, y long, share double")
+    best = found.groupBy("comp", "kind").agg(F.max(F.struct("share", "y", "x")).alias("p")).select("p.x", "p.y")
     return best.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
@@ -451,21 +458,24 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges = None
     labels = heads.select("sig", F.col("sig").alias("comp"))
-    for again in (False, True):  # families of near copies, through their least hashes
+    # families of near copies, through their least hashes: first each document with the hub of its groups, then
+    # each class so far, then classes whose groups were split into blocks, through one document of each
+    for kinds, spoken in ((1, False), (4, False), (4, True)):
         first = heads.join(labels, "sig").select("sig", "n", "comp", "least", F.posexplode(F.slice("least", 1, SPOTS))
                                                  .alias("at", "token"))
         first = first.select("token", "sig", "n", "comp", F.expr("slice(least, at + 2, size(least))").alias("rest"))
-        if again:  # one document of each class speaks for it
+        if spoken:
             row = F.struct("sig", "n", "rest")
             first = first.groupBy("token", "comp").agg(F.min_by(row, "sig").alias("r")).select("token", "comp", "r.*")
-        size = reliable_checkpoint(first.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
-        rows = first.join(size, "token").withColumn("block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))"))
-        found = _verified(_likely(rows.drop("k"), percent), text_of, words, percent)
+        size = reliable_checkpoint(first.groupBy("token").agg(F.count("*").alias("k"), F.min("comp").alias("one"),
+                                                              F.max("comp").alias("other")).where("one <> other"))
+        rows = first.join(size.select("token", "k"), "token").withColumn("block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))"))
+        found = _verified(_likely(rows.drop("k"), percent, kinds), text_of, words, percent)
         edges = found if edges is None else edges.unionByName(found)
         labels = reliable_checkpoint(nodes.select("sig").join(
             components(edges).withColumnRenamed("node", "sig"), "sig", "left")
             .select("sig", F.coalesce("comp", "sig").alias("comp")))
-        if not again and not size.where(F.col("k") > block).head(1):
+        if kinds > 1 and not size.where(F.col("k") > block).head(1):
             break  # no group was split, so no family can be in parts
 
     # exact: every shared shingle whose documents are not all of one class yet
