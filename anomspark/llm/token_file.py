@@ -34,10 +34,15 @@ from anomspark.llm.common import checked_broadcast, ensure_checkpoint_dir, read
 from anomspark.llm.textnum import slices
 
 TOKENIZER, END, FORMAT = "word_bpe_49k.json", 1, "huffman-blocks-1"
-BLOCK_IDS, PART_BYTES, WORD_TABLE = 1 << 16, 64 << 20, 400_000
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A word that ends in plain punctuation after a letter or digit is two pieces for the tokenizer.
-TAIL = re.compile(r"(?<=[^\W_])[.,!?#*$%&|;:]+\Z")
+BLOCK_IDS, PART_BYTES, WORD_TABLE = 1 << 16, 64 << 20, 600_000
+#: A word that ends in plain punctuation after a letter or digit is two pieces for the tokenizer.  Only
+#: letters that its normal form leaves single letters count (U+0130 and others end in a combining mark there).
+TAIL = re.compile("(?<=[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E])[.,!?#*$%&|;:]+\\Z")
+#: A sign that is one token, and how many pieces are tokenized together with it between them.
+SIGN, SPACED, TOGETHER = b"\x01", b" \x01 ", 1000
+#: The vocabulary is in lower case.  A-Z can be folded first unless a mark may combine with the letter, or the
+#: text may hold a special token, which is told apart by case.
+NO_FOLD = re.compile("[\u0300-\u036F]|<\\|")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -55,29 +60,51 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[str, bytes] = {}
-
-    def _fill(self, missing: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        for w, e in zip(missing, found, strict=True):
-            self.table[w] = np.array(e.ids, np.uint16).tobytes()
+        self.table: dict[bytes, bytes] = {}
+        self.sign, = self.tokenizer.encode(SIGN.decode(), add_special_tokens=False).ids
+
+    def _fill(self, missing: list[bytes]) -> None:
+        """Many pieces are tokenized as one text, with a sign between them that stands alone and is one token."""
+        alone = [w for w in missing if SIGN in w or b"<|" in w]
+        texts = [w.decode() for w in alone]
+        plain = [w for w in missing if SIGN not in w and b"<|" not in w] if alone else missing
+        texts += [SPACED.join(plain[i:i + TOGETHER]).decode() for i in range(0, len(plain), TOGETHER)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.table.update((w, np.array(x, np.uint16).tobytes()) for w, x in zip(alone, found, strict=False))
+        for i, x in zip(range(0, len(plain), TOGETHER), found[len(alone):], strict=True):
+            ids = np.array(x, np.uint16)
+            ends = 2 * np.flatnonzero(ids == self.sign)
+            raw, some = ids.tobytes(), plain[i:i + TOGETHER]
+            self.table.update((w, raw[lo:hi]) for w, lo, hi in zip(
+                some, [0, *(ends + 2).tolist()], [*ends.tolist(), len(raw)], strict=True))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        words = [WORD.findall(t) for t in texts]
+        """Ids and the end id of each text.  ``bytes.split`` cuts at the white space of ASCII alone."""
+        words = [(t.encode("utf-8", "replace") if NO_FOLD.search(t) else t.encode("utf-8", "replace").lower()).split()
+                 for t in texts]
         new = set().union(*words) - self.table.keys()
         if len(self.table) + len(new) > WORD_TABLE:
             self.table.clear()
             new = set().union(*words)
         if new:
-            split = {w: m.start() for w in new if (m := TAIL.search(w))}
-            pieces = {p for w, i in split.items() for p in (w[:i], w[i:])} | (new - split.keys())
-            self._fill(sorted(pieces - self.table.keys()))
-            for w, i in split.items():
-                self.table[w] = self.table[w[:i]] + self.table[w[i:]]
+            split = {w: cut for w in new if w[-1] in TAILS and (cut := _tail(w))}
+            pieces = {p for cut in split.values() for p in cut} | (new - split.keys())
+            self._fill(list(pieces - self.table.keys()))
+            self.table.update((w, self.table[x] + self.table[y]) for w, (x, y) in split.items())
         end = struct.pack("<H", END)
         return [b"".join(map(self.table.__getitem__, ws)) + end for ws in words]
 
 
+TAILS = frozenset(b".,!?#*$%&|;:")
+
+
+def _tail(word: bytes) -> tuple[bytes, bytes] | None:
+    """The word and the punctuation after it, if they are pieces of their own."""
+    text = word.decode()
+    m = TAIL.search(text)
+    return (text[:m.start()].encode(), m[0].encode()) if m else None
+
+
 _WORD_IDS: dict[str, WordIds] = {}
 
 

@@ -378,3 +378,14 @@ def test_pipeline(spark):
     counts = out.groupby("shard").slot.agg(["count", "max"])
     assert counts["count"].max() - counts["count"].min() <= 1 and (counts["max"] == counts["count"] - 1).all()
     assert not out.groupby("doc_id").size().gt(3).any()
+
+
+def test_letters_before_punctuation_keep_the_tokenizers_ids():
+    """Every letter in front of punctuation, also those whose normal form ends in a mark."""
+    ids = token_file.WordIds(token_file.tokenizer_path())
+    letters = [chr(c) for c in range(0x21, 0x30000) if chr(c).isalnum()]
+    texts = [f"GE{c}, {c}." for c in letters] + [
+        "a\x01b \x01 \x01, GEZİ, J̌! <|ENDOFTEXT|> <|endoftext|>, I'M 's, x y\x1cz", "Å Å ǰ", ""]
+    want = [e.ids + [1] for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, np.uint16).tolist() for i in range(0, len(texts), 5000) for x in ids.texts(texts[i:i + 5000])]
+    assert got == want
