@@ -87,7 +87,11 @@ def group_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
     w = (Window.partitionBy(*[c(g) for g in group_cols]).orderBy("_pid")
          .rowsBetween(Window.unboundedPreceding, -1))
     meta = meta.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    out = ranged.join(meta.select("_pid", *group_cols, "_start", "_off"), ["_pid", *group_cols])
+    side = meta.select(F.col("_pid").alias("_p"), *[c(g).alias(f"_g{i}") for i, g in enumerate(group_cols)], "_start", "_off")
+    same = F.col("_pid") == F.col("_p")
+    for i, g in enumerate(group_cols):  # null is a group of its own
+        same &= c(g).eqNullSafe(F.col(f"_g{i}"))
+    out = ranged.join(side, same).drop("_p", *[f"_g{i}" for i in range(len(group_cols))])
     return (out.withColumn(idx_col, (F.col("_off") + F.col("_lpos") - F.col("_start")).cast("long"))
             .drop("_pid", "_lpos", "_start", "_off"))
 

@@ -125,3 +125,10 @@ def test_adf_of_blocks_and_of_several_columns(spark):
     for k in whole:
         assert parts[k]["usedlag"] == whole[k]["usedlag"]
         assert parts[k]["adf_stat"] == pytest.approx(whole[k]["adf_stat"], rel=1e-9)
+
+
+def test_group_index_counts_null_as_a_group(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else "a") for i in range(60)], "k int, g string")
+    out = group_index(df, ["k"], ["g"], "idx", num_partitions=3).collect()
+    for g in (None, "a"):
+        assert sorted(r["idx"] for r in out if r["g"] == g) == list(range(sum(r["g"] == g for r in out)))
