@@ -7,11 +7,11 @@ length first gives its share of most of the budget (lengths from long to short,
 remainder), and what is left, a few long documents' worth, is met by a bounded-knapsack dynamic programme over
 the lengths and the documents still free.  Which documents of a length are taken is decided by a
 seeded hash of id and text: the plan gives for each source and length a number, found as a cut of
-the hash, so texts never shuffle.
+the hash, so texts never shuffle.  Rows that repeat in id and text share a draw; where the cut falls
+among them, these rows alone are numbered (in range partitions) and as many taken as the plan says.
 
-Null texts have size 0; a null source is a source of its own and comes last; rows that repeat in id
-and text share one draw and are taken together; an empty table gives an empty result; clashing names
-gain underscores.
+Null texts have size 0; a null source is a source of its own and comes last; rows that repeat are rows of
+their own; an empty table gives an empty result; clashing names gain underscores.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from anomspark.llm.common import WORD, checked_broadcast, fresh, read, reliable_checkpoint, seeded_hash
+from anomspark.plans.ordering import group_index
 
 WEIGHTS, MOST, SEED, SUB_ROWS = (1, 2, 3), 3, 20240602, 4096
 #: Words left to the dynamic programme: so many times the longest document, but no more than MOST_ROOM.
@@ -135,21 +136,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
               .withColumn("upto", F.sum("k").over(upto)).where("upto >= take and upto - k < take")
               .select(F.col("s").alias("s1"), F.col("z").alias("z1"), F.col("sub").alias("sub1"),
                       (F.col("take") - F.col("upto") + F.col("k")).alias("nth")))
-    nth = Window.partitionBy("s", "z").orderBy("draw")
+    # rows of one draw are counted first, so that the window sees different draws alone
+    upto = Window.partitionBy("s", "z").orderBy("draw")
     cuts = (drawn.join(slices, F.expr("s <=> s1 and z = z1 and sub = sub1"))
-            .withColumn("r", F.row_number().over(nth)).where("r = nth")
-            .select(F.col("s").alias("cs"), F.col("z").alias("cz"), F.col("draw").alias("cut")))
+            .groupBy("s", "z", "draw").agg(F.count("*").alias("same"), F.first("nth").alias("nth"))
+            .withColumn("upto", F.sum("same").over(upto)).where("upto >= nth and upto - same < nth")
+            .select(F.col("s").alias("cs"), F.col("z").alias("cz"), F.col("draw").alias("cut"), "same",
+                    (F.col("nth") - F.col("upto") + F.col("same")).alias("some")))
     plan = reliable_checkpoint(plan.join(cuts, F.expr("source <=> cs and size = cz"), "left").select(
         F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target",
-        "passes", F.when(F.expr("take >= c"), F.lit((1 << 63) - 1)).otherwise(F.coalesce("cut", F.lit(-1))).alias("cut")))
+        "passes", F.when(F.expr("take >= c"), F.lit((1 << 63) - 1)).otherwise(F.coalesce("cut", F.lit(-1))).alias("cut"),
+        F.when(F.expr("take < c and some < same"), F.col("some")).alias("some")))
     names = fresh(docs, "size", "source_size", "target", "times")
     row, key, at = fresh(docs, "row", "key", "at")
     joined = (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(source_col).alias(key),
                           size.alias("_size"), draw.alias(at))
               .join(checked_broadcast(plan, n), F.expr(f"`{key}` <=> _s and _size = _z")))
-    return joined.select(f"{row}.*", F.col("_size").alias(names[0]), F.col("source_size").alias(names[1]),
-                         F.col("target").alias(names[2]),
-                         (F.col("passes") + (F.col(at) <= F.col("cut")).cast("int")).alias(names[3]))
+    split = F.coalesce((F.col(at) == F.col("cut")) & F.col("some").isNotNull(), F.lit(False))
+    taken = joined.withColumn("_more", F.col(at) <= F.col("cut"))
+    if plan.where("some is not null").head(1):  # the cut falls among rows that repeat: these are numbered
+        again = group_index(joined.where(split).withColumn("_by", F.xxhash64(row)), ["_by"], [key, "_size"], "_nth")
+        taken = taken.where(~split).unionByName(
+            again.withColumn("_more", F.col("_nth") < F.col("some")).select(*taken.columns))
+    return taken.select(f"{row}.*", F.col("_size").alias(names[0]), F.col("source_size").alias(names[1]),
+                        F.col("target").alias(names[2]),
+                        (F.col("passes") + F.col("_more").cast("int")).alias(names[3]))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

@@ -389,3 +389,19 @@ def test_letters_before_punctuation_keep_the_tokenizers_ids():
     want = [e.ids + [1] for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
     got = [np.frombuffer(x, np.uint16).tolist() for i in range(0, len(texts), 5000) for x in ids.texts(texts[i:i + 5000])]
     assert got == want
+
+
+def test_mix_counts_rows_that_repeat(spark):
+    """1,000 rows of one id and text, with and without a source: each is a row of its own."""
+    rows = [(1, "a b c d e", "x", 1)] * 1000 + [(2 + i, "a b c", None, 2) for i in range(300)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, some long").repartition(5))
+    got = collections.Counter()
+    for r in out.collect():
+        got[r["source"]] += r["size"] * r["times"]
+    targets = {r["source"]: r["target"] for r in out.collect()}
+    assert out.count() == 1300 and out.columns[:4] == ["doc_id", "text", "source", "some"]
+    assert abs(got["x"] - targets["x"]) <= 2.5 and abs(got[None] - targets[None]) <= 1.5
+    only = mixing.mix(spark.createDataFrame([(None, "a b", None, i) for i in range(99)] + [(1, "a", "s", 0)] * 60, "doc_id long, text string, source string, k int"))
+    goal = {r["source"]: r["target"] for r in only.collect()}
+    got = {s: sum(r["size"] * r["times"] for r in only.collect() if r["source"] == s) for s in goal}
+    assert all(abs(got[s] - goal[s]) <= 1 for s in goal) and only.count() == 159
