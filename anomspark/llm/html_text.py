@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,18 +35,31 @@ TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?
                    r"|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = frozenset("script style noscript template svg iframe object select textarea button title".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in RAW}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section "
                   "summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose nesting is followed; the others end with the next block.
 NESTED = BLOCK - frozenset("p li dd dt td th tr tbody thead tfoot hr html".split())
 BOILER_TAGS = frozenset("nav aside footer form head menu dialog".split())
-BOILER_WORDS = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|menus?|nav\w*|breadcrumbs?|sidebar\w*|widget\w*|"
-    r"footer|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|"
-    r"newsletter|subscri\w+|signup|login|shar(?:e|ing)|social|comments?|commentlist|disqus|discussion|repl(?:y|ies)|"
-    r"related|recommend\w*|pagination|pager|copyright|legal|disclaimer|search\w*|skip\w*|navigation|contentinfo|"
-    r"complementary|site-?info)(?![a-z])", re.I)
+#: Class words of boilerplate; those of the second list are a site's furniture, but may name a part of an article.
+_BOILER = ("ads?", r"advert\w*", "adsense", r"sponsor\w*", r"promo\w*", "menus?", r"nav\w*", "breadcrumbs?", r"sidebar\w*",
+           r"widget\w*", "footer", "masthead", "topbar", "toolbar", "cookies?", "consent", "gdpr", "notices?",
+           r"notification\w*", "popup", "modal", "overlay", "newsletter", r"subscri\w+", "signup", "login", "shar(?:e|ing)",
+           "social", "comments?", "commentlist", "disqus", "repl(?:y|ies)", "related", r"recommend\w*", "pagination", "pager",
+           r"skip\w*", "navigation", "contentinfo", "complementary", "site-?info")
+_FURNITURE = ("banner", "header", "alert", "discussion", "copyright", "legal", "disclaimer", r"search\w*")
+#: A heading is judged by where it stands; only these words make one boilerplate by themselves.
+_HEADING = ("ads?", r"advert\w*", r"sponsor\w*", r"promo\w*", r"nav\w*", r"sidebar\w*", r"widget\w*", "newsletter", "comments?",
+            "repl(?:y|ies)", "related", r"recommend\w*", "shar(?:e|ing)", "social")
+
+
+def _any_word(*words: str) -> re.Pattern:
+    return re.compile(rf"(?<![a-z])(?:{'|'.join(words)})(?![a-z])", re.I)
+
+
+BOILER_WORDS, ARTICLE_WORDS, HEADING_WORDS = _any_word(*_BOILER, *_FURNITURE), _any_word(*_BOILER), _any_word(*_HEADING)
 MAIN_WORDS = re.compile(r"(?<![a-z])(?:article|content|main|post|entry|story|text)(?:[-_]?(?:body|content|text|main))?(?![a-z])", re.I)
 
 
@@ -71,22 +85,53 @@ class Line:
         self.text, self.boiler, self.inside, self.heading, self.links = text, boiler, inside, heading, links
 
 
+class Open:
+    """The open elements, with counts of what is asked of them, so that no question walks the stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, int]] = []  # element, boilerplate, mark of an article (2) or its likes (1)
+        self.names: Counter = Counter()
+        self.marks = [0, 0, 0]
+        self.boiler = 0   # open boilerplate elements
+        self.cleared = 0  # elements below this place count as plain text again
+
+    def push(self, name: str, bad: bool, mark: int) -> None:
+        self.stack.append((name, bad, mark))
+        self.names[name] += 1
+        self.marks[mark] += 1
+        self.boiler += bad
+
+    def close(self, name: str) -> None:
+        """Closes the innermost element of this name and all inside it; nothing if none is open."""
+        while self.names[name]:
+            last, bad, mark = self.stack.pop()
+            self.names[last] -= 1
+            self.marks[mark] -= 1
+            self.boiler -= bad and len(self.stack) >= self.cleared
+            self.cleared = min(self.cleared, len(self.stack))
+            if last == name:
+                break
+
+    def forgive(self) -> None:
+        """What is open now is no boilerplate: a menu or the like that was never closed."""
+        self.boiler, self.cleared = 0, len(self.stack)
+
+    def mark(self) -> int:
+        return 2 if self.marks[2] else 1 if self.marks[1] else 0
+
+
 def lines_of(page: str) -> list[Line]:
-    low = page.lower()
     lines: list[Line] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, boilerplate, mark of an article (2) or its likes (1)
+    now = Open()
     block_boiler = heading = False
     links = in_link = at = 0
 
-    def boiler() -> bool:
-        return block_boiler or any(s[1] for s in stack)
-
     def close() -> None:
         nonlocal links, block_boiler, heading
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            lines.append(Line(text, boiler(), max((s[2] for s in stack), default=0), heading, links))
+            lines.append(Line(text, block_boiler or now.boiler > 0, now.mark(), heading, links))
         words.clear()
         links, block_boiler, heading = 0, False, False
 
@@ -109,14 +154,12 @@ def lines_of(page: str) -> list[Line]:
                 in_link = max(0, in_link - 1)
             if name in BLOCK:
                 close()
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                now.close(name)
             continue
         if name in RAW:
             if not attributes.endswith("/"):
-                stop = low.find(f"</{name}", at)
-                at = len(page) if stop < 0 else max(stop, at)
+                stop = RAW_END[name].search(page, at)
+                at = stop.start() if stop else len(page)
             add(" ")
             continue
         if name == "a":
@@ -128,19 +171,20 @@ def lines_of(page: str) -> list[Line]:
         close()
         in_link = 0
         names, hidden = _names(attributes)
-        article = name in ("article", "main")
+        article, title = name in ("article", "main"), name in HEADINGS
         mark = 2 if article else 1 if names and name in ("div", "section") and MAIN_WORDS.search(names) else 0
-        own_header = name == "header" and any(s[2] == 2 for s in stack)
+        own_header = name == "header" and now.marks[2] > 0
+        named = HEADING_WORDS if title else ARTICLE_WORDS if now.marks[2] else BOILER_WORDS
         bad = hidden or name in BOILER_TAGS or name == "header" and not own_header or \
             name not in ("html", "body", "main") and not (mark and not article and not _comments(names)) and \
-            bool(names) and not own_header and BOILER_WORDS.search(names) is not None
-        if article and not bad and not any(s[1] and _comments(s[0]) for s in stack):
-            stack = [(t, False if t != "comments" else b, k) for t, b, k in stack]  # an unclosed menu ends here
-        heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if name in NESTED and name not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.append((name, bad, mark))
+            bool(names) and not own_header and named.search(names) is not None
+        if article and not bad and not now.names["comments"]:
+            now.forgive()
+        heading = title
+        if name in NESTED and not title:
+            now.push(name, bad, mark)
             if bad and _comments(names):
-                stack.append(("comments", True, 0))
+                now.push("comments", True, 0)
         else:
             block_boiler = bad
     if at < len(page):

@@ -405,3 +405,39 @@ def test_mix_counts_rows_that_repeat(spark):
     goal = {r["source"]: r["target"] for r in only.collect()}
     got = {s: sum(r["size"] * r["times"] for r in only.collect() if r["source"] == s) for s in goal}
     assert all(abs(got[s] - goal[s]) <= 1 for s in goal) and only.count() == 159
+
+
+def test_html_letters_that_grow_in_lower_case_shift_nothing():
+    page = "<article>" + "İ" * 30 + "<script>a</script><p>after one</p><SCRIPT>b</Script ><p>after two</p></article>"
+    assert html_text.main_text(page) == "İ" * 30 + "\nafter one\nafter two"
+    assert html_text.main_text("<p>x</p><script>no </scripts> </ſcript> end") == "x"
+
+
+def test_html_headings_and_article_parts_by_position():
+    page = ('<nav><h2>menu</h2></nav><article><h1 class="page-header">Title</h1><p>one</p><div class="legal">The law</div>'
+            '<div class="ad">buy</div><h2 class="related">more</h2></article><div class="legal">imprint</div>')
+    assert html_text.main_text(page) == "Title\none\nThe law"
+
+
+def test_html_is_linear_in_open_elements():
+    import time
+    for part, text in (("<article>", "x"), ("<div>", "x"), ("<nav><article>", "x"), ('<div class="ad">', "")):
+        began = time.process_time()
+        assert html_text.main_text(part * 8000 + "x") == text
+        assert time.process_time() - began < 2
+
+
+def test_html_empty_table_and_query(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    sf = "/root/testdata/sf0.001"
+    out = html_text.op2_line_blocks(spark, sf)
+    assert out.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    rows = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:  # the given pages mark their article: its blocks, one by one
+        inside = re.search(r"(?s)<article>(.*?)</article>", rows[r["page_id"]]["html"])[1]
+        inside = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", inside)
+        blocks = re.split(r"(?i)</?(?:p|h[1-6]|ul|li|div|section)\b[^>]*>", re.sub(r"(?i)<br\s*/?>", " ", inside))
+        text = [" ".join(html_text.html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in blocks]
+        assert r["text"] == "\n".join(x for x in text if x) and r["n_chars"] == len(r["text"])
