@@ -12,7 +12,8 @@ texts.  Documents with equal sets are collapsed into one node first.
 
 Groups are never collected whole: a trie holds at most ``block`` documents; larger groups are
 split, first by linking blocks through representatives (which joins families of near copies in
-linear work), then by probing every block with the documents outside the group's largest class.
+linear work), then by probing every block with the documents outside the group's largest class.  Of the
+candidate pairs of two classes the most promising are compared first; the others only if no link was found.
 
 Results: null or empty texts have an empty set, link with nothing and are their own class;
 fewer than five words are one shingle; repeated rows and ids are kept; further columns are ignored
@@ -45,6 +46,8 @@ FLUSH_BYTES = 24 << 20
 LAST = 1 << 62
 #: Least hashes kept of each set, and how many of them group likely copies before the exact join.
 LEAST, SPOTS = 24, 4
+#: Pairs of two classes that are compared in the rounds before the last, which takes all that are left.
+PICKS = (4, 16)
 #: First shared shingles of a document by which pairs that have met before are told.
 HEAD = 8
 
@@ -187,8 +190,8 @@ class Trie:
             node.low, node.high = min(node.low, n), max(node.high, n)
         node.ends.append(entry)
 
-    def probe(self, entry: tuple) -> Iterator[tuple]:
-        """Stored documents that may be linked with ``entry`` (never misses a linked one)."""
+    def probe(self, entry: tuple) -> Iterator[tuple[tuple, int]]:
+        """Stored documents that may be linked with ``entry`` (never misses a linked one), and the overlap so far."""
         _, n, _, toks = entry
         pc, mine = self.percent, {t: i for i, t in enumerate(toks)}
         small = needed(n, pc)
@@ -204,7 +207,7 @@ class Trie:
             for y in node.ends:
                 m = y[1]
                 if small <= m and m * pc <= 100 * n and have + max(small, needed(m, pc)) - 1 >= overlap_needed(n, m, pc):
-                    yield y
+                    yield y, have
             for tok, kid in node.kids.items():
                 i = mine.get(tok)
                 if i is None:
@@ -227,7 +230,7 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _batches(pairs: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def _batches(pairs: Iterable[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
     held = []
     for p in pairs:
         held.append(p)
@@ -237,9 +240,10 @@ def _batches(pairs: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     yield _batch(held)
 
 
-def _batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()),
-                                       pa.array([min(p) for p in pairs], pa.int64())], names=["a", "b"])
+def _batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(p[:2]) for p in pairs], pa.int64()),
+                                       pa.array([min(p[:2]) for p in pairs], pa.int64()),
+                                       pa.array([p[2] for p in pairs], pa.int32())], names=["a", "b", "have"])
 
 
 def _likely_pairs(percent: int, kinds: int):
@@ -296,9 +300,9 @@ def _possible_pairs(percent: int):
                 if not r["probe"]:
                     trie.add(r["entry"])
             for r in sorted((r for r in rows if r["probe"]), key=lambda r: not r["index"]):
-                for y in trie.probe(r["entry"]):
+                for y, have in trie.probe(r["entry"]):
                     if y[2] != r["comp"]:
-                        yield r["sig"], y[0]
+                        yield r["sig"], y[0], have
                 if r["index"]:
                     trie.add(r["entry"])
     return lambda batches: _batches(pairs(batches))
@@ -413,7 +417,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _tried(rows: DataFrame, percent: int) -> DataFrame:
-    return _grouped(rows).mapInArrow(_possible_pairs(percent), "a long, b long").distinct()
+    """(a, b, have): candidate pairs and the greatest overlap found between their prefixes."""
+    found = _grouped(rows).mapInArrow(_possible_pairs(percent), "a long, b long, have int")
+    return found.groupBy("a", "b").agg(F.max("have").alias("have"))
 
 
 def _verified(pairs: DataFrame, text_of, words: int, percent: int) -> DataFrame:
@@ -456,6 +462,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             text = text.mapInArrow(_same_set(words), "sig long, text string").dropDuplicates(["sig"])
         return text
 
+    def relabelled(edges: DataFrame) -> DataFrame:
+        return reliable_checkpoint(nodes.select("sig").join(
+            components(edges).withColumnRenamed("node", "sig"), "sig", "left")
+            .select("sig", F.coalesce("comp", "sig").alias("comp")))
+
     edges = None
     labels = heads.select("sig", F.col("sig").alias("comp"))
     # families of near copies, through their least hashes: first each document with the hub of its groups, then
@@ -472,9 +483,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = first.join(size.select("token", "k"), "token").withColumn("block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))"))
         found = _verified(_likely(rows.drop("k"), percent, kinds), text_of, words, percent)
         edges = found if edges is None else edges.unionByName(found)
-        labels = reliable_checkpoint(nodes.select("sig").join(
-            components(edges).withColumnRenamed("node", "sig"), "sig", "left")
-            .select("sig", F.coalesce("comp", "sig").alias("comp")))
+        labels = relabelled(edges)
         if kinds > 1 and not size.where(F.col("k") > block).head(1):
             break  # no group was split, so no family can be in parts
 
@@ -499,7 +508,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = reliable_checkpoint(rows).join(nodes.select("sig", F.col("toks.token").alias("toks")), "sig")
     rows = rows.select("token", "block", "sig", "n", "comp", "probe", "index",
                        F.expr("filter(toks, t -> t > token)").alias("rest"))
-    edges = edges.unionByName(_verified(_tried(rows, percent), text_of, words, percent))
+    # two classes need one link: their most promising pairs are compared first, and what is left only where
+    # the classes are still apart
+    pending = reliable_checkpoint(_tried(rows, percent))
+    for picks in (*PICKS, None):
+        name = [labels.select(F.col("sig").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b")]
+        pending = pending.join(name[0], "a").join(name[1], "b").where("ca <> cb").select("a", "b", "have", "ca", "cb")
+        now = pending
+        if picks:
+            pending = reliable_checkpoint(pending)
+            pick = F.max(F.struct("have", "a", "b")).alias("p")
+            now = reliable_checkpoint(pending.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), F.pmod(
+                F.xxhash64("a", "b"), F.lit(picks)).alias("pick")).agg(pick).select("p.a", "p.b"))
+        edges = edges.unionByName(_verified(now.select("a", "b"), text_of, words, percent))
+        if picks:
+            labels = relabelled(edges)
+            pending = pending.join(now, ["a", "b"], "left_anti").select("a", "b", "have")
 
     labels = components(edges).withColumnRenamed("node", "sig")
     keyed = base.select("id", "n", "sig").join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
