@@ -1,16 +1,18 @@
 """Operator 3: quality classifier, naive Bayes features with a linear support vector machine.
 
 N-gram indicators of a document are scaled by the log-count ratios of the two classes and a linear
-model is fitted on them by dual coordinate descent on the hinge loss.  The n-grams are over word
-shapes (runs of one character class count once: ``Ab,`` and ``Cde,`` have one shape): shape unigrams
-with the power of two of their share in the document, shape bigrams, and marks of repetition (a word
-like its predecessor, a repeated 3-word window, a repeated line) with their share.
-
-Training uses at most ``TRAIN_ROWS`` labelled documents (drawn by a seeded hash); every document is
-scored over its whole text.  The margin becomes a score by a logistic function whose slope is fitted
-on the training margins, so the score is at least 0.5 exactly if the margin is not negative.  Null
-and empty texts have no n-gram and get the score of the bias; without labels of both classes every
-score is 1 or 0 by the only class (1 without any).
+model is fitted on them by dual coordinate descent on the hinge loss.  There are two kinds of n-grams,
+each scaled to its own length in a document so that neither drowns the other: words in lower case and
+their bigrams; and word shapes (runs of one character class count once: ``Ab,`` and ``Cde,`` have one
+shape), as unigrams with the power of two of their share in the document, bigrams, and marks of
+repetition (a word like its predecessor, a repeated 3-word window, a repeated line) with their share.
+
+Training uses at most ``TRAIN_ROWS`` labelled documents (drawn by a seeded hash) in one task, the driver gets
+the weights alone; every document is scored over its whole text.  The margin becomes a score by a logistic
+function whose slope is fitted on the training margins, so the score is at least 0.5 exactly if the margin is
+not negative.  Null and empty texts have no n-gram and get the score of the bias; rows that repeat and null ids
+are scored like others; an empty table gives an empty result; other columns, whatever their names, are ignored;
+without labels of both classes every score is 1 or 0 by the only class (1 without any).
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from anomspark.llm.quality_rules import CLASS, duplicate_lines, repeated_words
 from anomspark.llm.textnum import Words, mix, slices
 
 TRAIN_ROWS = 10_000
-DIM, SMOOTH, COST, EPOCHS, BLEND = 1 << 18, 1.0, 1.0, 20, 0.75
+#: Numbers of hashed features: shapes below ``SHAPES``, words from there to ``DIM``; how much the words weigh.
+SHAPES, DIM, WORDS_WEIGH = 1 << 18, (1 << 18) + (1 << 20), 0.5
+SMOOTH, COST, EPOCHS, BLEND = 1.0, 1.0, 20, 0.75
 
 #: Bytes of the shape alphabet, one per character class; symbols and sentence marks stay themselves.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -73,11 +77,23 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for mark, (x, of) in enumerate(((np.bincount(w.doc[same], minlength=len(texts)), n), (repeated_words(w), n),
                                     (np.array([duplicate_lines(t) for t in texts]), lines))):
         add(np.arange(len(texts)), mix(_share(x, of) + np.uint64(1000 * (mark + 1))))
-    key = np.unique(np.concatenate(doc) * DIM + (np.concatenate(part) % np.uint64(DIM)).astype(np.int64))
+    shape = np.concatenate(doc) * DIM + (np.concatenate(part) % np.uint64(SHAPES)).astype(np.int64)
+    low = Words(texts)
+    pair = np.flatnonzero(low.doc[1:] == low.doc[:-1]) if len(low.hash) > 1 else np.zeros(0, np.int64)
+    gram = np.concatenate((low.hash, mix(low.hash[pair] * np.uint64(5) + low.hash[pair + 1])))
+    word = np.concatenate((low.doc, low.doc[pair])) * DIM + SHAPES + (gram % np.uint64(DIM - SHAPES)).astype(np.int64)
+    key = np.unique(np.concatenate((shape, word)))
     key = key[n[key // DIM] > 0]
     return key // DIM, key % DIM
 
 
+def scales(doc: np.ndarray, feat: np.ndarray, texts: int) -> np.ndarray:
+    """The value of each indicator: one over the root of the document's number of its kind."""
+    words = feat >= SHAPES
+    size = np.bincount(doc * 2 + words, minlength=2 * texts)
+    return np.where(words, WORDS_WEIGH, 1.0) / np.sqrt(size[doc * 2 + words])
+
+
 def train(texts: list[str], y: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float, float]:
     """(weight of every feature, bias, slope of the logistic function)."""
     weight = np.zeros(DIM)
@@ -95,7 +111,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> tuple[np.ndarray, f
     ratio = np.where(seen, np.log((pos / pos.sum()) / (neg / neg.sum())), 0.0)
 
     start = np.searchsorted(doc, np.arange(len(y) + 1))
-    rows = [(feat[a:b], ratio[feat[a:b]] / np.sqrt(max(1, b - a))) for a, b in zip(start[:-1], start[1:], strict=True)]
+    value = scales(doc, feat, len(texts))
+    rows = [(feat[a:b], ratio[feat[a:b]] * value[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
     sign = np.where(y == 1, 1.0, -1.0)
     cost = COST * len(y) / (2 * np.where(y == 1, (y == 1).sum(), (y == 0).sum()))  # classes weigh alike
     w, bias, alpha = np.zeros(DIM), 0.0, np.zeros(len(y))
@@ -114,7 +131,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> tuple[np.ndarray, f
     # blend with the mean weight, as is usual for these features
     w = (1 - BLEND) * np.abs(w).sum() / max(1, (w != 0).sum()) * (w != 0) * np.sign(w) + BLEND * w
     weight = w * ratio
-    margin = np.array([weight[f].sum() / np.sqrt(max(1, len(f))) + bias for f, _ in rows])
+    margin = np.bincount(doc, weight[feat] * value, len(texts)) + bias
     slopes = np.geomspace(0.25, 16, 25)
     loss = [np.logaddexp(0, -a * sign * margin).sum() for a in slopes]
     return weight, bias, float(slopes[int(np.argmin(loss))])
@@ -123,8 +140,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> tuple[np.ndarray, f
 def scores(texts: list[str | None], model: tuple[np.ndarray, float, float]) -> np.ndarray:
     weight, bias, slope = model
     doc, feat = features(texts)
-    size = np.bincount(doc, minlength=len(texts))
-    margin = np.bincount(doc, weight[feat], len(texts)) / np.sqrt(np.maximum(size, 1)) + bias
+    margin = np.bincount(doc, weight[feat] * scales(doc, feat, len(texts)), len(texts)) + bias
     return 1 / (1 + np.exp(-np.clip(slope * margin, -30, 30)))
 
 
@@ -138,9 +154,20 @@ def _score(model):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None, rows: int = TRAIN_ROWS,
         id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float, float]:
-    sample = training_texts(docs, labels, label, keep, rows, id_col, text_col).toPandas()
-    sample = sample.sort_values(["text", "y"], kind="stable")
-    return train(sample.text.tolist(), sample.y.to_numpy())
+    sample = training_texts(docs, labels, label, keep, rows, id_col, text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = sorted(p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        weight, bias, slope = train([t for t, _ in pairs], np.array([y for _, y in pairs], np.int64))
+        at = np.flatnonzero(weight)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int64)]), pa.array([weight[at]]), pa.array([float(bias)]),
+                                          pa.array([float(slope)])], names=["at", "weight", "bias", "slope"])
+    got = sample.repartition(1).mapInArrow(run, "at array<long>, weight array<double>, bias double, slope double").first()
+    if got is None:  # no labelled document, no partition
+        return train([], np.zeros(0, np.int64))
+    weight = np.zeros(DIM)
+    weight[np.array(got["at"], np.int64)] = got["weight"]
+    return weight, got["bias"], got["slope"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], id_col: str = "doc_id",
