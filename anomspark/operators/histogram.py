@@ -40,23 +40,32 @@ def digest(value: Column, is_string: bool) -> list[Column]:
     return [F.xxhash64(value).alias("d1"), F.xxhash64(F.lit(_SEED), value).alias("d2"), size.alias("size")]
 
 
+def digest_cells(df: DataFrame, columns: Sequence[str], facts=None, keys=None, label=None) -> DataFrame:
+    """(column, d1, d2, size, ...), one row for each non-null cell; for :func:`digest_histogram`.
+    ``label(name)`` may name a column otherwise."""
+    cells = []
+    for n in columns:
+        more = [*(facts(n) if facts else []), *(keys(n) if keys else [])]
+        cells.append(F.when(c(n).isNotNull(), F.struct(
+            F.lit(label(n) if label else n).alias("column"),
+            *digest(one_zero(df, n), isinstance(df.schema[n].dataType, T.StringType)), *[e.alias(x) for x, e in more])))
+    return df.select(F.explode(F.array(*cells)).alias("cell")).where("cell is not null").select("cell.*")
+
+
+def counted(cells: DataFrame, facts: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """The histogram of :func:`digest_cells`."""
+    return cells.groupBy("column", *DIGEST, *keys).agg(F.count(F.lit(1)).alias("cnt"), *[F.max(x).alias(x) for x in facts])
+
+
 def digest_histogram(df: DataFrame, columns: Sequence[str], facts=None, keys=None) -> DataFrame:
     """(column, d1, d2, size, cnt, ...) over non-null values.
 
     ``facts(name)`` and ``keys(name)`` give further (name, column) pairs that depend on the value
     alone, the same names and types for every column.  Facts (numbers, flags) are kept per value by
     ``max``; keys (short texts) are grouped by, which changes no group."""
-    cells, fact_names, key_names = [], [], []
-    for n in columns:
-        more = list(facts(n)) if facts else []
-        key = list(keys(n)) if keys else []
-        fact_names, key_names = [x for x, _ in more], [x for x, _ in key]
-        cells.append(F.when(c(n).isNotNull(), F.struct(
-            F.lit(n).alias("column"), *digest(one_zero(df, n), isinstance(df.schema[n].dataType, T.StringType)),
-            *[e.alias(x) for x, e in more + key])))
-    long = df.select(F.explode(F.array(*cells)).alias("cell")).where("cell is not null").select("cell.*")
-    return long.groupBy("column", *DIGEST, *key_names).agg(F.count(F.lit(1)).alias("cnt"),
-                                                          *[F.max(x).alias(x) for x in fact_names])
+    first = columns[0] if columns else None
+    return counted(digest_cells(df, columns, facts, keys), [x for x, _ in facts(first)] if facts else [],
+                   [x for x, _ in keys(first)] if keys else [])
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

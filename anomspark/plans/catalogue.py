@@ -17,7 +17,7 @@ from anomspark.operators import scoring as SC
 from anomspark.operators import temporal as TM
 from anomspark.operators.detectors.ecod import ecod
 from anomspark.operators.histogram import distinct_counts, frequencies, long_values, value_histogram
-from anomspark.operators.profile import (column_stats, dataset_types, implicit_votes, role_ratios, role_table)
+from anomspark.operators.profile import (column_stats_of, dataset_types, implicit_votes, role_ratios, role_table)
 from anomspark.plans import oracle as O
 from anomspark.plans.ordering import c, group_index, tail_rows
 from anomspark.sources.io import read_table, spread
@@ -30,7 +30,6 @@ ROLE_TABLES = [("events", ["event_id"]), ("documents", ["doc_id"]), ("orders", [
                ("benchmark", ["item_id"]), ("lineitem", ["l_orderkey", "l_linenumber"])]
 ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
               "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-SAMPLE = R.MAX_SAMPLE_SIZE
 #: Rows of the tail report.
 TAIL_ROWS = 2500
 
@@ -55,35 +54,19 @@ def _union(frames):
 # B / C: roles and column facts
 # ---------------------------------------------------------------------------
 
-def _roles_of(df: DataFrame, label: str, key: list[str], sample: int | None = SAMPLE) -> DataFrame:
-    """Role table of one table.  The profiled rows (at most ``sample``) are cached for
-    the few jobs that read them; the result has one row per column."""
-    n = df.count()
-    prof = tail_rows(df, key, sample) if sample and n > sample else df
-    if sample and n > sample:
-        prof = prof.persist()
-    st = column_stats(prof, min(n, sample) if sample else n)
-    roles = role_table(st, df.columns)
-    out = roles.select(F.lit(label).alias("table_name"), F.col("column").alias("column_name"),
-                        F.col("pos").cast("int").alias("pos"), "family",
-                        F.col("n_rows").cast("long").alias("n_rows"),
-                        F.col("n_distinct").cast("long").alias("n_distinct"),
-                        F.col("n_nonnull").cast("long").alias("n_nonnull"), "role",
-                        "temporal_candidate", "high_cardinality",
-                        F.col("label_rank").cast("int").alias("label_rank"), "graph_structural")
-    rows = out.collect()  # one row per column
-    if prof is not df:
-        prof.unpersist()
-    return df.sparkSession.createDataFrame(rows, out.schema)
+def _roles_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """Role tables of several tables, worked out by one plan; the result has one row per column."""
+    out = role_table(column_stats_of(tables)).select(
+        "table_name", F.col("column").alias("column_name"), F.col("pos").cast("int").alias("pos"), "family",
+        "n_rows", "n_distinct", "n_nonnull", "role", "temporal_candidate", "high_cardinality",
+        F.col("label_rank").cast("int").alias("label_rank"), "graph_structural")
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(out.collect(), out.schema)
 
 
 def _role_tables(spark, sf, more=()):
-    """Role tables of thirteen driver tables (and ``more``, of (name, frame, key)).  Each table is a handful of
-    small jobs, so the tables are submitted concurrently (Spark schedules jobs from several threads)."""
-    from concurrent.futures import ThreadPoolExecutor
-    tables = [(t, _t(spark, sf, t), k) for t, k in ROLE_TABLES] + list(more)
-    with ThreadPoolExecutor(max_workers=6) as pool:
-        return _union(list(pool.map(lambda t: _roles_of(t[1], t[0], t[2]), tables)))
+    """Role tables of thirteen driver tables (and ``more``, of (name, frame, key))."""
+    return _roles_of({t: _t(spark, sf, t) for t, _ in ROLE_TABLES} | {t: df for t, df, _ in more})
 
 
 def q_column_roles(spark, sf):
@@ -110,7 +93,7 @@ def q_numeric_categorical(spark, sf):
 def q_numeric_temporal(spark, sf):
     """C8 on orders with a derived integer ``order_year`` column."""
     o = _t(spark, sf, "orders").withColumn("order_year", F.year("o_orderdate"))
-    return _roles_of(o, "orders_year", ["o_orderkey"]).select(
+    return _roles_of({"orders_year": o}).select(
         "column_name", "role", "temporal_candidate")
 
 
@@ -122,13 +105,13 @@ def q_high_cardinality(spark, sf):
 def q_graph_columns(spark, sf):
     """C3 on orders seen as an edge list: o_custkey -> source, o_orderkey -> target."""
     edges = _t(spark, sf, "orders").withColumnRenamed("o_custkey", "source").withColumnRenamed("o_orderkey", "target")
-    return _roles_of(edges, "orders_edges", ["target"]).select("column_name", "role", "graph_structural")
+    return _roles_of({"orders_edges": edges}).select("column_name", "role", "graph_structural")
 
 
 def q_string_datetime(spark, sf):
     """o_orderdate as text is still recognised as a timestamp."""
     o = _t(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
-    return _roles_of(o, "orders_text_dates", ["o_orderkey"]).select("column_name", "family", "role")
+    return _roles_of({"orders_text_dates": o}).select("column_name", "family", "role")
 
 
 def q_role_ratios(spark, sf):
