@@ -14,10 +14,13 @@ empty result, and the added names gain underscores where the table has them alre
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anomspark.llm.common import BROADCAST_ROWS, checked_broadcast, fresh, read, reliable_checkpoint
+from anomspark.llm.common import (BROADCAST_ROWS, checked_broadcast, ensure_checkpoint_dir, fresh, read,
+                                  reliable_checkpoint)
 
 SHARDS, SEED, REPEATS = 16, 20240601, 64
 #: Bytes of records a bucket holds on average; a task works on one bucket at a time.
@@ -79,8 +82,16 @@ def write_shards(shuffled: DataFrame, path: str, shard: str = "shard", slot: str
      .sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path))
 
 
+def read_shards(spark: SparkSession, path: str, shuffled: DataFrame) -> DataFrame:
+    """The written rows; an empty table has written none."""
+    return spark.read.schema(shuffled.schema).parquet(path)
+
+
 def op1_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shuffle_records(read(spark, sf_dir, "documents"))
+    shuffled = shuffle_records(read(spark, sf_dir, "documents"))
+    path = f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(shuffled, path)
+    out = read_shards(spark, path, shuffled)
     return out.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

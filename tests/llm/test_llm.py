@@ -441,3 +441,51 @@ def test_html_empty_table_and_query(spark):
         blocks = re.split(r"(?i)</?(?:p|h[1-6]|ul|li|div|section)\b[^>]*>", re.sub(r"(?i)<br\s*/?>", " ", inside))
         text = [" ".join(html_text.html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in blocks]
         assert r["text"] == "\n".join(x for x in text if x) and r["n_chars"] == len(r["text"])
+
+
+def test_shard_query_reads_what_it_wrote(spark, empty, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = sharding.op1_two_pass_shuffle(spark, sf)
+    assert out.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"),
+                          ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    got = out.collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted(
+        (d, len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in rows.items())
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == list(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    none = sharding.shuffle_records(empty.drop("shard"))
+    sharding.write_shards(none, str(tmp_path / "none"))
+    assert sharding.read_shards(spark, str(tmp_path / "none"), none).count() == 0
+
+
+def test_classifier_queries(spark, empty):
+    """Types, folds and odd rows of op3 and op6 on the given tables."""
+    sf = "/root/testdata/sf0.001"
+    for query, modulus, rest, label in ((quality_classifier.op3_nb_svm_quality, 3, 1, "quality"),
+                                        (toxicity.op6_toxicity_mil, 5, 0, "toxic")):
+        out = query(spark, sf)
+        assert out.dtypes[:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+        rows = out.collect()
+        assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+        for r in rows:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == rest)
+            assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        known = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+        right = [r.predicted == known[r.doc_id] for r in rows if r.doc_id in known and not r.held_out]
+        assert sum(right) >= 0.9 * len(right)
+
+
+def test_quality_scores_of_odd_rows(spark, docs, empty):
+    model = quality_classifier.train(["a b c"] * 5 + ["#$ ## !!"] * 5, np.array([1] * 5 + [0] * 5))
+    more = docs.withColumnRenamed("shard", "score")
+    got = quality_classifier.score(more, model).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (3, 4)}) == 1  # null and empty: the bias alone
+    assert quality_classifier.score(empty, model).count() == 0
+    labels = spark.createDataFrame([(None, 1), (1, None), (99, 1)], "doc_id long, quality int")
+    assert quality_classifier.fit(docs, labels)[1] == 30.0  # no usable label
