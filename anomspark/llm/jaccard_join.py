@@ -13,7 +13,8 @@ texts.  Documents with equal sets are collapsed into one node first.
 Groups are never collected whole: a trie holds at most ``block`` documents; larger groups are
 split, first by linking blocks through representatives (which joins families of near copies in
 linear work), then by probing every block with the documents outside the group's largest class.  Of the
-candidate pairs of two classes the most promising are compared first; the others only if no link was found.
+candidates a document's most promising with each class are compared first; the others only if the classes are
+still apart.
 
 Results: null or empty texts have an empty set, link with nothing and are their own class;
 fewer than five words are one shingle; repeated rows and ids are kept; further columns are ignored
@@ -27,6 +28,7 @@ import hashlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +43,13 @@ WORDS, PERCENT, BLOCK = 5, 75, 4096
 #: A shingle counts as frequent if it is found this often; of more than ``FREQUENT`` of them the table
 #: holds the most frequent ones (16 bytes each).
 LEAST_FREQUENT, FREQUENT = 20, 1 << 20
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 16 << 20
 #: Shingles are numbered in the global order: others by 62 bits of the hash, frequent ones after them.
 LAST = 1 << 62
 #: Least hashes kept of each set, and how many of them group likely copies before the exact join.
 LEAST, SPOTS = 24, 4
-#: Pairs of two classes that are compared in the rounds before the last, which takes all that are left.
-PICKS = (4, 16)
+#: Pairs of a document with a class that a group gives in the rounds before the last, which gives all.
+PICKS = (1, 4)
 #: First shared shingles of a document by which pairs that have met before are told.
 HEAD = 8
 
@@ -230,7 +232,7 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _batches(pairs: Iterable[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+def _batches(pairs: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     held = []
     for p in pairs:
         held.append(p)
@@ -240,10 +242,9 @@ def _batches(pairs: Iterable[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
     yield _batch(held)
 
 
-def _batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([max(p[:2]) for p in pairs], pa.int64()),
-                                       pa.array([min(p[:2]) for p in pairs], pa.int64()),
-                                       pa.array([p[2] for p in pairs], pa.int32())], names=["a", "b", "have"])
+def _batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()),
+                                       pa.array([min(p) for p in pairs], pa.int64())], names=["a", "b"])
 
 
 def _likely_pairs(percent: int, kinds: int):
@@ -288,10 +289,13 @@ def _likely(rows: DataFrame, percent: int, kinds: int) -> DataFrame:
     return best.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def _possible_pairs(percent: int):
-    """Every pair of different classes that the trie cannot rule out."""
+def _possible_pairs(percent: int, picks: int | None):
+    """Pairs of different classes that the trie cannot rule out: of each document and class the ``picks`` with the
+    greatest overlap so far, or every one."""
     def pairs(batches):
         for rows in _groups(batches):
+            if not any(r["probe"] for r in rows):
+                continue  # one class
             trie, often = Trie(percent), Counter()
             for r in rows:
                 often.update(r["rest"])
@@ -300,9 +304,18 @@ def _possible_pairs(percent: int):
                 if not r["probe"]:
                     trie.add(r["entry"])
             for r in sorted((r for r in rows if r["probe"]), key=lambda r: not r["index"]):
+                best: dict[int, list] = {}
                 for y, have in trie.probe(r["entry"]):
-                    if y[2] != r["comp"]:
-                        yield r["sig"], y[0], have
+                    if y[2] == r["comp"]:
+                        continue
+                    if picks is None:
+                        yield r["sig"], y[0]
+                        continue
+                    held = best.setdefault(y[2], [])
+                    heappush(held, (have, y[0]))
+                    if len(held) > picks:
+                        heappop(held)
+                yield from ((r["sig"], y) for held in best.values() for _, y in held)
                 if r["index"]:
                     trie.add(r["entry"])
     return lambda batches: _batches(pairs(batches))
@@ -416,10 +429,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.col("token"), F.col("block")).sortWithinPartitions("token", "block", "n", "sig")
 
 
-def _tried(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, have): candidate pairs and the greatest overlap found between their prefixes."""
-    found = _grouped(rows).mapInArrow(_possible_pairs(percent), "a long, b long, have int")
-    return found.groupBy("a", "b").agg(F.max("have").alias("have"))
+def _tried(rows: DataFrame, percent: int, picks: int | None) -> DataFrame:
+    return _grouped(rows).mapInArrow(_possible_pairs(percent, picks), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, text_of, words: int, percent: int) -> DataFrame:
@@ -506,24 +517,23 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # documents that share many shingles meet at the first of them
     rows = rows.withColumn("first", F.min("token").over(Window.partitionBy("members"))).where("token = first")
     rows = reliable_checkpoint(rows).join(nodes.select("sig", F.col("toks.token").alias("toks")), "sig")
-    rows = rows.select("token", "block", "sig", "n", "comp", "probe", "index",
-                       F.expr("filter(toks, t -> t > token)").alias("rest"))
-    # two classes need one link: their most promising pairs are compared first, and what is left only where
-    # the classes are still apart
-    pending = reliable_checkpoint(_tried(rows, percent))
+    rows = rows.join(checked_broadcast(open_.select("token", "top")), "token")
+    rows = reliable_checkpoint(rows.select("token", "block", "sig", "n", "comp", "top", "index",
+                                           F.expr("filter(toks, t -> t > token)").alias("rest")))
+    # two classes need one link: a document's most promising pairs with a class are compared first, and all that
+    # are left only where the classes are still apart
+    done = None
     for picks in (*PICKS, None):
-        name = [labels.select(F.col("sig").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b")]
-        pending = pending.join(name[0], "a").join(name[1], "b").where("ca <> cb").select("a", "b", "have", "ca", "cb")
-        now = pending
-        if picks:
-            pending = reliable_checkpoint(pending)
-            pick = F.max(F.struct("have", "a", "b")).alias("p")
-            now = reliable_checkpoint(pending.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), F.pmod(
-                F.xxhash64("a", "b"), F.lit(picks)).alias("pick")).agg(pick).select("p.a", "p.b"))
-        edges = edges.unionByName(_verified(now.select("a", "b"), text_of, words, percent))
+        name = [labels.select(F.col("sig").alias(x), F.col("comp").alias(f"now_{x}")) for x in ("comp", "top")]
+        now = rows.join(name[0], "comp").join(name[1], "top").withColumn("probe", F.expr("now_comp <> now_top"))
+        now = now.where("probe or index").select("token", "block", "sig", "n", F.col("now_comp").alias("comp"), "probe",
+                                                 "index", "rest")
+        pairs = _tried(now, percent, picks)
+        pairs = reliable_checkpoint(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        edges = edges.unionByName(_verified(pairs, text_of, words, percent))
         if picks:
             labels = relabelled(edges)
-            pending = pending.join(now, ["a", "b"], "left_anti").select("a", "b", "have")
+            done = pairs if done is None else done.unionByName(pairs)
 
     labels = components(edges).withColumnRenamed("node", "sig")
     keyed = base.select("id", "n", "sig").join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
