@@ -182,22 +182,14 @@ def q_column_cardinality(spark, sf):
 
 
 def q_avg_text_length(spark, sf):
-    frames = []
-    for t in ["documents", "conversations", "pages", "benchmark"]:
-        df = _t(spark, sf, t)
-        strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-        frames.append(df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("column_name"),
-                                                                F.length(c(s)).alias("len")) for s in strings])).alias("s"))
-                      .groupBy("s.column_name").agg(r6(F.avg("s.len")).alias("avg_len"))
-                      .select(F.lit(t).alias("table_name"), "column_name", "avg_len"))
-    return _union(frames)
+    tables = {t: _t(spark, sf, t) for t in ["documents", "conversations", "pages", "benchmark"]}
+    return column_stats_of(tables).where("family = 'string'").select(
+        "table_name", F.col("column").alias("column_name"), r6(F.col("avg_len")).alias("avg_len"))
 
 
 def q_null_columns(spark, sf):
-    df = _nulled_events(spark, sf)
-    return _union(df.agg((F.count_if(c(x).isNull()) > 0).alias("has_missing"),
-                         F.count_if(c(x).isNull()).alias("n_null")).select(
-        F.lit(x).alias("column_name"), "has_missing", "n_null") for x in df.columns)
+    stats = column_stats_of({"events": _nulled_events(spark, sf)})
+    return stats.select(F.col("column").alias("column_name"), (F.col("n_null") > 0).alias("has_missing"), "n_null")
 
 
 def q_obs_per_entity(spark, sf):
