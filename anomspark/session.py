@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -38,6 +39,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return prepare_session(builder.getOrCreate())
 
 
+#: Queries prepare the session from several threads; what is done once per context is done by one of them.
+_ONCE = threading.RLock()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
@@ -46,18 +51,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     system temp dir is chosen; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not configured:
-        if not is_local(spark):
-            # a machine-local folder would not survive the loss of the executor that wrote it
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        configured = tempfile.mkdtemp(prefix="anomspark-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    with _ONCE:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
+            "spark.checkpoint.dir", None)
+        if not configured:
+            if not is_local(spark):
+                # a machine-local folder would not survive the loss of the executor that wrote it
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+            configured = tempfile.mkdtemp(prefix="anomspark-ckpt-")
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
 
 
 def default_parallelism(spark: SparkSession) -> int:
@@ -86,11 +92,12 @@ def reliable_checkpoint(df):
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Settings the results depend on, applied to a session someone else created:
     naive timestamps are read as UTC (as the reference's epoch conversion does), and a
-    reliable checkpoint directory must exist."""
-    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    reliable checkpoint directory must exist.  May be called from several threads at once."""
+    with _ONCE:
+        if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ensure_checkpoint_dir(spark)
+        ship_package(spark)
     return spark
 
 
@@ -101,12 +108,13 @@ def ship_package(spark: SparkSession) -> None:
     executor, so a driver started from any folder works.
     """
     sc = spark.sparkContext
-    if getattr(sc, "_anomspark_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp(prefix="anomspark-code-")) / "anomspark.zip"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, str(f.relative_to(root.parent)))
-    sc.addPyFile(str(out))
-    sc._anomspark_shipped = True
+    with _ONCE:  # a second archive of the same name is refused
+        if getattr(sc, "_anomspark_shipped", False):
+            return
+        root = Path(__file__).resolve().parent
+        out = Path(tempfile.mkdtemp(prefix="anomspark-code-")) / "anomspark.zip"
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, str(f.relative_to(root.parent)))
+        sc.addPyFile(str(out))
+        sc._anomspark_shipped = True
