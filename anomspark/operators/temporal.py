@@ -341,17 +341,35 @@ def adf_test(long: DataFrame, block_rows: int = ADF_BLOCK_ROWS):
     return out
 
 
-def _ols_from_gram(g: np.ndarray, cols: list[int], target: int, nobs: int):
-    xtx = g[np.ix_(cols, cols)]
-    xty = g[cols, target]
-    yty = g[target, target]
-    try:
-        beta = np.linalg.solve(xtx, xty)
-        inv = np.linalg.inv(xtx)
-    except np.linalg.LinAlgError:
-        return None
-    ssr = max(yty - beta @ xty, 0.0)
-    return beta, inv, ssr
+def _nested_ssr(g: np.ndarray, order: list[int]) -> list[float]:
+    """Residual sums of squares of the last column of ``order`` on the first 1, 2, ... others, by one elimination
+    of the Gram matrix; shorter where a column depends on those before it.
+
+    Element-wise on purpose: the linear algebra library may stand still in its own threads in the driver."""
+    a = g[np.ix_(order, order)].astype(float)
+    out = []
+    for k in range(len(order) - 1):
+        if a[k, k] <= 0:
+            break
+        a[k + 1:, k + 1:] -= np.multiply.outer(a[k + 1:, k] / a[k, k], a[k, k + 1:])
+        out.append(max(float(a[-1, -1]), 0.0))
+    return out
+
+
+def _solved(a: np.ndarray, rhs: np.ndarray) -> np.ndarray | None:
+    """Solution of the small system by elimination with row exchanges (element-wise, see above); None if singular."""
+    m = np.concatenate([a, rhs], axis=1).astype(float)
+    k = len(a)
+    for i in range(k):
+        at = i + int(np.argmax(np.abs(m[i:, i])))
+        if m[at, i] == 0:
+            return None
+        m[[i, at]] = m[[at, i]]
+        m[i + 1:, i:] -= np.multiply.outer(m[i + 1:, i] / m[i, i], m[i, i:])
+    x = np.zeros(rhs.shape)
+    for i in range(k - 1, -1, -1):
+        x[i] = (m[i, k:] - (m[i, i + 1:k, None] * x[i + 1:]).sum(axis=0)) / m[i, i]
+    return x
 
 
 def _adf_from_sums(col: str, n: int, sums: LagSums) -> dict:
@@ -365,16 +383,12 @@ def _adf_from_sums(col: str, n: int, sums: LagSums) -> dict:
     target = maxlag + 2
     nobs = n - 1 - maxlag
     best = None
-    for p in range(0, maxlag + 1):
-        cols = [0, 1] + list(range(2, 2 + p))
-        fit = _ols_from_gram(g_common, cols, target, nobs)
-        if fit is None or nobs <= 0:
-            continue
-        ssr = fit[2]
+    ssrs = _nested_ssr(g_common, [*range(maxlag + 2), target]) if nobs > 0 else []
+    for p, ssr in enumerate(ssrs[1:]):
         if ssr <= 0:
             continue
         llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1)
-        aic = -2 * llf + 2 * len(cols)
+        aic = -2 * llf + 2 * (p + 2)
         if best is None or aic < best[0]:
             best = (aic, p)
     if best is None:
@@ -383,12 +397,14 @@ def _adf_from_sums(col: str, n: int, sums: LagSums) -> dict:
     g = sums.gram(p + 1, p)
     nobs = n - 1 - p
     cols = [1, 0] + list(range(2, 2 + p))
-    fit = _ols_from_gram(g, cols, p + 2, nobs)
+    first = np.eye(len(cols))[:, :1]
+    fit = _solved(g[np.ix_(cols, cols)], np.concatenate([g[cols, p + 2][:, None], first], axis=1))
     if fit is None or nobs - len(cols) <= 0:
         return res
-    beta, inv, ssr = fit
+    beta, inv = fit[:, 0], fit[:, 1]
+    ssr = max(float(g[p + 2, p + 2] - (beta * g[cols, p + 2]).sum()), 0.0)
     sigma2 = ssr / (nobs - len(cols))
-    se = math.sqrt(max(sigma2 * inv[0, 0], 0.0))
+    se = math.sqrt(max(sigma2 * inv[0], 0.0))
     if se == 0:
         return res
     tau = beta[0] / se

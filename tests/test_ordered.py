@@ -132,3 +132,26 @@ def test_group_index_counts_null_as_a_group(spark):
     out = group_index(df, ["k"], ["g"], "idx", num_partitions=3).collect()
     for g in (None, "a"):
         assert sorted(r["idx"] for r in out if r["g"] == g) == list(range(sum(r["g"] == g for r in out)))
+
+
+def test_adf_needs_no_linear_algebra_library(monkeypatch):
+    """Its threads can stand still in the driver: long series (many lags) left a run without an end."""
+    import numpy as np
+
+    from anomspark.operators import temporal as TM
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(400, 9))
+    g = a.T @ a
+    want = [np.linalg.lstsq(a[:, :k], a[:, 8], rcond=None)[1][0] for k in range(1, 9)]
+    x = np.linalg.solve(g[:8, :8], np.stack([g[:8, 8], np.eye(8)[0]], axis=1))
+    y = np.cumsum(rng.normal(size=300))
+    d = np.diff(y, prepend=y[0])
+    p = TM.adf_maxlag(300)
+    lags = {h: (d[1 + h:] @ d[1:300 - h], y[h:299] @ d[1:300 - h]) for h in range(p + 1)}
+    lags[-1] = (y[:-1].sum(), y[:-1] @ y[:-1])
+    monkeypatch.setattr(np, "linalg", None)
+    assert np.allclose(TM._nested_ssr(g, list(range(9))), want)
+    assert np.allclose(TM._solved(g[:8, :8], np.stack([g[:8, 8], np.eye(8)[0]], axis=1)), x)
+    assert TM._solved(np.zeros((2, 2)), np.ones((2, 1))) is None
+    got = TM._adf_from_sums("y", 300, TM.LagSums(300, p, lags, y[:p + 2], y[300 - p - 2:]))
+    assert got["usedlag"] is not None and got["adf_stat"] is not None
