@@ -45,7 +45,7 @@ BATCH = 512
 SLACK = 1e-7
 SALTS = 64
 
-_SENT = "block long, asks boolean, idx long, tie long, bound double, x array<double>"
+_SENT = "block long, asks boolean, idx long, tie long, bound double, x binary"
 _FOUND = "qidx long, nidx long, tie long, dist double"
 
 
@@ -53,6 +53,24 @@ def _vectors(col: pa.Array, rows: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
+def _pack(x: np.ndarray) -> pa.Array:
+    """Vectors as bytes to send around: 4 bytes an entry where all entries of a row are single-precision numbers
+    (nothing is rounded), else 8."""
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    exact = (short == x).all(axis=1)
+    wide = x.astype("<f8", copy=False)
+    return pa.array([(short if e else wide)[i].tobytes() for i, e in enumerate(exact)], pa.binary())
+
+
+def _unpack(col: pa.Array, d: int) -> np.ndarray:
+    """The vectors of :func:`_pack`, of ``d`` entries."""
+    raw = col.to_pylist()
+    if all(len(r) == 4 * d for r in raw):
+        return np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), d).astype(float)
+    return np.array([np.frombuffer(r, "<f4" if len(r) == 4 * d else "<f8") for r in raw], float)
+
+
 def _apart(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distances between the rows of both (to within the slack), and the slack of each row of ``q``."""
     qq, pp = (q * q).sum(axis=1), (p * p).sum(axis=1)
@@ -84,7 +102,7 @@ def _assign(pivots):
                 cell.append(near)
                 away.append(d[np.arange(len(near)), near])
             both = [np.concatenate(a) if a else np.zeros(0) for a in (cell, away)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both[0].astype(np.int64)), pa.array(both[1].astype(float))],
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _pack(x), pa.array(both[0].astype(np.int64)), pa.array(both[1].astype(float))],
                                              names=[*b.schema.names, "cell", "away"])
     return run
 
@@ -130,7 +148,7 @@ def _route(layout, k: int, second: bool):
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
-                low = lay.bounds(_vectors(b.column(2), b.num_rows), b.column(3).to_numpy())
+                low = lay.bounds(_unpack(b.column(2), lay.pivots.shape[1]), b.column(3).to_numpy())
                 to = lay.nearest(low, k)
                 if second:
                     to = ~to & (low <= b.column(4).to_numpy()[:, None])
@@ -174,7 +192,7 @@ def _nearest(x: np.ndarray, idx: np.ndarray, tie: np.ndarray, q: np.ndarray, me:
     return tuple(np.concatenate(a) for a in zip(*out, strict=True))
 
 
-def _search(k: int):
+def _search(k: int, d: int):
     """Rows sorted by (block, asks): a block's rows come first, then its queries stream by."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, data = None, [], None
@@ -192,11 +210,11 @@ def _search(k: int):
                     continue
                 if data is None:
                     rows = pa.concat_batches(held)
-                    data = _vectors(rows.column(5), rows.num_rows), rows.column(2).to_numpy(), rows.column(3).to_numpy()
+                    data = _unpack(rows.column(5), d), rows.column(2).to_numpy(), rows.column(3).to_numpy()
                 for at in range(0, part.num_rows, BATCH):
                     s = part.slice(at, BATCH)
                     me = s.column(2).to_numpy()
-                    i, j, dist = _nearest(*data, _vectors(s.column(5), s.num_rows), me, s.column(4).to_numpy(), k)
+                    i, j, dist = _nearest(*data, _unpack(s.column(5), d), me, s.column(4).to_numpy(), k)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(me[i]), pa.array(data[1][j]), pa.array(data[2][j]), pa.array(dist)],
                         names=["qidx", "nidx", "tie", "dist"])
@@ -207,7 +225,7 @@ def _visits(rows: DataFrame, asks: DataFrame, layout, k: int, second: bool) -> D
     sent = asks.select("idx", "tie", "x", "cell", "bound").mapInArrow(_route(layout, k, second), _SENT)
     held = rows.select("block", F.lit(False).alias("asks"), "idx", "tie", F.lit(0.0).alias("bound"), "x")
     both = held.unionByName(sent).repartition("block").sortWithinPartitions("block", "asks")
-    return both.mapInArrow(_search(k), _FOUND)
+    return both.mapInArrow(_search(k, layout.value.pivots.shape[1]), _FOUND)
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
@@ -239,9 +257,10 @@ def candidates(base: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def blocks_of(rows: DataFrame, pivots, block_rows: int) -> DataFrame:
-    """``rows`` with ``cell``, distance ``away`` from its pivot, and ``block`` (at most ``block_rows`` rows)."""
+    """``rows`` with ``cell``, distance ``away`` from its pivot, and ``block`` (at most ``block_rows`` rows);
+    ``x`` is packed into bytes."""
     cells = rows.select("idx", "tie", "asks", "x").mapInArrow(
-        _assign(pivots), "idx long, tie long, asks boolean, x array<double>, cell long, away double")
+        _assign(pivots), "idx long, tie long, asks boolean, x binary, cell long, away double")
     placed = group_index(cells, ["away", "idx"], ["cell"], "place")
     return reliable_checkpoint(placed.withColumn(
         "block", F.shiftleft("cell", 40) + F.expr(f"place div {block_rows}")).drop("place"))

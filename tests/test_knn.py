@@ -83,3 +83,15 @@ def test_bounds_never_exceed_the_distance():
         real = np.sqrt(((x[:, None] - x[m][None]) ** 2).sum(2)).min(1)
         assert (low[:, b] <= real).all()
     assert (low > 0).mean() > .5
+
+
+def test_vectors_travel_short_and_unrounded():
+    single = np.random.default_rng(4).normal(size=(30, 8)).astype(np.float32).astype(float)
+    packed = L._pack(single)
+    assert {len(v) for v in packed.to_pylist()} == {32} and (L._unpack(packed, 8) == single).all()
+    mixed = single.copy()
+    mixed[::3, 2] = 0.1 + 1e300
+    mixed[1, 0] = np.nan
+    packed = L._pack(mixed)
+    assert [len(v) for v in packed.to_pylist()][:4] == [64, 64, 32, 64]
+    assert np.array_equal(L._unpack(packed, 8), mixed, equal_nan=True)
