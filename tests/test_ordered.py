@@ -135,7 +135,7 @@ def test_group_index_counts_null_as_a_group(spark):
 
 
 def test_adf_needs_no_linear_algebra_library(monkeypatch):
-    """Its threads can stand still in the driver: long series (many lags) left a run without an end."""
+    """Profiles of long series (many lags) stood still in ``numpy.linalg.inv`` on the driver."""
     import numpy as np
 
     from anomspark.operators import temporal as TM
