@@ -75,18 +75,18 @@ def encode(ids: np.ndarray, first: np.ndarray, length: np.ndarray, code: np.ndar
     size = (total[first[1:]] - total[first[:-1]] + 7) // 8
     start = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
     n = np.diff(first)
-    inside = total[:-1] - np.repeat(total[first[:-1]], n)
-    at = inside + np.repeat(start[:-1] * 8, n)
+    at = total[:-1] + np.repeat(start[:-1] * 8 - total[first[:-1]], n)
     word = at >> 5
     place = code[ids] << (np.uint64(64) - (at & 31).astype(np.uint64) - bits.astype(np.uint64))
     words = int(start[-1] + 3) // 4 + 2
     # codes do not overlap, so sums are unions of bits; 32-bit parts are exact in doubles
     out = np.bincount(word, (place >> np.uint64(32)).astype(np.float64), words)
     out[1:] += np.bincount(word, (place & np.uint64(0xFFFFFFFF)).astype(np.float64), words)[:-1]
-    index = np.arange(len(ids)) - np.repeat(first[:-1], n)
-    cut = np.flatnonzero(index % STEP == 0)
-    marks = np.concatenate((np.zeros(1, np.int64), np.cumsum((n + STEP - 1) // STEP)))
-    return out.astype(np.uint32).astype(">u4").tobytes()[:int(start[-1])], start, inside[cut].astype(np.uint32), marks
+    stretches = (n + STEP - 1) // STEP
+    marks = np.concatenate((np.zeros(1, np.int64), np.cumsum(stretches)))
+    cut = np.repeat(first[:-1], stretches) + STEP * (np.arange(int(marks[-1])) - np.repeat(marks[:-1], stretches))
+    inside = total[cut] - np.repeat(total[first[:-1]], stretches)
+    return out.astype(np.uint32).astype(">u4").tobytes()[:int(start[-1])], start, inside.astype(np.uint32), marks
 
 
 def decode(data: bytes, start: np.ndarray, n: np.ndarray, mark: np.ndarray, symbol: np.ndarray, size: np.ndarray

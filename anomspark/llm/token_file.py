@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from anomspark.llm.textnum import slices
 
 TOKENIZER, END, FORMAT = "word_bpe_49k.json", 1, "huffman-blocks-1"
 BLOCK_IDS, PART_BYTES, WORD_TABLE = 1 << 16, 64 << 20, 600_000
+#: Bytes of text whose different words are looked up together (or one longer text).
+TEXT_BYTES = 4 << 20
 #: A word that ends in plain punctuation after a letter or digit is two pieces for the tokenizer.  Only
 #: letters that its normal form leaves single letters count (U+0130 and others end in a combining mark there).
 TAIL = re.compile("(?<=[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E])[.,!?#*$%&|;:]+\\Z")
@@ -62,44 +65,112 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[bytes, bytes] = {}
         self.sign, = self.tokenizer.encode(SIGN.decode(), add_special_tokens=False).ids
+        #: Ids that end a word, if the tokenizer marks them.
+        self.last = np.zeros(1 << 16, bool)
+        if mark := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
 
     def _fill(self, missing: list[bytes]) -> None:
-        """Many pieces are tokenized as one text, with a sign between them that stands alone and is one token."""
+        """Many pieces are tokenized as one text.  Between plain words stands a space, and each ends with the one
+        token that ends a word; between others stands a sign that is one token."""
         alone = [w for w in missing if SIGN in w or b"<|" in w]
-        texts = [w.decode() for w in alone]
         plain = [w for w in missing if SIGN not in w and b"<|" not in w] if alone else missing
-        texts += [SPACED.join(plain[i:i + TOGETHER]).decode() for i in range(0, len(plain), TOGETHER)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self.table.update((w, np.array(x, np.uint16).tobytes()) for w, x in zip(alone, found, strict=False))
-        for i, x in zip(range(0, len(plain), TOGETHER), found[len(alone):], strict=True):
-            ids = np.array(x, np.uint16)
+        words = [w for w in plain if w.isalpha()] if self.last.any() else []  # ASCII letters alone
+        signed = [w for w in plain if not w.isalpha()] if words else plain
+        for w, e in zip(alone, self._encode([w.decode() for w in alone]), strict=True):
+            self.table[w] = np.array(e.ids, np.uint16).tobytes()
+        for some, e in self._together(words, b" "):
+            ids = np.array(e.ids, np.uint16)
+            ends = 2 * np.flatnonzero(self.last[ids]) + 2
+            if len(ends) != len(some):  # this tokenizer cuts words of letters
+                signed += some
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.table.update((w, raw[lo:hi]) for w, lo, hi in zip(some, [0, *ends[:-1]], ends, strict=True))
+        for some, e in self._together(signed, SPACED):
+            ids = np.array(e.ids, np.uint16)
             ends = 2 * np.flatnonzero(ids == self.sign)
-            raw, some = ids.tobytes(), plain[i:i + TOGETHER]
+            raw = ids.tobytes()
             self.table.update((w, raw[lo:hi]) for w, lo, hi in zip(
                 some, [0, *(ends + 2).tolist()], [*ends.tolist(), len(raw)], strict=True))
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """Ids and the end id of each text.  ``bytes.split`` cuts at the white space of ASCII alone."""
-        words = [(t.encode("utf-8", "replace") if NO_FOLD.search(t) else t.encode("utf-8", "replace").lower()).split()
-                 for t in texts]
-        new = set().union(*words) - self.table.keys()
+    def _together(self, pieces: list[bytes], between: bytes):
+        parts = [pieces[i:i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        return zip(parts, self._encode([between.join(x).decode() for x in parts]), strict=True)
+
+    def _encode(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some different words."""
+        found = list(map(self.table.get, words))
+        new = [w for w, x in zip(words, found, strict=True) if x is None]
+        if not new:
+            return found
         if len(self.table) + len(new) > WORD_TABLE:
             self.table.clear()
-            new = set().union(*words)
-        if new:
-            split = {w: cut for w in new if w[-1] in TAILS and (cut := _tail(w))}
-            pieces = {p for cut in split.values() for p in cut} | (new - split.keys())
-            self._fill(list(pieces - self.table.keys()))
-            self.table.update((w, self.table[x] + self.table[y]) for w, (x, y) in split.items())
-        end = struct.pack("<H", END)
-        return [b"".join(map(self.table.__getitem__, ws)) + end for ws in words]
+            new = words
+        split = {w: cut for w in new if w[-1] in TAILS and (cut := _tail(w))}
+        pieces = {p for cut in split.values() for p in cut}.union(w for w in new if w not in split)
+        self._fill([p for p in pieces if p not in self.table])
+        self.table.update((w, self.table[x] + self.table[y]) for w, (x, y) in split.items())
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = self.table[words[i]]
+        return found
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, one after the other, and the first id of each (one more at the
+        end).  Arrow cuts at the white space of ASCII alone and numbers the different words."""
+        words = pc.ascii_split_whitespace(_folded(texts))
+        n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        # a gap gives empty words at the ends of a text, which have no ids
+        coded = words.flatten().dictionary_encode()
+        names, which = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        blank = names.index(b"") if b"" in names else len(names)
+        found = self.ids(names[:blank] + names[blank + 1:])
+        found[blank:blank] = [b""] * (blank < len(names))
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 1
+        raw, start = np.frombuffer(b"".join(found), np.uint16), np.cumsum(size) - size
+
+        per_word = size[which]
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(per_word)))
+        last = np.cumsum(n_words)
+        first = np.concatenate((np.zeros(1, np.int64), upto[last])) + np.arange(len(texts) + 1)
+        out = np.empty(int(upto[-1]) + len(texts), np.uint16)
+        ends = np.zeros(len(out), bool)
+        ends[first[1:] - 1] = True
+        out[ends] = END
+        out[~ends] = raw[np.repeat(start[which] - upto[:-1], per_word) + np.arange(int(upto[-1]))]
+        return out, first
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids and the end id of each text."""
+        out, first = self.flat(pa.array([t.encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string()))
+        raw = out.tobytes()
+        return [raw[2 * i:2 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z folded where that is safe; most batches hold nothing that forbids it (the bytes CC and CD
+    lead the combining marks)."""
+    raw = b"".join(texts.cast(pa.binary()).to_pylist())
+    if not (b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw):
+        return pc.ascii_lower(texts)
+    return pc.if_else(pa.array([bool(NO_FOLD.search(t)) for t in texts.to_pylist()], pa.bool_()), texts,
+                      pc.ascii_lower(texts))
 
 
-TAILS = frozenset(b".,!?#*$%&|;:")
+TAILS = b".,!?#*$%&|;:"
 
 
 def _tail(word: bytes) -> tuple[bytes, bytes] | None:
     """The word and the punctuation after it, if they are pieces of their own."""
+    head = word.rstrip(TAILS)
+    if not head:
+        return None
+    if head[-1] < 128:
+        return (head, word[len(head):]) if head[-1:].isalnum() else None
     text = word.decode()
     m = TAIL.search(text)
     return (text[:m.start()].encode(), m[0].encode()) if m else None
@@ -112,16 +183,21 @@ def _tokenize(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _WORD_IDS:  # one table for each worker process
             _WORD_IDS[path] = WordIds(path)
-        for b in slices(batches, "text"):
-            ids = pa.array(_WORD_IDS[path].texts(b.column(0).to_pylist()), pa.binary())
+        for b in slices(batches, "text", TEXT_BYTES):
+            ids, first = _WORD_IDS[path].flat(b.column(0))
+            ids = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((2 * first).astype(np.int32)),
+                                                              pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), ids], names=["id", "part", "ids"])
     return run
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = col.to_pylist()
-    first = np.concatenate(([0], np.cumsum([len(x) // 2 for x in raw]))).astype(np.int64)
-    return np.frombuffer(b"".join(raw), np.uint16), first
+    """Ids of all rows and the first id of each, read from the column's own memory; no row is null."""
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64)
+    ids = np.frombuffer(col.buffers()[2], np.uint8)[at[0]:at[-1]]
+    if col.buffers()[2].address + at[0] & 1:
+        ids = ids.copy()
+    return ids.view(np.uint16), (at - at[0]) >> 1
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -489,3 +490,24 @@ def test_quality_scores_of_odd_rows(spark, docs, empty):
     assert quality_classifier.score(empty, model).count() == 0
     labels = spark.createDataFrame([(None, 1), (1, None), (99, 1)], "doc_id long, quality int")
     assert quality_classifier.fit(docs, labels)[1] == 30.0  # no usable label
+
+
+def test_token_batches_ask_for_each_word_once(monkeypatch):
+    """Words of a batch are looked up once, whatever their number; a full table, white space at the ends, copies and
+    empty texts change no ids."""
+    texts = [" the cat,\n sat\x0bon ", "", "  ", "THE Cat, the cat, don't", "É É. <|endoftext|> THE", "\x85x \x1c y"] * 50
+    ids = token_file.WordIds(token_file.tokenizer_path())
+    want = [e.ids + [1] for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    asked, lookup = [], ids.ids
+    monkeypatch.setattr(ids, "ids", lambda words: asked.extend(words) or lookup(words))
+    for part in (texts, [x for x in texts if "<" not in x]):
+        out, first = ids.flat(pa.array(["-", *part], pa.string()).slice(1))
+        goal = [x for t, x in zip(texts, want) if t in part]
+        assert out.tolist() == sum(goal, []) and np.diff(first).tolist() == [len(x) for x in goal]
+        assert len(asked) == len(set(asked)) and b"" not in asked
+        asked.clear()
+    monkeypatch.setattr(token_file, "WORD_TABLE", 4)
+    assert [np.frombuffer(x, np.uint16).tolist() for i in range(0, 300, 7) for x in ids.texts(texts[i:i + 7])] == want
+    col = pa.array([b"skip", *ids.texts(texts)], pa.binary()).slice(1)
+    flat, first = token_file._flat(col)
+    assert flat.tolist() == sum(want, []) and first[-1] == len(flat)
