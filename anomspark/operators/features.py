@@ -248,7 +248,7 @@ def fit_transform(df: DataFrame, steps: dict[str, Any], key: Sequence[str],
             share = freq.where(F.col("column") == n).select(
                 *[F.col(x).alias(y) for x, y in zip(DIGEST, d, strict=True)],
                 F.col("share").cast("float").cast("double").alias(f"__share_{i}"))
-            own = digest(c(n), True)
+            own = digest(c(n), T.StringType())
             match = [F.col(y) == x for x, y in zip(own, d, strict=True)]
             work = work.join(by_digest(share, counts[n]), match[0] & match[1] & match[2], "left").drop(*d)
             cur[n] = F.coalesce(F.col(f"__share_{i}"), F.lit(0.0))

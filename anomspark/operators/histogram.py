@@ -34,21 +34,30 @@ def one_zero(df: DataFrame, name: str) -> Column:
     return c(name)
 
 
-def digest(value: Column, is_string: bool) -> list[Column]:
-    """128 bits of hash and the length of a text (0 for other types), named as :data:`DIGEST`."""
-    size = F.length(value) if is_string else F.lit(0)
+#: Types whose ``xxhash64`` differs for different values: all of at most 64 bits.
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+NARROW = (*INTEGRAL, T.BooleanType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def digest(value: Column, dt: T.DataType) -> list[Column]:
+    """128 bits of hash and the length of a text (0 for other types), named as :data:`DIGEST`.  A value of at most
+    64 bits needs one number, an integer stands for itself: the rows shrink in the shuffle."""
+    if isinstance(dt, NARROW) or (isinstance(dt, T.DecimalType) and dt.precision <= 18):
+        d1 = value.cast("long") if isinstance(dt, INTEGRAL) else F.xxhash64(value)
+        return [d1.alias("d1"), F.lit(0).cast("long").alias("d2"), F.lit(0).alias("size")]
+    size = F.length(value) if isinstance(dt, T.StringType) else F.lit(0)
     return [F.xxhash64(value).alias("d1"), F.xxhash64(F.lit(_SEED), value).alias("d2"), size.alias("size")]
 
 
 def digest_cells(df: DataFrame, columns: Sequence[str], facts=None, keys=None, label=None) -> DataFrame:
     """(column, d1, d2, size, ...), one row for each non-null cell; for :func:`digest_histogram`.
-    ``label(name)`` may name a column otherwise."""
+    ``label(name)`` may name or number a column otherwise."""
     cells = []
     for n in columns:
         more = [*(facts(n) if facts else []), *(keys(n) if keys else [])]
         cells.append(F.when(c(n).isNotNull(), F.struct(
             F.lit(label(n) if label else n).alias("column"),
-            *digest(one_zero(df, n), isinstance(df.schema[n].dataType, T.StringType)), *[e.alias(x) for x, e in more])))
+            *digest(one_zero(df, n), df.schema[n].dataType), *[e.alias(x) for x, e in more])))
     return df.select(F.explode(F.array(*cells)).alias("cell")).where("cell is not null").select("cell.*")
 
 
@@ -90,7 +99,7 @@ def modes_of(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     for n in rows:
         mine = by_digest(tied.where(F.col("column") == n).drop("column"), rows[n])
         cells = df.where(c(n).isNotNull()).select(
-            one_zero(df, n).cast("string").alias("value"), *digest(one_zero(df, n), isinstance(df.schema[n].dataType, T.StringType)))
+            one_zero(df, n).cast("string").alias("value"), *digest(one_zero(df, n), df.schema[n].dataType))
         out[n] = cells.join(mine, DIGEST, "left_semi").agg(F.min("value")).first()[0]
     return out
 
