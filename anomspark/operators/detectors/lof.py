@@ -170,26 +170,31 @@ def _nearest(x: np.ndarray, idx: np.ndarray, tie: np.ndarray, q: np.ndarray, me:
     sq, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
     d2 = qq[:, None] + sq[None, :] - 2.0 * (q @ x.T)
     d2[me[:, None] == idx[None, :]] = np.inf
+    top = sq.max()
+    # most visits of the second round find nothing: queries without a row within their bound (and rounding) are done
+    live = np.flatnonzero(~(d2.min(axis=1) > bound * bound + 1e-9 * (qq + top)))
+    if len(live) < len(q):
+        d2, q, qq, me, bound = d2[live], q[live], qq[live], me[live], bound[live]
+    if not len(live):
+        return live, live, np.zeros(0)
     kk = min(k, len(x))
     margin = min(kk + 8, len(x))
-    short = np.argpartition(d2, margin - 1, axis=1)[:, :margin]
+    some = np.argpartition(d2, min(margin, len(x) - 1), axis=1)
+    short = some[:, :margin]
     diff = q[:, None, :] - x[short]
     exact = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
     exact[idx[short] == me[:, None]] = np.inf
-    out = []
-    for r in range(len(q)):
-        order = np.lexsort((tie[short[r]], exact[r]))[:kk]
-        row, dist = short[r, order], exact[r, order]
-        if margin < len(x):
-            rest = np.partition(d2[r], margin)[margin]
-            if rest - 1e-9 * (qq[r] + sq.max()) <= dist[-1] * dist[-1]:
-                full = np.sqrt(((x - q[r]) ** 2).sum(axis=1))
-                full[idx == me[r]] = np.inf
-                row = np.lexsort((tie, full))[:kk]
-                dist = full[row]
-        ok = np.isfinite(dist) & (dist <= bound[r])
-        out.append((np.full(ok.sum(), r), row[ok], dist[ok]))
-    return tuple(np.concatenate(a) for a in zip(*out, strict=True))
+    order = np.lexsort((tie[short], exact), axis=1)[:, :kk]
+    row, dist = np.take_along_axis(short, order, 1), np.take_along_axis(exact, order, 1)
+    if margin < len(x):
+        rest = np.take_along_axis(d2, some[:, margin:margin + 1], 1)[:, 0]
+        for r in np.flatnonzero(rest - 1e-9 * (qq + top) <= dist[:, -1] * dist[:, -1]):
+            full = np.sqrt(((x - q[r]) ** 2).sum(axis=1))
+            full[idx == me[r]] = np.inf
+            row[r] = np.lexsort((tie, full))[:kk]
+            dist[r] = full[row[r]]
+    i, j = np.nonzero(np.isfinite(dist) & (dist <= bound[:, None]))
+    return live[i], row[i, j], dist[i, j]
 
 
 def _search(k: int, d: int):

@@ -91,6 +91,8 @@ def group_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
     same = F.col("_pid") == F.col("_p")
     for i, g in enumerate(group_cols):  # null is a group of its own
         same &= c(g).eqNullSafe(F.col(f"_g{i}"))
+    if not group_cols:  # one row for each range partition: broadcast, else the rows were shuffled once more to meet it
+        side = F.broadcast(reliable_checkpoint(side))
     out = ranged.join(side, same).drop("_p", *[f"_g{i}" for i in range(len(group_cols))])
     return (out.withColumn(idx_col, (F.col("_off") + F.col("_lpos") - F.col("_start")).cast("long"))
             .drop("_pid", "_lpos", "_start", "_off"))
@@ -103,8 +105,8 @@ def with_row_id(df: DataFrame, order_cols: Sequence[str] | None = None, name: st
     nothing is shuffled, a row's id is its place in its partition plus the rows of the partitions before,
     of which the table has one row each.  Rows alike in all columns get ids of their own.
     """
-    if order_cols:
-        return reliable_checkpoint(group_index(df, order_cols, (), name))
+    if order_cols:  # both the layout and its offsets are in a checkpoint there
+        return group_index(df, order_cols, (), name)
     pid, at, start = "__pid", "__at", "__start"
     fixed = reliable_checkpoint(df.withColumn(pid, F.spark_partition_id()).withColumn(
         at, F.monotonically_increasing_id() - F.shiftleft(F.col(pid).cast("long"), 33)))
