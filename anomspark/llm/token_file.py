@@ -41,6 +41,8 @@ TEXT_BYTES = 4 << 20
 #: A word that ends in plain punctuation after a letter or digit is two pieces for the tokenizer.  Only
 #: letters that its normal form leaves single letters count (U+0130 and others end in a combining mark there).
 TAIL = re.compile("(?<=[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E])[.,!?#*$%&|;:]+\\Z")
+#: The same for RE2, with the white space after it.
+CUT = TAIL.pattern.replace("(?<=", "(").replace("+\\Z", "+)([\t-\r ]|\\z)").replace(")[.", ")([.")
 #: A sign that is one token, and how many pieces are tokenized together with it between them.
 SIGN, SPACED, TOGETHER = b"\x01", b" \x01 ", 1000
 #: The vocabulary is in lower case.  A-Z can be folded first unless a mark may combine with the letter, or the
@@ -122,7 +124,7 @@ class WordIds:
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, one after the other, and the first id of each (one more at the
         end).  Arrow cuts at the white space of ASCII alone and numbers the different words."""
-        words = pc.ascii_split_whitespace(_folded(texts))
+        words = pc.ascii_split_whitespace(_cut(_folded(texts)))
         n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         # a gap gives empty words at the ends of a text, which have no ids
         coded = words.flatten().dictionary_encode()
@@ -161,6 +163,12 @@ def _folded(texts: pa.Array) -> pa.Array:
                       pc.ascii_lower(texts))
 
 
+def _cut(texts: pa.Array) -> pa.Array:
+    """The texts with a space before the punctuation that ends a word and is a piece of its own (see TAIL), so that
+    the word is looked up, not each of its forms with punctuation."""
+    return pc.replace_substring_regex(texts, pattern=CUT, replacement=r"\1 \2\3")
+
+
 TAILS = b".,!?#*$%&|;:"
 
 
@@ -183,11 +191,17 @@ def _tokenize(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _WORD_IDS:  # one table for each worker process
             _WORD_IDS[path] = WordIds(path)
+        total = np.zeros(1 << 16, np.int64)
         for b in slices(batches, "text", TEXT_BYTES):
             ids, first = _WORD_IDS[path].flat(b.column(0))
+            total += np.bincount(ids, minlength=1 << 16)
             ids = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((2 * first).astype(np.int32)),
                                                               pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), ids], names=["id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), ids, pa.nulls(len(b), pa.binary())],
+                                             names=["id", "part", "ids", "counts"])
+        if total.any():  # one row for each task
+            yield pa.RecordBatch.from_pylist([{"counts": total.astype("<i8").tobytes()}], pa.schema(
+                [("id", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())]))
     return run
 
 
@@ -203,7 +217,8 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for b in batches:
-        total += np.bincount(_flat(b.column(0))[0], minlength=1 << 16)
+        for counts in b.column(0).to_pylist():
+            total += np.frombuffer(counts, "<i8")
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "n"])
 
@@ -297,11 +312,12 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         else F.lit(0)
     ids = rows.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(part).cast("int"))
     scratch = f"{path}/ids"
-    (ids.mapInArrow(_tokenize(tokenizer), "id long, part int, ids binary")
+    (ids.mapInArrow(_tokenize(tokenizer), "id long, part int, ids binary, counts binary")
      .write.option("compression", "zstd").parquet(scratch))
-    ids = spark.read.parquet(scratch)
+    found = spark.read.parquet(scratch)
+    ids = found.where("counts is null").select("id", "part", "ids")
 
-    counts = ids.select("ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    counts = found.select("counts").where("counts is not null").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     by_id = np.zeros(1 << 16, np.int64)  # at most one row for each id of the vocabulary
     by_id[counts.token] = counts.n
     length = huffman.code_lengths(by_id)
