@@ -40,9 +40,7 @@ BLOCK_IDS, PART_BYTES, WORD_TABLE = 1 << 16, 64 << 20, 600_000
 TEXT_BYTES = 4 << 20
 #: A word that ends in plain punctuation after a letter or digit is two pieces for the tokenizer.  Only
 #: letters that its normal form leaves single letters count (U+0130 and others end in a combining mark there).
-TAIL = re.compile("(?<=[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E])[.,!?#*$%&|;:]+\\Z")
-#: The same for RE2, with the white space after it.
-CUT = TAIL.pattern.replace("(?<=", "(").replace("+\\Z", "+)([\t-\r ]|\\z)").replace(")[.", ")([.")
+CUT = ("([A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E])([.,!?#*$%&|;:]+)([\t-\r ]|\\z)")
 #: A sign that is one token, and how many pieces are tokenized together with it between them.
 SIGN, SPACED, TOGETHER = b"\x01", b" \x01 ", 1000
 #: The vocabulary is in lower case.  A-Z can be folded first unless a mark may combine with the letter, or the
@@ -112,10 +110,7 @@ class WordIds:
         if len(self.table) + len(new) > WORD_TABLE:
             self.table.clear()
             new = words
-        split = {w: cut for w in new if w[-1] in TAILS and (cut := _tail(w))}
-        pieces = {p for cut in split.values() for p in cut}.union(w for w in new if w not in split)
-        self._fill([p for p in pieces if p not in self.table])
-        self.table.update((w, self.table[x] + self.table[y]) for w, (x, y) in split.items())
+        self._fill(new)
         for i, x in enumerate(found):
             if x is None:
                 found[i] = self.table[words[i]]
@@ -137,13 +132,17 @@ class WordIds:
 
         per_word = size[which]
         upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(per_word)))
+        # 4 bytes a place, unless this is one huge text
+        place = np.int32 if max(upto[-1], len(raw)) < 1 << 31 else np.int64
         last = np.cumsum(n_words)
         first = np.concatenate((np.zeros(1, np.int64), upto[last])) + np.arange(len(texts) + 1)
         out = np.empty(int(upto[-1]) + len(texts), np.uint16)
         ends = np.zeros(len(out), bool)
         ends[first[1:] - 1] = True
         out[ends] = END
-        out[~ends] = raw[np.repeat(start[which] - upto[:-1], per_word) + np.arange(int(upto[-1]))]
+        at = np.repeat((start[which] - upto[:-1]).astype(place), per_word)
+        at += np.arange(len(at), dtype=place)
+        out[~ends] = raw[at]
         return out, first
 
     def texts(self, texts: list[str]) -> list[bytes]:
@@ -164,26 +163,11 @@ def _folded(texts: pa.Array) -> pa.Array:
 
 
 def _cut(texts: pa.Array) -> pa.Array:
-    """The texts with a space before the punctuation that ends a word and is a piece of its own (see TAIL), so that
+    """The texts with a space before the punctuation that ends a word and is a piece of its own (see CUT), so that
     the word is looked up, not each of its forms with punctuation."""
     return pc.replace_substring_regex(texts, pattern=CUT, replacement=r"\1 \2\3")
 
 
-TAILS = b".,!?#*$%&|;:"
-
-
-def _tail(word: bytes) -> tuple[bytes, bytes] | None:
-    """The word and the punctuation after it, if they are pieces of their own."""
-    head = word.rstrip(TAILS)
-    if not head:
-        return None
-    if head[-1] < 128:
-        return (head, word[len(head):]) if head[-1:].isalnum() else None
-    text = word.decode()
-    m = TAIL.search(text)
-    return (text[:m.start()].encode(), m[0].encode()) if m else None
-
-
 _WORD_IDS: dict[str, WordIds] = {}
 
 
