@@ -16,7 +16,7 @@ def test_features_hold_term_counts_and_no_texts(spark):
     df = spark.createDataFrame([(i, t, float(i)) for i, t in enumerate(texts)], "k long, t string, v double")
     feats, spec = FE.fit_transform(df, {"text_columns": ["t"], "scale_continuous": True}, ["k"])
     assert spec.text_vocab["t"] == FE.fit_vocabulary(df, "t")
-    assert "regexp_extract_all" not in plan(feats)  # texts were tokenized anew by every job on the features
+    assert "regexp_extract_all" not in plan(feats)  # the features were planned from the texts
     names = [f"t_tfidf_{t}" for t, _ in spec.text_vocab["t"]]
     want = FE.tfidf_frame(df, "t", spec.text_vocab["t"], ["k"]).orderBy("k").toPandas()[names].to_numpy("float32")
     assert np.array_equal(feats.orderBy("k").toPandas()[names].to_numpy("float32"), want)
