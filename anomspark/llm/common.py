@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ BROADCAST_ROWS = 2_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 __all__ = ["BROADCAST_ROWS", "WORD", "checked_broadcast", "fresh", "read", "reliable_checkpoint",
-           "ensure_checkpoint_dir", "seeded_hash", "words_of", "docs_with_row_once"]
+           "ensure_checkpoint_dir", "release", "seeded_hash", "words_of", "docs_with_row_once"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +29,17 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if n <= limit else df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames that nothing refers to any more.
+
+    It does so when the driver's collectors find them; until then a query of many steps keeps those of every step.
+    Py4J tells the JVM up to a second later what Python has let go, so a call frees what was let go before the call
+    before it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names based on ``names`` that ``df`` does not use."""
     taken = {c.lower() for c in df.columns}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anomspark.llm.common import checked_broadcast, docs_with_row_once, fresh, read, reliable_checkpoint
+from anomspark.llm.common import checked_broadcast, docs_with_row_once, fresh, read, release, reliable_checkpoint
 from anomspark.llm.components import components
 from anomspark.llm.textnum import shingle_sets, slices
 
@@ -66,10 +66,16 @@ def overlap_needed(n: int, m: int, percent: int = PERCENT) -> int:
 
 # ---- sets and prefixes -------------------------------------------------------------------
 
-def _local_counts(words: int):
+def _sets(words: int):
+    """Of each document its set's size, name and least hashes (of copies in a task the first has them); rows with
+    ``times`` say instead how often a piece of the task holds a shingle, of those it holds three times."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        size = 0
+        seen: set[int] = set()
+        size, kind = 0, None
+
+        def rows(*cols):
+            return pa.RecordBatch.from_arrays([*cols], names=["id", "n", "sig", "least", "token", "times"])
 
         def flush():
             h = np.concatenate([*held.values(), np.zeros(0, np.uint64)])
@@ -79,13 +85,22 @@ def _local_counts(words: int):
                 return None
             h = h[:-2][(h[:-2] == h[2:])]  # once for each time beyond the second
             h, c = np.unique(h, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64) + 2)],
-                                              names=["token", "n"])
+            return rows(*(pa.nulls(len(h), t) for t in (kind, pa.int32(), pa.int64(), pa.list_(pa.int64()))),
+                        pa.array(h.view(np.int64)), pa.array(c.astype(np.int64) + 2))
         for b in slices(batches, "text"):
-            for s in shingle_sets(b.column(0).to_pylist(), words):
-                if len(s):
-                    held[_key(s)] = s  # equal sets count once
-            size += b.nbytes
+            kind = b.column(0).type
+            sets = shingle_sets(b.column(1).to_pylist(), words)
+            sig, least = [], []
+            for s in sets:
+                k = _key(s) if len(s) else None
+                sig.append(k)
+                least.append(None if k is None or k in seen else s[:LEAST].view(np.int64))
+                if k is not None:
+                    held[k] = s  # equal sets count once
+                    seen.add(k)
+            yield rows(b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.int64()),
+                       pa.array(least, pa.list_(pa.int64())), *(pa.nulls(len(sets), pa.int64()) for _ in range(2)))
+            size += b.column(1).nbytes
             if size >= FLUSH_BYTES:
                 if (out := flush()) is not None:
                     yield out
@@ -95,10 +110,9 @@ def _local_counts(words: int):
     return run
 
 
-def frequent_shingles(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of the frequent shingles and their rank in the global order."""
-    found = reliable_checkpoint(texts.mapInArrow(_local_counts(words), "token long, n long").groupBy("token")
-                                .agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT))
+def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of the frequent shingles and their rank in the global order; ``counts(token, times)``."""
+    found = reliable_checkpoint(counts.groupBy("token").agg(F.sum("times").alias("n")).where(F.col("n") >= LEAST_FREQUENT))
     steps = found.groupBy(F.floor(F.log2("n") * 8).alias("step")).count().orderBy(F.desc("step")).collect()
     least, held = 0, 0  # steps of n: a few hundred
     for r in steps:
@@ -119,41 +133,32 @@ def _key(s: np.ndarray) -> int:
 
 
 def _prefixes(words: int, percent: int, frequent):
+    """The prefix of each set, in the global order; copies in a task have it once."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, rank = frequent.value
         seen: set[int] = set()
         for b in slices(batches, "text"):
-            sets = shingle_sets(b.column(1).to_pylist(), words)
+            sets = shingle_sets(b.column(0).to_pylist(), words)
             cut = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             at = np.searchsorted(heavy, flat) if len(heavy) else np.zeros(len(flat), np.int64)
             at[at == len(heavy)] = 0
             is_heavy = heavy[at] == flat if len(heavy) else np.zeros(len(flat), bool)
-            sig, least, prefix = [], [], []
+            sig, n, prefix = [], [], []
             for i, s in enumerate(sets):
-                if not len(s):
-                    sig.append(None)
-                    least.append(None)
-                    prefix.append(None)
-                    continue
-                k = _key(s)
-                sig.append(k)
-                if k in seen:  # a copy: its first row in this task carries the prefix
-                    least.append(None)
-                    prefix.append(None)
+                if not len(s) or (k := _key(s)) in seen:
                     continue
                 seen.add(k)
+                sig.append(k)
+                n.append(len(s))
                 p = len(s) - needed(len(s), percent) + 1
-                least.append(s[:LEAST].view(np.int64))
                 m = is_heavy[cut[i]:cut[i + 1]]
                 order = (s[~m] >> np.uint64(2)).view(np.int64)
                 if len(order) < p:
                     order = np.concatenate((order, np.sort(rank[at[cut[i]:cut[i + 1]][m]]) + LAST))
                 prefix.append(order[:p])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.int64()),
-                 pa.array(least, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["id", "n", "sig", "least", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int32()),
+                                              pa.array(prefix, pa.list_(pa.int64()))], names=["sig", "n", "prefix"])
     return run
 
 
@@ -322,7 +327,8 @@ def _possible_pairs(percent: int, picks: int | None):
 
 
 def _with_partner(percent: int):
-    """Rows that sizes and positions alone allow a partner of another class in their group."""
+    """Rows that sizes and positions alone allow a partner of another class in their group, with the group's largest
+    class: given where the group is dealt to several blocks, else found here."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in [*batches, None]:
@@ -342,13 +348,22 @@ def _with_partner(percent: int):
                 cut = cut[:-1]
             else:
                 part, held = held, None
+            size = np.diff(cut)
+            comp = part.column(4).to_numpy()
+            several = np.minimum.reduceat(comp, cut[:-1]) != np.maximum.reduceat(comp, cut[:-1])
+            if not several.any():
+                continue
+            part = part.filter(pa.array(np.repeat(several, size)))
+            size = size[several]
+            cut = np.concatenate(([0], np.cumsum(size)))
             keep = np.zeros(part.num_rows, bool)
-            n, comp, pos, more, probe, index = (part.column(i).to_numpy(zero_copy_only=False)
-                                                for i in (3, 4, 5, 6, 7, 8))
+            n, comp, pos, more, index = (part.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6, 7))
             token, heads = part.column(0).to_numpy(), _heads(part.column(9))
             n = n.astype(np.int64)
-            size = np.diff(cut)
             group = np.repeat(np.arange(len(size)), size)
+            given = part.column(8).is_valid().to_numpy(zero_copy_only=False)
+            top = np.where(given, part.column(8).fill_null(0).to_numpy(), _largest_class(group, comp)[group])
+            probe = comp != top
             few = np.repeat(size <= 16, size)
             for d in range(1, int(min(16, size.max(initial=1)))):  # small groups, all at once
                 i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]))
@@ -370,11 +385,23 @@ def _with_partner(percent: int):
             for g in np.unique(group[keep]):
                 lo, hi = cut[g], cut[g + 1]
                 names[lo:hi] = _key(sig[lo:hi])
-            out = part.select([0, 1, 2, 3, 4, 7, 8]).append_column("members", pa.array(names))
-            yield out.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(i) for i in (0, 1, 2, 3, 4)), pa.array(top), part.column(7), pa.array(names)],
+                names=["token", "block", "sig", "n", "comp", "top", "index", "members"]).filter(pa.array(keep))
     return run
 
 
+def _largest_class(group: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """The class with the most rows of each group (rising from 0), of several the greatest."""
+    order = np.lexsort((comp, group))
+    g, c = group[order], comp[order]
+    start = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]))))
+    rows = np.diff(np.concatenate((start, [len(g)])))
+    best = np.lexsort((c[start], rows, g[start]))
+    last = np.concatenate((g[start][best][1:] != g[start][best][:-1], [True]))
+    return c[start][best][last]
+
+
 def _allowed(n, comp, pos, more, i, j, percent: int) -> np.ndarray:
     """Whether rows ``i`` and ``j`` of one group may be linked, by size, position and length."""
     least = -(-percent * (n[i] + n[j]) // (100 + percent))
@@ -446,24 +473,30 @@ def _verified(pairs: DataFrame, text_of, words: int, percent: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: ``id_col``, ``n_shingles``, ``component_id`` (least id of the class)."""
-    sc = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(text_col).alias("text"))
-    frequent = sc.broadcast(frequent_shingles(texts, words))
-    base = reliable_checkpoint(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(_prefixes(words, percent, frequent),
-                    f"id {docs.schema[id_col].dataType.simpleString()}, n int, sig long, least array<long>, prefix array<long>"))
+    spark = docs.sparkSession
+    # prefixes go from the texts right to their shingles; kept are small rows of the pass that counts shingles
+    sets = reliable_checkpoint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        _sets(words), f"id {docs.schema[id_col].dataType.simpleString()}, n int, sig long, least array<long>, token long, times long"))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(sets.where("times is not null").select("token", "times")))
+    base = sets.where("times is null")
+    prefixes = docs.select(F.col(text_col).alias("text")).mapInArrow(_prefixes(words, percent, frequent),
+                                                                     "sig long, n int, prefix array<long>")
 
     token = Window.partitionBy("token")
-    shared = (base.where("prefix is not null").select("sig", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = (prefixes.select("sig", "n", F.posexplode("prefix").alias("pos", "token"))
               .withColumn("least", F.min("sig").over(token)).withColumn("most", F.max("sig").over(token))
               .where("least <> most").select("sig", "n", F.struct("token", "pos").alias("t")))
     nodes = reliable_checkpoint(shared.groupBy("sig", "n").agg(F.array_sort(F.collect_set("t")).alias("toks")))
-    heads = (base.join(nodes.select("sig"), "sig", "left_semi").where("least is not null")
-             .groupBy("sig", "n").agg(F.min("least").alias("least")))
-    names = base.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"))
+    release(spark)
+    heads = reliable_checkpoint(base.where("least is not null").select("sig", "n", "least")
+                                .join(nodes.select("sig"), "sig", "left_semi")
+                                .groupBy("sig", "n").agg(F.min("least").alias("least")))
+    rows_of = reliable_checkpoint(base.select("id", "n", "sig"))
+    del sets, base  # with their least hashes
+    names = rows_of.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"))
     owner = reliable_checkpoint(nodes.select("sig").join(names, "sig"))
     repeats = bool(docs.groupBy(id_col).count().where("count > 1").head(1))
+    release(spark)
 
     def text_of(asked: DataFrame) -> DataFrame:
         mine = checked_broadcast(reliable_checkpoint(owner.join(asked, "sig").withColumnRenamed("id", "_own")))
@@ -491,52 +524,69 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             first = first.groupBy("token", "comp").agg(F.min_by(row, "sig").alias("r")).select("token", "comp", "r.*")
         size = reliable_checkpoint(first.groupBy("token").agg(F.count("*").alias("k"), F.min("comp").alias("one"),
                                                               F.max("comp").alias("other")).where("one <> other"))
-        rows = first.join(size.select("token", "k"), "token").withColumn("block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))"))
+        release(spark)
+        rows = (first.join(checked_broadcast(size.select("token", "k")), "token")
+                .withColumn("block", F.expr(f"pmod(xxhash64(sig), ceil(k / {block}))")))
         found = _verified(_likely(rows.drop("k"), percent, kinds), text_of, words, percent)
         edges = found if edges is None else edges.unionByName(found)
         labels = relabelled(edges)
+        release(spark)
         if kinds > 1 and not size.where(F.col("k") > block).head(1):
             break  # no group was split, so no family can be in parts
 
-    # exact: every shared shingle whose documents are not all of one class yet
-    every = nodes.join(labels, "sig").select("sig", "n", "comp", "toks", F.posexplode("toks").alias("at", "t"))
-    per = every.groupBy("t.token", "comp").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("token").agg(F.sum("c").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("top"),
-                                     F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    open_ = reliable_checkpoint(open_)
-    rows = (every.withColumn("token", F.col("t.token")).join(checked_broadcast(open_), "token")
-            .withColumn("blocks", F.expr(f"cast(ceil(k / {block}) as int)")).withColumn("probe", F.expr("comp <> top"))
+    # exact: every shared shingle.  Its rows go to it once, and slim: they hold no list of shingles but the first ones
+    # before it, and whether its documents are of several classes is seen there.  Only shingles of more than ``block``
+    # documents, which are few, are dealt to several blocks by what is counted before
+    every = nodes.join(labels, "sig").select("sig", "n", "comp", "toks", F.posexplode("toks").alias("at", "t")).select(
+        F.col("t.token").alias("token"), "sig", "n", "comp", F.col("t.pos").alias("pos"),
+        F.expr("size(toks) - at - 1").alias("more"), F.expr(f"slice(toks.token, 1, least(at, {HEAD}))").alias("head"))
+    hot = reliable_checkpoint(nodes.select(F.explode("toks.token").alias("token")).groupBy("token")
+                              .agg(F.count("*").alias("k")).where(F.col("k") > block))
+    release(spark)
+    rows = every
+    if hot.head(1):
+        per = every.select("token", "comp").join(checked_broadcast(hot), "token").groupBy("token", "comp").agg(
+            F.count("*").alias("c"))
+        split = reliable_checkpoint(per.groupBy("token").agg(
+            F.sum("c").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("classes")))
+        rows = rows.join(checked_broadcast(split), "token", "left").where("coalesce(classes, 2) > 1").drop("classes")
+    else:
+        rows = rows.selectExpr("*", "cast(null as long) as k", "cast(null as long) as top")
+    rows = (rows.withColumn("blocks", F.expr(f"coalesce(cast(ceil(k / {block}) as int), 1)"))
             .withColumn("own", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
-            .withColumn("block", F.explode(F.expr("if(probe, sequence(0, blocks - 1), array(own))")))
-            .select("token", F.col("block").cast("long"), "sig", "n", "comp", F.col("t.pos").alias("pos"),
-                    F.expr("size(toks) - at - 1").alias("more"), "probe", F.expr("block = own").alias("index"),
-                    F.expr(f"slice(toks.token, 1, {HEAD})").alias("head")))
+            .withColumn("block", F.explode(F.expr("if(comp <> top, sequence(0, blocks - 1), array(own))")))
+            .select("token", F.col("block").cast("long"), "sig", "n", "comp", "pos", "more",
+                    F.expr("block = own").alias("index"), "top", "head"))
     rows = _grouped(rows).mapInArrow(
-        _with_partner(percent), "token long, block long, sig long, n int, comp long, probe boolean, index boolean, "
-        "members long")
+        _with_partner(percent), "token long, block long, sig long, n int, comp long, top long, index boolean, members long")
     # documents that share many shingles meet at the first of them
     rows = rows.withColumn("first", F.min("token").over(Window.partitionBy("members"))).where("token = first")
-    rows = reliable_checkpoint(rows).join(nodes.select("sig", F.col("toks.token").alias("toks")), "sig")
-    rows = rows.join(checked_broadcast(open_.select("token", "top")), "token")
+    rows = reliable_checkpoint(rows.drop("first", "members"))
+    release(spark)
+    rows = rows.join(nodes.select("sig", F.col("toks.token").alias("toks")), "sig")
     rows = reliable_checkpoint(rows.select("token", "block", "sig", "n", "comp", "top", "index",
                                            F.expr("filter(toks, t -> t > token)").alias("rest")))
+    release(spark)
     # two classes need one link: a document's most promising pairs with a class are compared first, and all that
     # are left only where the classes are still apart
-    done = None
+    done = moved = None
+    tops = labels.where("sig = comp").select("sig")
     for picks in (*PICKS, None):
-        name = [labels.select(F.col("sig").alias(x), F.col("comp").alias(f"now_{x}")) for x in ("comp", "top")]
-        now = rows.join(name[0], "comp").join(name[1], "top").withColumn("probe", F.expr("now_comp <> now_top"))
-        now = now.where("probe or index").select("token", "block", "sig", "n", F.col("now_comp").alias("comp"), "probe",
-                                                 "index", "rest")
-        pairs = _tried(now, percent, picks)
+        now = rows
+        for c in ("comp", "top") if moved is not None else ():
+            now = now.join(checked_broadcast(moved.toDF(c, f"now_{c}")), c, "left").withColumn(c, F.coalesce(f"now_{c}", c))
+        now = now.withColumn("probe", F.expr("comp <> top")).where("probe or index")
+        pairs = _tried(now.select("token", "block", "sig", "n", "comp", "probe", "index", "rest"), percent, picks)
         pairs = reliable_checkpoint(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        release(spark)
         edges = edges.unionByName(_verified(pairs, text_of, words, percent))
-        if picks:
-            labels = relabelled(edges)
+        if picks:  # classes that became part of another one
+            moved = reliable_checkpoint(relabelled(edges).where("sig <> comp").join(tops, "sig", "left_semi"))
             done = pairs if done is None else done.unionByName(pairs)
+        release(spark)
 
     labels = components(edges).withColumnRenamed("node", "sig")
-    keyed = base.select("id", "n", "sig").join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    keyed = rows_of.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     keyed = reliable_checkpoint(keyed.select("id", "n", "comp"))
     low = keyed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("low"))
     full = keyed.where("comp is not null").join(low, "comp").select("id", "n", "low")
