@@ -15,7 +15,7 @@ BROADCAST_ROWS = 2_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 __all__ = ["BROADCAST_ROWS", "WORD", "checked_broadcast", "fresh", "read", "reliable_checkpoint",
-           "ensure_checkpoint_dir", "release", "seeded_hash", "words_of", "docs_with_row_once"]
+           "ensure_checkpoint_dir", "release", "seeded_hash", "words_of", "docs_without_row_once"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,15 +65,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def docs_with_row_once(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (one row per id), one row per id.
+def docs_without_row_once(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``ids`` (one row per id), one row per id.
 
-    Ids that name one row are taken by a semi join; only the rows of repeated ids are sorted
-    out by a window, so texts do not shuffle for the others.  A null id is matched too.
+    Ids that name one row are taken by an anti join; only the rows of repeated ids are grouped,
+    so texts do not shuffle for the others.  A null id is matched too.
     """
     rep = reliable_checkpoint(docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_rid")))
     small = checked_broadcast(ids.select(F.col(id_col).alias("_kid")))
-    kept = docs.join(small, docs[id_col].eqNullSafe(F.col("_kid")), "left_semi")
+    kept = docs.join(small, docs[id_col].eqNullSafe(F.col("_kid")), "left_anti")
     n = rep.count()
     if not n:
         return kept

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anomspark.llm.common import checked_broadcast, docs_with_row_once, fresh, read, release, reliable_checkpoint
+from anomspark.llm.common import checked_broadcast, docs_without_row_once, fresh, read, release, reliable_checkpoint
 from anomspark.llm.components import components
 from anomspark.llm.textnum import shingle_sets, slices
 
@@ -603,8 +603,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
     full = docs.where(worded).withColumn(key, name)
     classes = jaccard_classes(full, key, text_col, **options)
-    first = reliable_checkpoint(classes.where(F.col(key) == F.col("component_id")).select(key).distinct())
-    return docs_with_row_once(full, first, key).select(*docs.columns).unionByName(docs.where(~worded))
+    gone = reliable_checkpoint(classes.where(F.col(key) != F.col("component_id")).select(key).distinct())
+    release(docs.sparkSession)
+    return docs_without_row_once(full, gone, key).select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What the steps of op8 send where tables are too large to broadcast."""
+"""What the steps of op8 and of the pipeline's near_duplicates send and broadcast where tables are too large to broadcast."""
 
 import collections
 import random
@@ -69,6 +69,21 @@ def test_rows_go_to_their_shingle_once_without_lists(spark, monkeypatch, block):
     assert len(plans) == 1 and "Exchange hashpartitioning(token" not in plans[0]
 
 
+def test_near_copies_are_what_is_broadcast(spark, monkeypatch):
+    """The kept documents, which are most, once were broadcast, or beyond the limit all texts shuffled."""
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(20))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(3)]
+    sizes, checked = [], common.checked_broadcast
+
+    def seen(df, *a):
+        sizes.append((df.columns, df.count()))
+        return checked(df, *a)
+    monkeypatch.setattr(common, "checked_broadcast", seen)
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(map(tuple, kept)) == collections.Counter(rows[:40])
+    assert [n for names, n in sizes if names == ["_kid"]] == [3]
+
+
 def test_largest_class_of_a_group():
     r = np.random.default_rng(1)
     group, comp = np.sort(r.integers(0, 40, 400)), r.integers(-3, 3, 400)
